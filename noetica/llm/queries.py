@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noetica.llm import bpe, fingerprints, packing, simhash
+from noetica.llm import bpe, fingerprints, packing, simhash, suffix_dedup, window_dedup
 from noetica.llm.common import documents
 
 
@@ -23,12 +23,20 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir), width=50)
+
+
+def op6_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.dedup(documents(spark, sf_dir), width=20)
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_packing, op9_fingerprints)}
+    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_packing, op5_suffix_dedup, op6_window_dedup, op9_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
