@@ -62,6 +62,23 @@ def grouped_documents(docs: DataFrame, n_tasks: int, seed: int = 7) -> DataFrame
     return docs.select(gid.alias("gid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartition(n_tasks, "gid")
 
 
+def carried_documents(docs: DataFrame, n_tasks: int, seed: int = 7) -> DataFrame:
+    """(gid, doc_id, text, rest): as grouped_documents, with all other columns in the struct `rest`, whatever their names."""
+    grouped = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
+    gid = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)), F.lit(n_tasks * GROUPS_PER_TASK)).cast("int")
+    return grouped.select(gid.alias("gid"), "doc_id", "text", "rest").repartition(n_tasks, "gid")
+
+
+def uncarried(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of `like` from (text, rest)."""
+    return df.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in like.columns])
+
+
+def recounted(docs: DataFrame) -> DataFrame:
+    """docs with n_chars, if it is a column, as the length of the text."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """The texts, nulls as empty."""
     return [t or "" for t in column.to_pylist()]

@@ -144,14 +144,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """All rows and columns of docs, with the predicted language as __lang_pred."""
+def identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows and columns of docs whose text has a language."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
 
     def run(arrived):
         scorer = Scorer(sent.value)
         for batch in arrived:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([scorer.predict(t)[0] for t in texts_of(batch.column("text"))], pa.string())], [*batch.schema.names, "__lang_pred"])
+            yield batch.filter(pa.array([scorer.predict(t)[0] != "und" for t in texts_of(batch.column(place))], pa.bool_()))
 
-    schema = docs.schema.add("__lang_pred", "string")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)

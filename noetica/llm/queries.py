@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noetica.llm import bpe, fingerprints, packing, simhash, suffix_dedup, window_dedup
-from noetica.llm.common import documents
+from noetica.llm import bpe, fingerprints, langid, packing, pii, quality, search, simhash, suffix_dedup, window_dedup
+from noetica.llm.common import documents, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(documents(spark, sf_dir), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(documents(spark, sf_dir), width=50)
 
@@ -31,12 +35,26 @@ def op6_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.dedup(documents(spark, sf_dir), width=20)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(documents(spark, sf_dir))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf_dir))
 
 
+def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return search.top_k(docs, docs.where("doc_id % 100 = 0"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_packing, op5_suffix_dedup, op6_window_dedup, op9_fingerprints)}
+    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_packing, op4_quality, op5_suffix_dedup, op6_window_dedup, op7_pii, op8_langid, op9_fingerprints, op10_search)}
 
 
 def oracle_sql() -> dict[str, str]:

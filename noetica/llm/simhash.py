@@ -21,8 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from noetica.llm.common import texts_of, written
+from noetica.llm.common import texts_of, uncarried, written
 from noetica.llm.components import components
 
 #: Members of one variant that are verified pair by pair.
@@ -167,12 +168,40 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row; radius is a multiple of four."""
-    fps = written(fingerprints(docs, shingle), "fingerprints")
+def grouped(fps: DataFrame, radius: int = 4) -> DataFrame:
+    """(fp, component_id, least_fp) for every different fingerprint of (doc_id, fp).
+
+    component_id: the least id of the component; least_fp: the fingerprint of its first row by (id, fingerprint), nulls last.
+    """
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
     root = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     rooted = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_fp = rooted.join(named, "root").select("fp", "component_id")
+    first = F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "fp")).alias("first")
+    named = rooted.groupBy("root").agg(first).select("root", F.col("first.least_id").alias("component_id"), F.col("first.fp").alias("least_fp"))
+    return rooted.join(named, "root").select("fp", "component_id", "least_fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row; radius is a multiple of four."""
+    fps = written(fingerprints(docs, shingle), "fingerprints")
+    of_fp = grouped(fps, radius).select("fp", "component_id")
     return fps.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """All columns of one row of each component: of the least id, and of that the least fingerprint, nulls last.
+
+    The rows that stay are found by id and fingerprint together, so that a large group of copies is no hot key.
+    """
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest)
+
+    def run(arrived):
+        for batch in arrived:
+            fps = np.array([fingerprint(t.encode(), shingle) for t in texts_of(batch.column("text"))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*batch.schema.names, "fp"])
+
+    rows = written(packed.mapInArrow(run, T.StructType([*packed.schema.fields, T.StructField("fp", T.LongType())])), "rows")
+    stay = grouped(rows.select("doc_id", "fp"), radius).where("fp = least_fp").select(F.col("component_id").alias("id"), F.col("fp").alias("kept"))
+    kept = rows.join(stay, (F.col("fp") == F.col("kept")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    return uncarried(kept.dropDuplicates(["doc_id", "fp"]), docs)

@@ -23,11 +23,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from noetica.llm.blobs import SENT, answered, gathered, replies, scattered
-from noetica.llm.common import GROUPS_PER_TASK, grouped_documents, tasks_for, text_bytes
+from noetica.llm.common import GROUPS_PER_TASK, carried_documents, grouped_documents, tasks_for, text_bytes, uncarried
 
 #: Bytes of an anchor; width - ANCHOR + 1 strings share one at most, and that many bits an answer has.
 ANCHOR = 24
@@ -301,13 +303,13 @@ def _repeats(width: int):
 COLUMNS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _groups(docs: DataFrame, width: int):
+def _groups(docs: DataFrame, width: int, dealt=grouped_documents):
     """(groups, buckets, answers): the groups of documents, and the answers of both rounds for each."""
     if not ANCHOR <= width <= ANCHOR + 31:
         raise ValueError(f"width must be {ANCHOR} to {ANCHOR + 31}")
     n = tasks_for(text_bytes(docs))
     n_buckets = n * GROUPS_PER_TASK
-    groups = grouped_documents(docs, n)
+    groups = dealt(docs, n)
 
     def send_anchors(key: tuple, table: pa.Table) -> pa.Table:
         return _Group(table, width).send_anchors(key[0].as_py(), n_buckets)[0]
@@ -355,8 +357,8 @@ def dedup(docs: DataFrame, width: int = 50) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, width: int = 50) -> DataFrame:
-    """(doc_id, before, text): each distinct document with what is left of it; a character that loses a byte goes whole."""
-    groups, n_buckets, answers = _groups(docs, width)
+    """All rows and columns of docs, with what is left of each text; a character that loses a byte goes whole, a null text stays null."""
+    groups, n_buckets, answers = _groups(docs, width, carried_documents)
 
     def finish(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         group, gone = _marked(key, table, answers, width, n_buckets)
@@ -367,6 +369,8 @@ def deduplicated(docs: DataFrame, width: int = 50) -> DataFrame:
         rest, at = data[~gone].tobytes(), np.arange(len(gone) + 1) - np.append(0, np.cumsum(gone))
         begins = np.append(0, group.ends[:-1])
         texts = [rest[at[b] : at[e]].decode() for b, e in zip(begins.tolist(), group.ends.tolist(), strict=True)]
-        return pa.table([table.column("doc_id").combine_chunks(), table.column("text").combine_chunks().cast(pa.string()), pa.array([texts[i] for i in group.rows], pa.string())], ["doc_id", "before", "text"])
+        null = table.column("text").combine_chunks().is_null().to_pylist()
+        return pa.table([pa.array([None if x else texts[i] for i, x in zip(group.rows, null, strict=True)], pa.string()), table.column("rest")], ["text", "rest"])
 
-    return groups.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(finish, "doc_id long, before string, text string")
+    schema = T.StructType([T.StructField("text", T.StringType()), groups.schema["rest"]])
+    return uncarried(groups.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(finish, schema), docs)
