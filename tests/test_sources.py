@@ -1,0 +1,104 @@
+import json
+
+import pytest
+
+from noetica.sources import dumps, threads
+
+
+def record(name, body, date="2026-01-02T00:00:00Z"):
+    return [dumps.START, f"NAME:{name}", f"DATE:{date}", *body.split("\n"), dumps.END]
+
+
+def names(lines, cap=None):
+    return [r[0] for r in dumps.parse(lines, cap)]
+
+
+def test_body_length_is_strict_and_after_strip():
+    assert names(record("a", "x" * 50)) == []
+    assert names(record("a", "  " + "x" * 51 + "\n\n")) == ["a"]
+
+
+def test_sensitive_names_only():
+    assert names(record("My API Key", "x" * 60)) == []
+    assert names(record("plain", "my api key " * 9)) == ["plain"]
+
+
+def test_second_name_line_stays_in_body():
+    ((name, _, body),) = dumps.parse(record("first", "NAME:second\n" + "x" * 60))
+    assert name == "first" and body.startswith("NAME:second")
+
+
+def test_unfinished_records_are_lost():
+    lines = [dumps.START, "NAME:lost", "x" * 60, *record("kept", "y" * 60), dumps.START, "NAME:open", "z" * 60]
+    assert names(lines) == ["kept"]
+
+
+def test_cap_counts_characters():
+    ((_, _, body),) = dumps.parse(record("a", "é" * 60), cap=55)
+    assert body == "é" * 55
+
+
+def test_dump_readers_agree(spark, tmp_path):
+    paths = []
+    for i in range(3):
+        path = tmp_path / f"d{i}.txt"
+        path.write_text("\n".join(record(f"n{i}", "body " * 20) + record(f"m{i}", "short")) + "\n")
+        paths.append(str(path))
+    spark.dataSource.register(dumps.NoteDumps)
+    custom = spark.read.format("note_dump").load(",".join([*paths, str(tmp_path / "missing.txt")]))
+    plain = dumps.read_files(spark, str(tmp_path / "*.txt"))
+    assert sorted(custom.collect()) == sorted(plain.collect()) and custom.count() == 3
+
+
+def test_turns(spark):
+    raw = "preamble\n[User]:  hello \nsecond line\n[Assistant]: answer\n\n[User]:\nlast"
+    rows = threads.split_turns(spark.createDataFrame([(1, raw), (2, "no marker"), (3, None)], "id int, raw_content string")).orderBy("turn").collect()
+    assert [(r.id, r.turn, r.role, r.content) for r in rows] == [(1, 0, "user", "hello\nsecond line"), (1, 1, "assistant", "answer"), (1, 2, "user", "last")]
+
+
+def test_turn_selection_before_length(spark):
+    from noetica.operators import episodes
+
+    rows = [("s", i, "user", ("short" if i == 1 else "x" * 19 if i == 2 else "y" * 20)) for i in range(25)]
+    got = episodes.from_turns(spark.createDataFrame(rows, "saga string, turn int, role string, content string")).collect()
+    assert sorted(r.turn_index for r in got) == [0, *range(3, 20)]
+    assert {r.name for r in got if r.turn_index == 3} == {"Turn 4 (user)"}
+
+
+def search(query="a long question", answer="an answer " * 8, tail=""):
+    steps = [{"step_type": "INITIAL_QUERY", "content": {"query": query}}, {"step_type": "FINAL", "content": {"answer": answer}}]
+    return "[Assistant]: " + json.dumps(steps) + tail
+
+
+def test_search_threads():
+    assert [e[0] for e in threads.search_episodes(search(), "l")] == ["Query", "Answer"]
+    assert [e[0] for e in threads.search_episodes(search(tail='[{"step_type": "FINAL"}]'), "l")] == ["Query", "Answer"]
+    assert threads.search_episodes(search(query="q" * 10, answer="a" * 50), "l") == []
+    assert len(threads.search_episodes(search(query="q" * 11, answer="a" * 51), "l")) == 2
+    nested = threads.search_episodes(search(answer=json.dumps({"answer": "inner " * 10})), "l")
+    assert nested[1][1].startswith("assistant: inner")
+
+
+def test_last_final_wins():
+    steps = [{"step_type": "FINAL", "content": {"answer": c * 60}} for c in "ab"]
+    assert threads.search_episodes(json.dumps(steps), "l")[0][1].startswith("assistant: b")
+
+
+@pytest.mark.parametrize("strict,n", [(True, 0), (False, 1)])
+def test_plain_text_of_a_search_thread(strict, n):
+    assert len(threads.search_episodes("plain text " * 20, "l", strict)) == n
+
+
+def test_bracket_in_string():
+    raw = search(answer="see ] there " * 6)
+    assert len(threads.search_episodes(raw, "l", strict=False)) == 2
+    assert all(e[0] not in ("Query", "Answer") for e in threads.search_episodes(raw, "l", strict=True))
+
+
+def test_names_over_the_cap(spark):
+    from noetica.operators import episodes
+
+    notes = spark.createDataFrame([("n" * 90,), ("other",)], "name string")
+    have = notes.where("name <> 'other'")
+    assert [r.name for r in episodes.not_imported(notes, have).collect()] == ["other"]
+    assert episodes.not_imported(notes, have, strict=True).count() == 2
