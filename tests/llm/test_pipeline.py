@@ -1,0 +1,41 @@
+import corpus_pipeline
+import public_tokenizers as P
+from brute import components, personal, removed_bytes, simhash, suffix_text
+from tokenizers import Tokenizer
+
+import __spark_entry__ as entry
+
+
+def test_queries_are_registered():
+    names = entry.queries()
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_stages_against_brute_force(spark, messy, messy_rows, empty, tmp_path):
+    docs = messy
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "unused")
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept[name] = docs.collect()
+        if name != "packing":
+            assert docs.columns == messy.columns
+        assert stage(spark, empty, "unused").count() == 0
+    assert {1, 2, 3, 4}.isdisjoint(r.doc_id for r in kept["language"]) and len(kept["language"]) == sum(any(c.isalpha() for c in r[1] or "") for r in messy_rows)
+    roots = components([simhash(r.text) for r in kept["language"]])
+    assert len(kept["near_duplicates"]) == len(set(roots))
+    gone = removed_bytes([(r.doc_id, r.text) for r in kept["near_duplicates"]])
+    low = lambda i: -(1 << 63) if i is None else i
+    left = [(low(r.doc_id), suffix_text(r.text, gone[low(r.doc_id), r.text])) for r in kept["near_duplicates"]]
+    left = sorted((i, t) for i, t in left if t.strip())
+    assert sorted((low(r.doc_id), r.text) for r in kept["repeats"]) == left and all(r.n_chars == len(r.text) for r in kept["repeats"])
+    assert not any(personal(r.text) for r in kept["personal_data"]) and len(kept["personal_data"]) == len(left)
+    model = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    model.encode_special_tokens = True
+    tokens = sum(len(model.encode(r.text, add_special_tokens=False).ids) + 1 for r in kept["personal_data"])
+    assert sum(r.length for r in kept["packing"]) == tokens
+
+
+def test_run(spark):
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
