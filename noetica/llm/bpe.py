@@ -127,23 +127,32 @@ def slice_starts(points: np.ndarray) -> np.ndarray:
     return automaton()[3][states_before(symbols), symbols]
 
 
-@cache
-def _hash_base(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random 64-bit values of the bytes, and powers of an odd base and of its inverse modulo 2^64."""
-    base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-    powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-    for k, b in enumerate((base, inverse)):
-        while len(powers[k]) < size:
-            powers[k] = np.concatenate([powers[k], powers[k] * np.uint64(pow(b, len(powers[k]), 1 << 64))])
-    return np.random.default_rng(5).integers(0, 1 << 64, 256, np.uint64), powers[0], powers[1]
+class _HashBase:
+    """Random 64-bit values of the bytes, and powers of an odd base and of its inverse modulo 2^64, as many as needed so far."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self) -> None:
+        self.values = np.random.default_rng(5).integers(0, 1 << 64, 256, np.uint64)
+        self.powers, self.inverses = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> None:
+        inverse = pow(self.BASE, -1, 1 << 64)
+        while len(self.powers) <= n:
+            have = len(self.powers)
+            self.powers = np.concatenate([self.powers, self.powers * np.uint64(pow(self.BASE, have, 1 << 64))])
+            self.inverses = np.concatenate([self.inverses, self.inverses * np.uint64(pow(inverse, have, 1 << 64))])
+
+
+_BASE = _HashBase()
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit polynomial hashes of byte spans, from one prefix array."""
-    values, powers, inverses = _hash_base(1 << max(16, int(len(data)).bit_length()))
+    _BASE.upto(len(data))
     prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * powers[: len(data)], out=prefix[1:])
-    mixed = (prefix[ends] - prefix[starts]) * inverses[starts]
+    np.cumsum(_BASE.values[data] * _BASE.powers[: len(data)], out=prefix[1:])
+    mixed = (prefix[ends] - prefix[starts]) * _BASE.inverses[starts]
     mixed ^= mixed >> np.uint64(31)
     return mixed * np.uint64(0xD6E8FEB86659FD93) + (ends - starts).astype(np.uint64)
 

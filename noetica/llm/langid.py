@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,53 +24,68 @@ from pyspark.sql import functions as F
 from noetica.llm.common import held_out, texts_of
 
 #: Bounds of the model.
-DOCS_PER_LANGUAGE, WORDS, LANGUAGES = 2_000, 60_000, 200
+DOCS_PER_LANGUAGE, WORDS, LANGUAGES = 2_000, 30_000, 200
 #: Lengths of n-grams, longest first.
 GRAMS = (5, 4, 3, 2, 1)
-#: Words beyond the model whose scores a worker keeps.
-CACHED = 200_000
+#: Words whose scores a worker keeps, and words that it scores together.
+CACHED, TOGETHER = 150_000, 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def _marked(word: str, size: int) -> str:
+    return f"^{word}$" if size > 1 else word
+
+
 class Model:
-    """Log frequencies by language of words and of n-grams."""
+    """Log frequencies by language of words and of n-grams: a row number for each, and one array of rows."""
 
-    def __init__(self, languages: list[str], shares: np.ndarray, counts: dict[str, np.ndarray]):
+    def __init__(self, languages: list[str], shares: np.ndarray, words: list[str], counts: np.ndarray):
         self.languages, self.shares = languages, shares
-        n = len(languages)
-        totals = sum(counts.values(), np.zeros(n))
-        self.words = self._logs(counts, totals)
-        self.grams: list[dict[str, np.ndarray]] = []
+        self.words = {w: i for i, w in enumerate(words)}
+        self.word_logs = self._logs(counts)
+        self.grams: list[tuple[dict[str, int], np.ndarray]] = []
         for size in GRAMS:
-            found: dict[str, np.ndarray] = {}
-            for word, count in counts.items():
-                marked = f"^{word}$" if size > 1 else word
+            row: dict[str, int] = {}
+            of, source = [], []
+            for k, word in enumerate(words):
+                marked = _marked(word, size)
                 for i in range(len(marked) - size + 1):
-                    g = marked[i : i + size]
-                    if g in found:
-                        found[g] += count
-                    else:
-                        found[g] = count.astype(float)
-            self.grams.append(self._logs(found, sum(found.values(), np.zeros(n))))
+                    of.append(row.setdefault(marked[i : i + size], len(row)))
+                    source.append(k)
+            sums = np.zeros((len(row), len(languages)))
+            np.add.at(sums, of, counts[source])
+            self.grams.append((row, self._logs(sums)))
 
     @staticmethod
-    def _logs(counts: dict[str, np.ndarray], totals: np.ndarray) -> dict[str, np.ndarray]:
-        return {w: np.log((c + 0.1) / (totals + 0.1 * (len(counts) + 1))) for w, c in counts.items()}
-
-    def of_word(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        for size, grams in zip(GRAMS, self.grams, strict=True):
-            marked = f"^{word}$" if size > 1 else word
-            found = [g for i in range(len(marked) - size + 1) if (g := grams.get(marked[i : i + size])) is not None]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
+    def _logs(counts: np.ndarray) -> np.ndarray:
+        return np.log((counts + 0.1) / (counts.sum(0) + 0.1 * (len(counts) + 1))).astype(np.float32)
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """A row of logs for each word: its own, or the mean of its n-grams of the first length that has any."""
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        own = np.array([self.words.get(w, -1) for w in words], np.int64)
+        out[own >= 0] = self.word_logs[own[own >= 0]]
+        left = np.flatnonzero(own < 0).tolist()
+        for size, (row, logs) in zip(GRAMS, self.grams, strict=True):
+            rows, starts, hit, still = [], [], [], []
+            for k in left:
+                marked = _marked(words[k], size)
+                found = [r for i in range(len(marked) - size + 1) if (r := row.get(marked[i : i + size], -1)) >= 0]
+                if found:
+                    starts.append(len(rows))
+                    rows += found
+                    hit.append(k)
+                else:
+                    still.append(k)
+            if hit:
+                counts = np.diff([*starts, len(rows)])[:, None]
+                out[hit] = np.add.reduceat(logs[rows], starts, axis=0) / counts
+            left = still
+        return out
 
 
 class Scorer:
-    """Scores texts; keeps the scores of words as rows of one array, so that a text is one gather and one sum."""
+    """Predicts languages; keeps the scores of words as rows of one array, so that texts are one gather and sums."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -77,31 +93,55 @@ class Scorer:
 
     def reset(self) -> None:
         self.row: dict[str, int] = {}
-        self.scores = np.zeros((1 << 12, len(self.model.languages)))
+        self.scores = np.zeros((CACHED + TOGETHER, len(self.model.languages)), np.float32)
 
-    def rows(self, words: list[str]) -> np.ndarray:
+    def sums(self, texts: list[list[str]]) -> np.ndarray:
+        """Summed logs of each text's words, which are TOGETHER at most."""
         row = self.row
-        if new := set(words).difference(row):
-            if len(row) + len(new) > CACHED and row:
-                self.reset()
-                return self.rows(words)
-            while len(row) + len(new) > len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            for w in new:
-                self.scores[len(row)] = self.model.of_word(w)
-                row[w] = len(row)
-        return self.scores[list(map(row.__getitem__, words))]
-
-    def predict(self, text: str) -> tuple[str, float]:
-        words = _LETTERS.findall(text.lower())
-        if not words or not self.model.languages:
-            return "und", 0.0
-        logs = np.log(self.model.shares)
-        for i in range(0, len(words), CACHED // 4):
-            logs = logs + self.rows(words[i : i + CACHED // 4]).sum(0)
-        odds = np.exp(logs - logs.max())
-        best = int(odds.argmax())
-        return self.model.languages[best], float(odds[best] / odds.sum())
+        new = list(set(chain.from_iterable(texts)).difference(row))
+        if len(row) + len(new) > len(self.scores):
+            self.reset()
+            return self.sums(texts)
+        self.scores[len(row) : len(row) + len(new)] = self.model.of_words(new)
+        row.update(zip(new, range(len(row), len(row) + len(new)), strict=True))
+        rows = np.fromiter(map(row.__getitem__, chain.from_iterable(texts)), np.int64)
+        sizes = np.array([len(t) for t in texts])
+        out = np.zeros((len(texts), len(self.model.languages)))
+        some = sizes > 0
+        if len(rows):
+            out[some] = np.add.reduceat(self.scores[rows].astype(np.float64), (np.cumsum(sizes) - sizes)[some], axis=0)
+        return out
+
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Language and score of every text."""
+        n = len(self.model.languages)
+        logs, known = np.zeros((len(texts), n)), np.zeros(len(texts), bool)
+        held: list[tuple[int, list[str]]] = []
+
+        def close() -> None:
+            if held and n:
+                np.add.at(logs, [i for i, _ in held], self.sums([w for _, w in held]))
+            held.clear()
+
+        size = 0
+        for i, text in enumerate(texts):
+            words = _LETTERS.findall(text.lower())
+            known[i] = bool(words) and n > 0
+            for a in range(0, len(words), TOGETHER):
+                part = words[a : a + TOGETHER]
+                if size + len(part) > TOGETHER:
+                    close()
+                    size = 0
+                held.append((i, part))
+                size += len(part)
+        close()
+        if not n:
+            return ["und"] * len(texts), np.zeros(len(texts))
+        logs += np.log(self.model.shares)
+        odds = np.exp(logs - logs.max(1, keepdims=True))
+        best = odds.argmax(1)
+        score = np.where(known, odds.max(1) / odds.sum(1), 0.0)
+        return [self.model.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)], score
 
 
 def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, n_words: int = WORDS) -> Model:
@@ -109,7 +149,7 @@ def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, n_words: int = W
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     by_language = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not by_language:
-        return Model([], np.empty(0), {})
+        return Model([], np.empty(0), [], np.empty((0, 0)))
     languages = sorted(r.lang for r in by_language)
     size = {r.lang: r["count"] for r in by_language}
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / size[lang]))])
@@ -120,15 +160,16 @@ def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, n_words: int = W
             found: dict[str, Counter] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch.column("text")), strict=True):
                 found.setdefault(lang, Counter()).update(_LETTERS.findall(text.lower()))
-            rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items() if len(w) <= 64]
-            columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "word", "n"])
+            langs = np.repeat(np.arange(len(found)), [len(c) for c in found.values()])
+            columns = [pa.array(list(found), pa.string()).take(pa.array(langs)), pa.array(chain.from_iterable(found.values()), pa.string()), pa.array(chain.from_iterable(c.values() for c in found.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
 
     counted = drawn.mapInArrow(count, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
-    top = counted.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("all")).orderBy(F.desc("all"), "word").limit(n_words)
-    counts = {r.word: np.array([r.by.get(lang, 0) for lang in languages], float) for r in top.select("word", "by").collect()}
+    wide = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{k}") for k, lang in enumerate(languages)]
+    top = counted.where(F.length("word") <= 64).groupBy("word").agg(*wide, F.sum("n").alias("all")).orderBy(F.desc("all"), "word").limit(n_words).toArrow()
+    counts = np.array([top.column(f"n{k}").to_numpy() for k in range(len(languages))], float).T.reshape(-1, len(languages))
     shares = np.array([size[lang] for lang in languages], float)
-    return Model(languages, shares / shares.sum(), counts)
+    return Model(languages, shares / shares.sum(), top.column("word").to_pylist(), counts)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -138,8 +179,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(arrived):
         scorer = Scorer(sent.value)
         for batch in arrived:
-            found = [scorer.predict(t) for t in texts_of(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            languages, scores = scorer.predict(texts_of(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
@@ -152,6 +193,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     def run(arrived):
         scorer = Scorer(sent.value)
         for batch in arrived:
-            yield batch.filter(pa.array([scorer.predict(t)[0] != "und" for t in texts_of(batch.column(place))], pa.bool_()))
+            languages, _ = scorer.predict(texts_of(batch.column(place)))
+            yield batch.filter(pa.array([x != "und" for x in languages], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

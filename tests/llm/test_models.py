@@ -59,11 +59,21 @@ def test_languages(spark, messy, empty):
 def test_backoff():
     import numpy as np
 
-    model = langid.Model(["a", "b"], np.array([0.5, 0.5]), {"nation": np.array([5.0, 0.0]), "ung": np.array([0.0, 5.0])})
-    assert model.of_word("nation")[0] > model.of_word("nation")[1]
-    assert model.of_word("nationale")[0] > model.of_word("nationale")[1]
-    assert model.of_word("zung")[1] > model.of_word("zung")[0]
-    assert (model.of_word("日本") == 0).all()
+    model = langid.Model(["a", "b"], np.array([0.5, 0.5]), ["nation", "ung"], np.array([[5.0, 0.0], [0.0, 5.0]]))
+    nation, nationale, zung, strange = model.of_words(["nation", "nationale", "zung", "日本"])
+    assert nation[0] > nation[1] and nationale[0] > nationale[1] and zung[1] > zung[0] and (strange == 0).all()
+    languages, scores = langid.Scorer(model).predict(["the nationale", "", "zung ung", "12", "日本"])
+    assert languages == ["a", "und", "b", "und", "a"] and scores[1] == scores[3] == 0 and scores[4] == 0.5
+
+
+def test_long_texts_in_parts(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(langid, "TOGETHER", 7)
+    monkeypatch.setattr(langid, "CACHED", 3)
+    model = langid.Model(["a", "b"], np.array([0.5, 0.5]), ["nation", "ung"], np.array([[5.0, 0.0], [0.0, 5.0]]))
+    texts = ["nation " * 20 + "ung " * 19, "ung " * 5, "", " ".join(f"x{c}nation" for c in "abcdefghijk")]
+    assert langid.Scorer(model).predict(texts)[0] == ["a", "b", "und", "a"]
 
 
 def test_quality(spark, messy, empty):
