@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -79,6 +80,15 @@ def recounted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
+def released() -> None:
+    """Gives what a worker has freed back to the system: groups differ in size, and workers outlive stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """The texts, nulls as empty."""
     return [t or "" for t in column.to_pylist()]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noetica.llm.common import held_out, texts_of
+from noetica.llm.common import held_out, released, texts_of
 
 #: Bounds of the model.
 DOCS_PER_LANGUAGE, WORDS, LANGUAGES = 2_000, 30_000, 200
@@ -195,5 +195,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
         for batch in arrived:
             languages, _ = scorer.predict(texts_of(batch.column(place)))
             yield batch.filter(pa.array([x != "und" for x in languages], pa.bool_()))
+        del scorer
+        released()
 
     return docs.mapInArrow(run, docs.schema)

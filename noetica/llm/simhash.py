@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noetica.llm.common import texts_of, uncarried, written
+from noetica.llm.common import released, texts_of, uncarried, written
 from noetica.llm.components import components
 
 #: Members of one variant that are verified pair by pair.
@@ -200,6 +200,7 @@ def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame
         for batch in arrived:
             fps = np.array([fingerprint(t.encode(), shingle) for t in texts_of(batch.column("text"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*batch.schema.names, "fp"])
+        released()
 
     rows = written(packed.mapInArrow(run, T.StructType([*packed.schema.fields, T.StructField("fp", T.LongType())])), "rows")
     stay = grouped(rows.select("doc_id", "fp"), radius).where("fp = least_fp").select(F.col("component_id").alias("id"), F.col("fp").alias("kept"))

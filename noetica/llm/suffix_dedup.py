@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noetica.llm.blobs import SENT, answered, gathered, replies, scattered
-from noetica.llm.common import GROUPS_PER_TASK, carried_documents, grouped_documents, tasks_for, text_bytes, uncarried
+from noetica.llm.common import GROUPS_PER_TASK, carried_documents, grouped_documents, released, tasks_for, text_bytes, uncarried
 
 #: Bytes of an anchor; width - ANCHOR + 1 strings share one at most, and that many bits an answer has.
 ANCHOR = 24
@@ -48,7 +48,7 @@ def _eights(data: np.ndarray, kind: str = "<u8") -> np.ndarray:
 def anchors(data: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, hash) of the anchor of the string at each of n positions; data goes on for width + 8 bytes after them."""
     reach = width - ANCHOR + 1
-    places, hashes = np.empty(n, np.int64), np.empty(n, np.uint64)
+    places, hashes = np.empty(n, np.int32), np.empty(n, np.uint64)
     for a in range(0, n, SLAB):
         b = min(n, a + SLAB)
         eights = _eights(data[a : b + width + 8])
@@ -136,7 +136,7 @@ class _Group:
     def removed(self, gid: int, n_buckets: int, answers: pa.Table) -> np.ndarray:
         """Whether each byte is covered by a string that starts in a document with a smaller id."""
         bits = answered(answers, self.send_pieces(gid, n_buckets)[1], "<u4")
-        edges = np.zeros(len(self.joined) + 1, np.int64)
+        edges = np.zeros(len(self.joined) + 1, np.int32)
         later = self.ids[self.doc[self.kept]] > self.least[self.piece]
         np.add.at(edges, self.first[self.kept[later]], 1)
         np.add.at(edges, self.last[self.kept[later]] + self.width, -1)
@@ -148,7 +148,7 @@ class _Group:
         fits = at <= self.last[self.kept[own[which]]]
         np.add.at(edges, at[fits], 1)
         np.add.at(edges, at[fits] + self.width, -1)
-        return np.cumsum(edges[:-1]) > 0
+        return np.cumsum(edges[:-1], dtype=np.int32) > 0
 
 
 def _bucket(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -295,6 +295,8 @@ def _repeats(width: int):
         marks = ((np.uint64(1) << strings) - np.uint64(1)) << offset[at[later]].astype(np.uint64)
         np.bitwise_or.at(bits, member[later], marks.astype(np.uint32))
         out = np.where(own > least[of], np.uint32(0xFFFFFFFF), bits[of])
+        del index, texts, text, offset, common, left
+        released()
         return replies(table.column("bucket")[0].as_py(), gids, counts, out.astype("<u4"))
 
     return run
@@ -312,12 +314,17 @@ def _groups(docs: DataFrame, width: int, dealt=grouped_documents):
     groups = dealt(docs, n)
 
     def send_anchors(key: tuple, table: pa.Table) -> pa.Table:
-        return _Group(table, width).send_anchors(key[0].as_py(), n_buckets)[0]
+        sent = _Group(table, width).send_anchors(key[0].as_py(), n_buckets)[0]
+        released()
+        return sent
 
     def send_pieces(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         group = _Group(table, width)
         group.candidates(key[0].as_py(), n_buckets, answers)
-        return group.send_pieces(key[0].as_py(), n_buckets)[0]
+        sent = group.send_pieces(key[0].as_py(), n_buckets)[0]
+        del group
+        released()
+        return sent
 
     anchored = groups.groupBy("gid").applyInArrow(send_anchors, SENT).groupBy("bucket").applyInArrow(_shared_anchors, SENT)
     sent = groups.groupBy("gid").cogroup(anchored.groupBy("gid")).applyInArrow(send_pieces, SENT)
@@ -345,11 +352,11 @@ def dedup(docs: DataFrame, width: int = 50) -> DataFrame:
         opened[1:] &= ~gone[:-1]
         inner = begins[begins < len(gone)]
         opened[inner] = gone[inner]
-        lost, spans = np.append(0, np.cumsum(gone)), np.append(0, np.cumsum(opened))
+        lost, spans = (np.append(0, np.cumsum(x, dtype=np.int32)) for x in (gone, opened))
         rest = group.data[: len(gone)][~gone].tobytes()
-        at = np.arange(len(gone) + 1) - lost
-        out = [(e - b, int(lost[e] - lost[b]), int(spans[e] - spans[b]), hashlib.sha256(rest[at[b] : at[e]]).hexdigest()) for b, e in zip(begins.tolist(), group.ends.tolist(), strict=True)]
+        out = [(e - b, int(lost[e] - lost[b]), int(spans[e] - spans[b]), hashlib.sha256(rest[b - lost[b] : e - lost[e]]).hexdigest()) for b, e in zip(begins.tolist(), group.ends.tolist(), strict=True)]
         rows = [out[i] for i in group.rows]
+        released()
         columns = [table.column("doc_id").combine_chunks(), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.array([r[3] for r in rows], pa.string())]
         return pa.table(columns, [c.split()[0] for c in COLUMNS.split(", ")])
 
@@ -366,10 +373,11 @@ def deduplicated(docs: DataFrame, width: int = 50) -> DataFrame:
         lead = np.flatnonzero((data & 0xC0) != 0x80)
         if len(lead):
             gone = np.repeat(np.logical_or.reduceat(gone, lead), np.diff(np.append(lead, len(gone))))
-        rest, at = data[~gone].tobytes(), np.arange(len(gone) + 1) - np.append(0, np.cumsum(gone))
+        rest, lost = data[~gone].tobytes(), np.append(0, np.cumsum(gone, dtype=np.int32))
         begins = np.append(0, group.ends[:-1])
-        texts = [rest[at[b] : at[e]].decode() for b, e in zip(begins.tolist(), group.ends.tolist(), strict=True)]
+        texts = [rest[b - lost[b] : e - lost[e]].decode() for b, e in zip(begins.tolist(), group.ends.tolist(), strict=True)]
         null = table.column("text").combine_chunks().is_null().to_pylist()
+        released()
         return pa.table([pa.array([None if x else texts[i] for i, x in zip(group.rows, null, strict=True)], pa.string()), table.column("rest")], ["text", "rest"])
 
     schema = T.StructType([T.StructField("text", T.StringType()), groups.schema["rest"]])
