@@ -85,9 +85,9 @@ def nearest(embedding: str, k: int) -> str:
 
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
 AS_OF = "TIMESTAMP '1998-01-01 00:00:00'"
-THREADS = f"""threads AS (SELECT user_id AS thread_id, count(*) FILTER (event_type = 'purchase' AND value > 40) AS n_done, count(*) FILTER (event_type = 'click' AND value > 40) AS n_acted,
-  count(*) FILTER (event_type = 'signup' AND value > 40) AS n_decided, count(*) FILTER (event_type = 'view') AS n_compared, max(ts) AS last_at, min(ts) AS first_at, count(*) AS n, count(DISTINCT event_type) AS n_sources
-  FROM events WHERE user_id % 3 > 0 OR ts < TIMESTAMP '2024-01-10' GROUP BY user_id),
+THREADS = f"""threads AS (SELECT user_id || ':' || event_type AS thread_id, count(*) FILTER (event_type = 'purchase' AND value > 40) AS n_done, count(*) FILTER (event_type = 'click' AND value > 40) AS n_acted,
+  count(*) FILTER (event_type = 'signup' AND value > 40) AS n_decided, count(*) FILTER (event_type = 'view') AS n_compared, max(ts) AS last_at, min(ts) AS first_at, count(*) AS n, count(DISTINCT hour(ts)) AS n_sources
+  FROM events GROUP BY user_id, event_type),
 idle AS (SELECT *, date_diff('day', last_at::DATE, DATE '2024-02-01')::INT AS idle_days FROM threads),
 states AS (SELECT *, CASE WHEN n_done > 0 THEN 'completed' WHEN idle_days >= 7 THEN 'stalled' WHEN n_acted > 0 THEN 'acting' WHEN n_decided > 0 THEN 'decided' WHEN n_compared > 0 THEN 'evaluating' ELSE 'exploring' END AS state FROM idle)"""
 GRAPH = f"{ENTITIES}, {EDGES}, {WAYS}"
@@ -185,7 +185,7 @@ t AS (SELECT b.id, count(DISTINCT kind) + 1 AS n_sources, date_diff('day', min(t
 SELECT node, min(seen) AS component FROM r GROUP BY node""",
     "thread_states": f"WITH {THREADS} SELECT thread_id, n_done, n_acted, n_decided, n_compared, idle_days, state, CASE state WHEN 'exploring' THEN 'gather' WHEN 'evaluating' THEN 'compare' WHEN 'decided' THEN 'plan' WHEN 'acting' THEN 'continue' WHEN 'stalled' THEN 'unblock' ELSE 'none' END AS action FROM states",
     "threads_by_state": f"WITH {THREADS} SELECT state, count(*) AS n FROM states GROUP BY state",
-    "delivery_gate": f"""WITH {THREADS}, s AS (SELECT thread_id, idle_days, round(n_compared / n + 0.08::DOUBLE * (n_sources - 1), 6) AS score FROM states WHERE idle_days BETWEEN 7 AND 30 AND thread_id % 4 <> 0)
+    "delivery_gate": f"""WITH {THREADS}, s AS (SELECT thread_id, idle_days, round(n / 100 + 0.08::DOUBLE * (n_sources - 1), 6) AS score FROM states WHERE idle_days BETWEEN 7 AND 30 AND n_compared = 0)
 SELECT thread_id, score, idle_days, row_number() OVER (ORDER BY score DESC, thread_id)::INT AS rank FROM s QUALIFY rank <= 5""",
     "ppp_metrics": """SELECT count(*) AS surfaced, round(count(*) FILTER (event_type = 'purchase') / count(*), 6) AS productivity, round(count(*) FILTER (value > 10) / count(*), 6) AS proactivity,
 round(1 - count(*) FILTER (event_type = 'error') / count(*), 6) AS personalization, count(*) < 20 OR count(*) FILTER (event_type = 'error') / count(*) < 0.3 AS gate FROM events""",

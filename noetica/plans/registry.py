@@ -440,17 +440,17 @@ def thread_components(spark, d):
 
 
 def _threads(spark, d) -> DataFrame:
-    count = lambda kind: F.count_if(F.col("event_type") == kind)
-    rows = views.events(spark, d).where("user_id % 3 > 0 or ts < timestamp'2024-01-10'")
-    return rows.groupBy(F.col("user_id").alias("thread_id")).agg(
-        F.count_if((F.col("event_type") == "purchase") & (F.col("value") > 40)).alias("n_done"),
-        F.count_if((F.col("event_type") == "click") & (F.col("value") > 40)).alias("n_acted"),
-        F.count_if((F.col("event_type") == "signup") & (F.col("value") > 40)).alias("n_decided"),
-        count("view").alias("n_compared"),
+    """A thread for each user and type of event."""
+    count = lambda kind: F.count_if((F.col("event_type") == kind) & (F.col("value") > 40))
+    return views.events(spark, d).groupBy(F.concat_ws(":", "user_id", "event_type").alias("thread_id")).agg(
+        count("purchase").alias("n_done"),
+        count("click").alias("n_acted"),
+        count("signup").alias("n_decided"),
+        F.count_if(F.col("event_type") == "view").alias("n_compared"),
         F.max("ts").alias("last_at"),
         F.min("ts").alias("first_at"),
         F.count("*").alias("n"),
-        F.countDistinct("event_type").alias("n_sources"),
+        F.countDistinct(F.hour("ts")).alias("n_sources"),
     )
 
 
@@ -470,7 +470,8 @@ def threads_by_state(spark, d):
 
 @query
 def delivery_gate(spark, d):
-    rows = _states(spark, d).withColumn("last_surfaced_at", F.when(F.col("thread_id") % 4 == 0, F.lit("2024-01-31 00:00:00").cast("timestamp"))).withColumn("score", F.col("n_compared") / F.col("n"))
+    surfaced = F.when(F.col("n_compared") > 0, F.lit("2024-01-31 00:00:00").cast("timestamp"))
+    rows = _states(spark, d).withColumn("last_surfaced_at", surfaced).withColumn("score", F.col("n") / 100)
     return tasks.gated(rows, now()).select("thread_id", "score", "idle_days", "rank")
 
 
