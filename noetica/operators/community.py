@@ -110,3 +110,10 @@ def connected(pairs: DataFrame) -> DataFrame:
         if new.join(labels.withColumnRenamed("component", "old"), "node").where("component != old").isEmpty():
             return new
         labels = new
+
+
+def save(communities: DataFrame, path: str, group: str, run: str, append: bool = False) -> None:
+    """Writes communities by group, with their run. A run replaces the group's earlier ones, and no other group's, unless `append`."""
+    rows = communities.withColumn("group_id", F.lit(group)).withColumn("run_id", F.lit(run))
+    writer = rows.write.partitionBy("group_id")
+    writer.mode("append").parquet(path) if append else writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)

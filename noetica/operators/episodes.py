@@ -79,3 +79,15 @@ def upsert(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 def preview(df: DataFrame, caps: dict[str, int]) -> DataFrame:
     return df.select(*[F.substring(c, 1, caps[c]).alias(c) if c in caps else F.col(c) for c in df.columns])
+
+
+def point_lookup(sources: DataFrame, pattern: str) -> DataFrame:
+    """The first source, by label, whose label matches a LIKE pattern in any case."""
+    return sources.where(F.col("label").ilike(pattern)).orderBy("label").limit(1)
+
+
+def checked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) rows of (name, content, reference_time as text): bad ones lack content or have a time that does not parse."""
+    bad = (F.trim(F.coalesce("content", F.lit(""))) == "") | (F.col("reference_time").isNotNull() & F.try_to_timestamp("reference_time").isNull())
+    good = rows.where(~bad).withColumn("name", F.substring("name", 1, NAME_CAP)).withColumn("reference_time", F.try_to_timestamp("reference_time"))
+    return good.withColumn("uuid", episode_id("name", "content")), rows.where(bad)

@@ -143,6 +143,8 @@ SELECT conv_id, turn, role, regexp_replace(array_to_string(list_prepend(regexp_r
     "corpus_summary": f"WITH {NOTES} SELECT count(*) AS n_notes, sum(length(body))::BIGINT AS chars, sum(least(length(body), 5000))::BIGINT AS capped_chars, (sum(least(length(body), 5000)) // 4)::BIGINT AS tokens FROM notes",
     "role_counts": f"WITH {TURNS} SELECT role, count(*) AS n_turns, count(DISTINCT saga) AS n_sagas FROM turns GROUP BY role",
     "thread_sources": f"WITH {SOURCES} SELECT conv_id, label, coalesce(created_at, '2026-01-01T00:00:00Z') AS created_at, length(raw_content)::INT AS n FROM sources WHERE source = 'assistant-thread' AND label NOT IN ('users', 'memories', 'projects', 'conversations') AND length(raw_content) > 100",
+    "source_lookup": f"WITH {SOURCES} SELECT conv_id, label, length(raw_content)::INT AS n FROM sources WHERE label ILIKE 'CONV 1%' ORDER BY label LIMIT 1",
+    "episode_check": f"WITH {NOTES} SELECT count(*) FILTER (name LIKE 'src1%') AS n_good, count(DISTINCT CASE WHEN name LIKE 'src1%' THEN name || body END) AS n_ids, count(*) FILTER (name NOT LIKE 'src1%') AS n_bad FROM notes",
     "search_sources_limit": f"WITH {SOURCES} SELECT conv_id, label, created_at FROM sources WHERE source = 'search-thread' AND length(raw_content) > 200 ORDER BY created_at NULLS FIRST, conv_id LIMIT 20",
     "search_thread_extract": """WITH f AS (SELECT conv_id, role, arg_min(text, turn) AS text FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1, 2)
 SELECT 'conv ' || conv_id AS label, 'Query' AS name, 'user: ' || substring(text, 1, 2000) AS body, 0::INT AS turn_index FROM f WHERE role = 'user' AND length(text) > 10

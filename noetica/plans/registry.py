@@ -239,6 +239,19 @@ def thread_sources(spark, d):
     return out.select("conv_id", "label", F.coalesce("created_at", F.lit(views.DEFAULT_TIME)).alias("created_at"), F.length("raw_content").alias("n"))
 
 
+@query
+def source_lookup(spark, d):
+    return episodes.point_lookup(views.sources(spark, d), "CONV 1%").select("conv_id", "label", F.length("raw_content").alias("n"))
+
+
+@query
+def episode_check(spark, d):
+    """Notes, those of some sources with a time that does not parse."""
+    notes = views.notes(spark, d).select("name", F.col("body").alias("content"), F.when(F.col("name").startswith("src1"), F.lit("2026-01-02T03:04:05Z")).otherwise(F.lit("yesterday")).alias("reference_time"))
+    good, bad = episodes.checked(notes)
+    return good.agg(F.count("*").alias("n_good"), F.countDistinct("uuid").alias("n_ids")).join(bad.agg(F.count("*").alias("n_bad")), F.lit(True))
+
+
 @query
 def search_sources_limit(spark, d):
     out = episodes.thread_sources(views.sources(spark, d), "search-thread", 200)

@@ -149,3 +149,26 @@ def test_backfill(spark):
     out = embedding.backfilled(df, "text", "v", lambda: lambda texts: [np.array([len(t), 1.0]) for t in texts], cap=3)
     assert sorted(r.v[0] for r in out.collect()) == [0.0, 2.0, 3.0]
     assert np.allclose(embedding.pooled(np.array([[3.0, 0.0], [0.0, 4.0]]), 1), [0.6])
+
+
+def test_saved_communities(spark, tmp_path):
+    path = str(tmp_path / "communities")
+    one = spark.createDataFrame([("C:a", "a")], "uuid string, name string")
+    community.save(one, path, "g", "1")
+    community.save(one, path, "h", "1")
+    community.save(one, path, "g", "2", append=True)
+    assert spark.read.parquet(path).count() == 3
+    community.save(one, path, "g", "3")
+    assert sorted((r.group_id, r.run_id) for r in spark.read.parquet(path).collect()) == [("g", "3"), ("h", "1")]
+
+
+def test_reports(engine, spark):
+    from noetica import reports
+
+    assert "**1.** " in reports.search_report(engine.search("zero", 1), "zero")
+    assert reports.search_report(engine.search("zero").limit(0), "nothing") == "No results for: nothing"
+    text = reports.history_report(engine.history("alpha", k=5), "alpha")
+    assert "## Current facts" in text and "~~alpha beta two~~" in text
+    assert "- Orphans: 2 (33.3%)" in reports.stats_report(engine.stats())
+    asked = spark.createDataFrame([("q1", "recall", "what?", None)], "id string, dimension string, question string, answer string")
+    assert "- accuracy: __ / 5" in reports.evaluation_report(asked)
