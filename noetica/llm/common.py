@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that one task of a group-wise operator should get.
-TASK_BYTES = 12 << 20
-#: Groups that a task gets: a group is what Python holds at once.
-GROUPS_PER_TASK = 4
+#: Text bytes that one task of a group-wise operator should get, and beyond so many tasks.
+TASK_BYTES, MANY_TASKS, LARGE_TASK_BYTES = 12 << 20, 4096, 256 << 20
+#: Text bytes of a group: what Python holds at once.
+GROUP_BYTES = 3 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,24 +50,34 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
 
 
-def tasks_for(n_bytes: int, task_bytes: int = TASK_BYTES) -> int:
-    return max(8, math.ceil(n_bytes / task_bytes))
+def tasks_for(n_bytes: int) -> int:
+    """Small tasks while they are few, large ones from then on."""
+    small = max(8, math.ceil(n_bytes / TASK_BYTES))
+    return small if small <= MANY_TASKS else max(MANY_TASKS, math.ceil(n_bytes / LARGE_TASK_BYTES))
 
 
-def grouped_documents(docs: DataFrame, n_tasks: int, seed: int = 7) -> DataFrame:
-    """(gid, doc_id, text), dealt into n_tasks * GROUPS_PER_TASK random groups by id and text.
+def groups_for(n_bytes: int) -> int:
+    """Groups of one size, however large the input; also the buckets of values that groups exchange."""
+    return max(32, 4 * math.ceil(n_bytes / (4 * GROUP_BYTES)))
+
+
+def _gid(n_bytes: int, seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)), F.lit(groups_for(n_bytes))).cast("int").alias("gid")
+
+
+def grouped_documents(docs: DataFrame, n_bytes: int, seed: int = 7) -> DataFrame:
+    """(gid, doc_id, text), dealt into random groups by id and text.
 
     The one shuffle of whole texts: every later join on gid finds this partitioning in place.
     """
-    gid = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)), F.lit(n_tasks * GROUPS_PER_TASK)).cast("int")
-    return docs.select(gid.alias("gid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartition(n_tasks, "gid")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.select(_gid(n_bytes, seed), "doc_id", "text").repartition(tasks_for(n_bytes), "gid")
 
 
-def carried_documents(docs: DataFrame, n_tasks: int, seed: int = 7) -> DataFrame:
+def carried_documents(docs: DataFrame, n_bytes: int, seed: int = 7) -> DataFrame:
     """(gid, doc_id, text, rest): as grouped_documents, with all other columns in the struct `rest`, whatever their names."""
-    grouped = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
-    gid = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)), F.lit(n_tasks * GROUPS_PER_TASK)).cast("int")
-    return grouped.select(gid.alias("gid"), "doc_id", "text", "rest").repartition(n_tasks, "gid")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
+    return rows.select(_gid(n_bytes, seed), "doc_id", "text", "rest").repartition(tasks_for(n_bytes), "gid")
 
 
 def uncarried(df: DataFrame, like: DataFrame) -> DataFrame:

@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noetica.llm.common import TASK_BYTES, tasks_for, text_bytes, texts_of
+from noetica.llm.common import tasks_for, text_bytes, texts_of
 
 #: The prime 2^31 - 1 and two bases below it.
 PRIME, BASES = (1 << 31) - 1, (1_103_515_245, 1_664_525_123)
 NULL_ID = -(1 << 63)
+#: Ranges of ids that a task gets: they are dealt by hash, and several even out.
+RANGES_PER_TASK = 4
 
 
 class _Powers:
@@ -161,9 +163,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     driver. Rows move once, to their range, and the first row of a range also to the range before it, where it is
     the look-ahead of the last row. A task keeps two documents at a time.
     """
-    n = tasks_for(text_bytes(docs), TASK_BYTES)
+    n = tasks_for(text_bytes(docs))
+    ranges = n * RANGES_PER_TASK
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    cuts = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n)).first()[0] or []
+    cuts = docs.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], min(20 * ranges, 1_000_000))).first()[0] or []
     bounds = np.unique(np.array(cuts, np.int64))
 
     @F.pandas_udf("long")

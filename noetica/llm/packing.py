@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from noetica.llm.bpe import encoder
-from noetica.llm.common import grouped_documents, tasks_for, text_bytes, texts_of
+from noetica.llm.common import grouped_documents, text_bytes, texts_of
 
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -109,4 +109,4 @@ def packed(docs: DataFrame, path: str, capacity: int = 1024, closing_id: int = 0
         columns = [doc_id, found[:, 1], found[:, 2], crc, totals[found[:, 0]], (np.int64(gid) << 32) + found[:, 3], found[:, 4]]
         return pa.table([pa.array(c, pa.int64()) for c in columns], [c.split()[0] for c in COLUMNS.split(", ")])
 
-    return grouped_documents(docs, tasks_for(text_bytes(docs))).groupBy("gid").applyInArrow(run, COLUMNS)
+    return grouped_documents(docs, text_bytes(docs)).groupBy("gid").applyInArrow(run, COLUMNS)

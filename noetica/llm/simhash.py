@@ -28,8 +28,8 @@ from noetica.llm.components import components
 
 #: Members of one variant that are verified pair by pair.
 DENSE = 512
-#: Variant rows that a task gets.
-TASK_ROWS = 1 << 19
+#: Variant rows that a task gets, until there are so many tasks.
+TASK_ROWS, MOST_TASKS = 1 << 19, 50_000
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -149,6 +149,10 @@ def _full_ball_stars(arrived):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["a", "b"])
 
 
+def _tasks(rows: int) -> int:
+    return min(max(8, rows // TASK_ROWS), MOST_TASKS)
+
+
 def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     """(a, b) between distinct fingerprints (column fp): enough links to connect all that differ in at most `radius` bits."""
     count = distinct.count()
@@ -156,14 +160,14 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     masks = F.array(*[F.lit(m) for m in ball(32, radius // 4)]) if radius // 4 else F.array(F.lit(0))
     emitted = distinct.select("fp", F.explode(F.array(F.col("fp").bitwiseAND(low), F.shiftrightunsigned("fp", 32).bitwiseOR(F.lit(1 << 32)))).alias("half"))
     emitted = emitted.select(F.explode(F.transform(masks, lambda m: F.col("half").bitwiseXOR(m))).alias("variant"), "fp")
-    n = max(8, count * 66 // TASK_ROWS)
+    n = _tasks(count * 66)
     met = written(emitted.repartition(n, "variant").sortWithinPartitions("variant").mapInArrow(_meetings(radius), "a long, b long"), "met")
     found = met.where("b is not null")
     dense = met.where("b is null").select(F.col("a").alias("fp")).distinct()
     if many := dense.count():
-        dense = written(dense, "dense").repartition(max(8, many * 2081 // TASK_ROWS // 4))
+        dense = written(dense, "dense").repartition(max(8, _tasks(many * 2081) // 4))
         whole = dense.select(F.explode(F.transform(F.array(*[F.lit(m) for m in ball(64, radius // 2)]), lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"), "fp")
-        whole = whole.repartition(max(8, many * 2081 // TASK_ROWS), "variant").sortWithinPartitions("variant", "fp")
+        whole = whole.repartition(_tasks(many * 2081), "variant").sortWithinPartitions("variant", "fp")
         found = found.union(whole.mapInArrow(_full_ball_stars, "a long, b long"))
     return found
 

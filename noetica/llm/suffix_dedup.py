@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noetica.llm.blobs import SENT, answered, gathered, replies, scattered
-from noetica.llm.common import GROUPS_PER_TASK, carried_documents, grouped_documents, released, tasks_for, text_bytes, uncarried
+from noetica.llm.common import carried_documents, grouped_documents, groups_for, released, text_bytes, uncarried
 
 #: Bytes of an anchor; width - ANCHOR + 1 strings share one at most, and that many bits an answer has.
 ANCHOR = 24
@@ -309,9 +309,9 @@ def _groups(docs: DataFrame, width: int, dealt=grouped_documents):
     """(groups, buckets, answers): the groups of documents, and the answers of both rounds for each."""
     if not ANCHOR <= width <= ANCHOR + 31:
         raise ValueError(f"width must be {ANCHOR} to {ANCHOR + 31}")
-    n = tasks_for(text_bytes(docs))
-    n_buckets = n * GROUPS_PER_TASK
-    groups = dealt(docs, n)
+    n_bytes = text_bytes(docs)
+    n_buckets = groups_for(n_bytes)
+    groups = dealt(docs, n_bytes)
 
     def send_anchors(key: tuple, table: pa.Table) -> pa.Table:
         sent = _Group(table, width).send_anchors(key[0].as_py(), n_buckets)[0]

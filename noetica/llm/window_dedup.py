@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from noetica.llm.blobs import SENT, answered, gathered, replies, scattered
 from noetica.llm.bpe import span_hashes
-from noetica.llm.common import GROUPS_PER_TASK, grouped_documents, tasks_for, text_bytes
+from noetica.llm.common import grouped_documents, groups_for, text_bytes
 
 NULL_ID = -(1 << 63)
 #: An odd base and its inverse modulo 2^64.
@@ -132,9 +132,9 @@ def removal(group: _Group, answers: pa.Table, gid: int, n_buckets: int) -> np.nd
 
 def dedup(docs: DataFrame, width: int = 20) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row."""
-    n = tasks_for(text_bytes(docs))
-    n_buckets = n * GROUPS_PER_TASK
-    groups = grouped_documents(docs, n)
+    n_bytes = text_bytes(docs)
+    n_buckets = groups_for(n_bytes)
+    groups = grouped_documents(docs, n_bytes)
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
         return _Group(table, width).scattered(key[0].as_py(), n_buckets)[0]
