@@ -58,7 +58,7 @@ def tasks_for(n_bytes: int) -> int:
 
 def groups_for(n_bytes: int) -> int:
     """Groups of one size, however large the input; also the buckets of values that groups exchange."""
-    return max(32, 4 * math.ceil(n_bytes / (4 * GROUP_BYTES)))
+    return max(8, math.ceil(n_bytes / GROUP_BYTES))
 
 
 def _gid(n_bytes: int, seed: int) -> Column:
