@@ -39,7 +39,7 @@ ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 #: Code points of a batch that are scanned together.
 BATCH_CHARS = 1 << 20
 #: Slices that a worker's cache holds in each of its two generations.
-CACHE_SLICES = 250_000
+CACHE_SLICES = 150_000
 #: The rank of pairs that never merge.
 NEVER = np.iinfo(np.int64).max
 
