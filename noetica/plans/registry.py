@@ -132,28 +132,25 @@ def thread_edge_types(spark, d):
 # temporal
 
 
-def _candidates(spark, d) -> DataFrame:
+def _history(spark, d, at: str | None = None, null_open: bool = False) -> DataFrame:
     found = views.edges(spark, d).where(F.col("fact").contains(HISTORY_WORD))
-    return views.recent(found, temporal.OVERFETCH * K, F.desc("valid_at"), F.col("uuid"))
-
-
-def _history(df: DataFrame) -> DataFrame:
-    return _dated(df.select("bucket", "rank", "uuid", "fact", "valid_at", "invalid_at"), "valid_at", "invalid_at")
+    out = temporal.whole_history(found, K, [F.desc("valid_at"), F.col("uuid")], at and F.lit(at).cast("timestamp"), null_open)
+    return _dated(out.select("bucket", "rank", "uuid", "fact", "valid_at", "invalid_at"), "valid_at", "invalid_at")
 
 
 @query
 def history_now(spark, d):
-    return _history(temporal.history(_candidates(spark, d), K))
+    return _history(spark, d)
 
 
 @query
 def history_asof(spark, d):
-    return _history(temporal.history(_candidates(spark, d), K, F.lit("2001-06-01 00:00:00").cast("timestamp")))
+    return _history(spark, d, "2001-06-01 00:00:00")
 
 
 @query
 def history_asof_mcp(spark, d):
-    return _history(temporal.history(_candidates(spark, d), K, F.lit("2001-06-01 00:00:00").cast("timestamp"), null_open=True))
+    return _history(spark, d, "2001-06-01 00:00:00", null_open=True)
 
 
 @query

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from noetica.api import GraphEngine
 from noetica.operators import community, graph, retrieval, temporal
+from noetica.plans import registry
 from noetica.schema import EDGE, ENTITY, EPISODE
+from noetica.sources import views
 
 T = [datetime(2020, 1, 1 + i) for i in range(9)]
 
@@ -73,6 +75,19 @@ def test_history(engine):
     assert now["superseded"] == ["ab2", "nullend", "zero"] and not set(now["current"]) & set(now["superseded"])
 
 
+def test_history_before_many_newer_edges(spark):
+    """Edges that start after the date don't take the places of those valid at it."""
+    for d in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        matching = views.edges(spark, d).where("contains(fact, 'red widget')").select("uuid", "valid_at", "invalid_at").collect()
+        started = [r for r in matching if r.valid_at <= datetime(2001, 6, 1)]
+        current = [r for r in started if r.invalid_at is None or r.invalid_at > datetime(2001, 6, 1)]
+        want = {"current": current, "superseded": [r for r in started if r not in current]}
+        want = {b: [r.uuid for r in sorted(rows, key=lambda r: (-r.valid_at.timestamp(), r.uuid))[: registry.K]] for b, rows in want.items()}
+        for name in ("history_asof", "history_asof_mcp"):
+            got = registry.QUERIES[name](spark, d).orderBy("rank").collect()
+            assert {b: [r.uuid for r in got if r.bucket == b] for b in want} == want
+
+
 def test_stats_and_orphans(engine, spark):
     (row,) = engine.stats().collect()
     assert row.asDict() == {"entity_count": 6, "edge_count": 7, "episode_count": 2, "community_count": 0, "orphan_count": 2}
