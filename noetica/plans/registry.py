@@ -409,7 +409,7 @@ def near_dup_nodes(spark, d):
 
 @query
 def entity_resolution(spark, d):
-    told = views.notes(spark, d).limit(0).select(F.col("name").alias("mention"))
+    told = resolve.extracted(views.notes(spark, d).select(F.col("doc_id").alias("uuid"), F.col("body").alias("content"))).select("mention")
     names = views.entities(spark, d).select(F.regexp_replace(F.upper("name"), "0#|#0", "##").alias("mention"))
     return resolve.resolve(told.unionByName(names), views.entities(spark, d).where("uuid like 'S:%'"))
 
