@@ -3,7 +3,8 @@
 Base forms (email, ip, card, phone) give the seeds. Every identifier-like string of a text, seed or not, is an instance;
 the two tokens before it are its lexical pattern. Spark scores the graph of patterns and instances in rounds: a
 pattern by the share of its instances that are of a kind, and by how many different ones there are; an instance by the
-best of its patterns. Patterns that end with high confidence, at most PATTERNS of them, find further identifiers of their
+best of its patterns; in each round, patterns with enough believed instances join those with enough seeds. All patterns
+that end with high confidence are a table, joined with the patterns' occurrences; they find further identifiers of their
 kind: number-like strings and written-out addresses that the base forms miss. Such spans are added; base spans
 stay, and an added span never overlaps one.
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from noetica.llm.common import texts_of, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring, least confidence and different instances of a pattern, and most patterns that are used.
-ROUNDS, CONFIDENCE, SUPPORT, PATTERNS = 3, 0.9, 5, 2_000
+#: Rounds of scoring, least confidence and different instances of a pattern.
+ROUNDS, CONFIDENCE, SUPPORT = 3, 0.9, 5
 
 # The base forms.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -128,36 +129,77 @@ def instances(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "pattern string, instance string, kind string").groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
 
 
-def learned(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT, most: int = PATTERNS) -> dict[str, str]:
-    """Kind by pattern, for the patterns of high confidence.
+def learned_patterns(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+    """(pattern, kind) of all patterns of high confidence, a table.
 
     A pattern's confidence in a kind is the mean score of its different instances for that kind; a seed scores 1 for its
-    own kind and 0 for others, any other instance the greatest confidence of its patterns in the round before.
+    own kind and 0 for others, any other instance the greatest confidence of its patterns in the round before. A pattern
+    counts for a kind once it has enough seeds of it, or instances that are believed with high confidence, or both together.
     """
     graph = written(instances(docs), "instances")
     seeds = graph.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
     sizes = graph.groupBy("pattern").agg(F.count("*").alias("size"))
-    bases = written(seeds.where(F.col("seeds") >= support).join(sizes, "pattern"), "patterns")
-    if bases.isEmpty():
-        return {}
-    unknown = graph.where("kind is null").select("pattern", "instance").join(bases.select("pattern").distinct(), "pattern", "left_semi")
-    scores = bases.select("pattern", "kind", "seeds", "size", (F.col("seeds") / F.col("size")).alias("score"))
+    bases = seeds.where(F.col("seeds") >= support).join(sizes, "pattern")
+    scores = written(bases.select("pattern", "kind", "seeds", F.lit(0).cast("long").alias("sure"), (F.col("seeds") / F.col("size")).alias("score")), "patterns")
+    if scores.isEmpty():
+        return scores.select("pattern", "kind")
+    unknown = graph.where("kind is null").select("pattern", "instance")
     for _ in range(rounds):
         believed = unknown.join(scores.select("pattern", "kind", "score"), "pattern").groupBy("instance", "kind").agg(F.max("score").alias("belief"))
-        gained = unknown.join(believed, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("gained"))
-        scores = bases.join(gained, ["pattern", "kind"], "left").select("pattern", "kind", "seeds", "size", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / F.col("size")).alias("score"))
-        scores = written(scores, "scores")
-    # a pattern is used for the kind that most of its seeds have, and only if nearly all of its seeds have it
+        gained = unknown.join(believed, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("gained"), F.count_if(F.col("belief") >= confidence).alias("sure"))
+        found = seeds.join(gained, ["pattern", "kind"], "full").fillna(0, ["seeds", "gained", "sure"]).where(F.col("seeds") + F.col("sure") >= support).join(sizes, "pattern")
+        scores = written(found.select("pattern", "kind", "seeds", "sure", ((F.col("seeds") + F.col("gained")) / F.col("size")).alias("score")), "scores")
+    # a pattern is used for the kind that most of its seeds and believed instances have, and only if nearly all have it
     pure = seeds.groupBy("pattern").agg(F.sum("seeds").alias("all_seeds"))
-    best = scores.join(pure, "pattern").where((F.col("score") >= confidence) & (F.col("seeds") >= confidence * F.col("all_seeds")))
-    return {r.pattern: r.kind for r in best.orderBy(F.desc("seeds"), "pattern").limit(most).collect()}
+    sure = scores.groupBy("pattern").agg(F.sum("sure").alias("all_sure"))
+    best = scores.join(pure, "pattern", "left").join(sure, "pattern").where((F.col("score") >= confidence) & (F.col("seeds") >= confidence * F.coalesce("all_seeds", F.lit(0))) & (F.col("sure") >= confidence * F.col("all_sure")))
+    return written(best.groupBy("pattern").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind")), "learned")
 
 
-def added_spans(text: str, base: list[tuple[int, int, int]], patterns: dict[str, str]) -> list[tuple[int, int, int]]:
-    if not patterns:
-        return []
-    kinds = [(patterns.get(pattern_of(text, a)), a, b, form) for a, b, form in unseen(text, base)]
-    return [(KINDS.index(k), a, b) for k, a, b, form in kinds if k and (form == "spelt") == (k == "email")]
+def learned(docs: DataFrame, **bounds) -> dict[str, str]:
+    """learned_patterns() as a dictionary, for looking at; found() and redacted() join the table."""
+    return {r.pattern: r.kind for r in learned_patterns(docs, **bounds).collect()}
+
+
+#: Columns that texts carry with them: a hash of the text, and its added spans.
+_KEY, _ADDED = "_noetica_text", "_noetica_added"
+
+
+def _key():
+    return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+
+
+def added_spans(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """For each different text with any, by the hash of the text: the identifier-like strings after a pattern of their kind."""
+
+    def run(arrived):
+        for batch in arrived:
+            rows = []
+            for key, text in zip(batch.column(_KEY).to_pylist(), texts_of(batch.column("text")), strict=True):
+                if _may_hold(text):
+                    rows += [(key, p, a, b, form == "spelt") for a, b, form in unseen(text, base_spans(text)) if (p := pattern_of(text, a))]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], [_KEY, "pattern", "start", "end", "spelt"])
+
+    places = docs.select(_key().alias(_KEY), "text").mapInArrow(run, f"{_KEY} string, pattern string, start long, end long, spelt boolean").distinct()
+    hits = places.join(patterns, "pattern").where(F.col("spelt") == (F.col("kind") == "email"))
+    return hits.groupBy(_KEY).agg(F.collect_list(F.struct("kind", "start", "end")).alias(_ADDED))
+
+
+def _with_added(docs: DataFrame, patterns: DataFrame | None) -> DataFrame:
+    """docs, with a last column of added spans if there are any patterns."""
+    patterns = learned_patterns(docs) if patterns is None else patterns
+    if patterns.isEmpty():
+        return docs
+    added = written(added_spans(docs, patterns), "added")
+    return docs.withColumn(_KEY, _key()).join(added, _KEY, "left").drop(_KEY)
+
+
+def _added_of(batch: pa.RecordBatch) -> list[list[tuple[int, int, int]]]:
+    if _ADDED not in batch.schema.names:
+        return [[]] * batch.num_rows
+    return [[(KINDS.index(x["kind"]), x["start"], x["end"]) for x in found or []] for found in batch.column(_ADDED).to_pylist()]
 
 
 def _digest(spans: list[tuple[int, int, int]]) -> str:
@@ -167,35 +209,33 @@ def _digest(spans: list[tuple[int, int, int]]) -> str:
 COLUMNS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
-def found(docs: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row; patterns: as learned() gives them."""
-    patterns = learned(docs) if patterns is None else patterns
+def found(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row; patterns: as learned_patterns() gives them."""
     none = hashlib.sha256(b"").hexdigest()
 
     def run(arrived):
         for batch in arrived:
             counts, shas, spans = np.zeros((4, batch.num_rows), np.int64), [], []
-            for i, text in enumerate(texts_of(batch.column("text"))):
+            for i, (text, added) in enumerate(zip(texts_of(batch.column("text")), _added_of(batch), strict=True)):
                 base = base_spans(text) if _may_hold(text) else []
                 for k, _, _ in base:
                     counts[k, i] += 1
                 shas.append(hashlib.sha256(_digest(base).encode()).hexdigest() if base else none)
-                spans.append(_digest(base + added_spans(text, base, patterns)) if _may_hold(text) else "")
+                spans.append(_digest(base + added) if _may_hold(text) else "")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *map(pa.array, counts), pa.array(shas, pa.string()), pa.array(spans, pa.string())], [c.split()[0] for c in COLUMNS.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, COLUMNS)
+    return _with_added(docs.select("doc_id", "text"), patterns).mapInArrow(run, COLUMNS)
 
 
-def redacted(docs: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
+def redacted(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     """All rows and columns of docs, every span of the text replaced by its kind in brackets; overlapping spans become one."""
-    patterns = learned(docs) if patterns is None else patterns
-    place = docs.columns.index("text")
+    place, names = docs.columns.index("text"), docs.columns
 
-    def clean(text: str | None) -> str | None:
+    def clean(text: str | None, added: list[tuple[int, int, int]]) -> str | None:
         if text is None or not _may_hold(text):
             return text
         base = base_spans(text)
-        spans = sorted((a, b, k) for k, a, b in base + added_spans(text, base, patterns))
+        spans = sorted((a, b, k) for k, a, b in base + added)
         out, at = [], 0
         for a, b, k in spans:
             if a >= at:
@@ -205,8 +245,8 @@ def redacted(docs: DataFrame, patterns: dict[str, str] | None = None) -> DataFra
 
     def run(arrived):
         for batch in arrived:
-            columns = list(batch.columns)
-            columns[place] = pa.array([clean(t) for t in columns[place].to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            columns = list(batch.columns)[: len(names)]
+            columns[place] = pa.array([clean(t, a) for t, a in zip(columns[place].to_pylist(), _added_of(batch), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return _with_added(docs, patterns).mapInArrow(run, docs.schema)

@@ -114,6 +114,26 @@ def test_contexts_find_more(spark):
     assert got[50].spans == "phone:15:27" and got[50].n_phone == 0 and got[51].spans == "" and got[50].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_believed_instances_add_patterns(spark):
+    rows = [(i, f"please ring me: call number +1 555 010 {1000 + i} now") for i in range(60)]
+    rows += [(100 + i, f"so call number 555-0100-22{i} today") for i in range(6)] + [(200 + i, f"or my line 555-0100-22{i} there") for i in range(6)]
+    rows += [(300, "try my line 555-0100-777 then"), (301, "the serial 555-0100-778 is fine"), (None, "try my line 555-0100-777 then"), (302, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii.learned(df) == {"call number": "phone", "my line": "phone"}
+    got = {r.doc_id: r.spans for r in pii.found(df).collect()}
+    assert got[300] == got[None] == "phone:12:24" and got[301] == got[302] == "" and len(got) == len(rows)
+    text = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    assert text[300] == "try my line [PHONE] then" and text[301] == rows[-3][1] and text[302] is None
+
+
+def test_every_pattern_is_used(spark):
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(i, f"{word(i)} number +1 555 {i:04} {1000 + j}") for i in range(2100) for j in range(5)]
+    rows += [(10_000 + i, f"{word(i)} number 555-{i:04}-777") for i in range(2100)]
+    got = pii.found(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 10000").collect()
+    assert len(got) == 2100 and all(r.spans == "phone:11:23" for r in got)
+
+
 def test_search(messy, messy_rows, empty, monkeypatch):
     from collections import Counter
 
