@@ -371,7 +371,7 @@ def community_build(spark, d):
 @query
 def list_communities(spark, d):
     built = community_build(spark, d)
-    return built.select(F.concat(F.lit("C:"), "label").alias("uuid"), "name", F.coalesce("summary", F.lit("")).alias("summary")).orderBy("name", "uuid").limit(20)
+    return built.select(F.concat(F.lit("C:"), "label").alias("uuid"), "name", F.coalesce("summary", F.lit("")).alias("summary")).orderBy("name", "uuid")
 
 
 # embeddings

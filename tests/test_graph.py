@@ -132,6 +132,13 @@ def test_communities(engine, spark):
     assert engine.build_communities(2).count() >= 1
 
 
+def test_all_built_communities_are_listed(spark, monkeypatch):
+    built = spark.createDataFrame([(f"{i:02}", f"name {i:02}", None) for i in range(45)], "label string, name string, summary string")
+    monkeypatch.setattr(registry, "community_build", lambda spark, d: built)
+    rows = registry.list_communities(spark, "").collect()
+    assert [r.uuid for r in rows] == [f"C:{i:02}" for i in range(45)] and {r.summary for r in rows} == {""}
+
+
 def test_components(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31)], "a long, b long")
     got = {r.node: r.component for r in community.connected(pairs).collect()}
