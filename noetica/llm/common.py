@@ -27,9 +27,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; one of our own where it is unset and all run on this machine."""
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         have = tempfile.mkdtemp(prefix="noetica-shared-")
         spark.conf.set("spark.checkpoint.dir", have)
     if spark.sparkContext.getCheckpointDir() is None:

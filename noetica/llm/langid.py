@@ -1,35 +1,51 @@
 """Language identification by words first, then by shorter and shorter n-grams (operator 8).
 
 A known word scores by its log frequency in each language; an unseen word by the n-grams of the greatest length at which
-any of its n-grams is known. The model is fitted on at most DOCS_PER_LANGUAGE documents of each language, drawn by a hash
-of the id, with at most WORDS words; both bounds are parameters. Word counts come from Spark; only the bounded
-vocabulary reaches the driver. Prediction is a map over the scan.
-
-Defined results: a text that is null or has no letter is `und` with score 0; where nothing of a text is known, the
-languages' shares among the documents decide; ties go to the language that comes first by name; with no training
-rows every text is `und`; repeated rows get equal results; other columns of the input are ignored.
+any of its n-grams is known. The model is fitted on a sample of the labelled documents: DOCS_PER_LANGUAGE of each language
+are expected, drawn by a hash of id and text (all of a language that has fewer). Every language gets an equal share of WORDS
+words, its most frequent ones, from which the n-grams come too; words over LONGEST letters are left to their n-grams.
+These bounds are parameters. Word counts come from Spark; only the bounded vocabulary reaches the driver. All values of lang
+are learned; more than MOST_LANGUAGES of them are taken for an error in the column and raise ValueError. Prediction is a map
+over the scan.
+
+Defined results: a text that is null or has no letter (Unicode categories L*) is `und` with score 0; where nothing of a text
+is known, the languages' shares among the documents decide; ties go to the language that comes first by name; without
+training rows, and so for an empty table, every text is `und`, and an empty table gives no rows; rows with a null id
+can be learned from, those with a null lang can't; texts of any length are taken whole, TOGETHER words at a time; repeated rows
+get equal results; other columns of the input, whatever their names, are ignored (identified() keeps them all).
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noetica.llm.common import held_out, released, texts_of
 
 #: Bounds of the model.
-DOCS_PER_LANGUAGE, WORDS, LANGUAGES = 2_000, 30_000, 200
+DOCS_PER_LANGUAGE, WORDS, LONGEST, MOST_LANGUAGES = 2_000, 40_000, 64, 1_000
 #: Lengths of n-grams, longest first.
 GRAMS = (5, 4, 3, 2, 1)
-#: Words whose scores a worker keeps, and words that it scores together.
-CACHED, TOGETHER = 150_000, 200_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Words whose scores a worker keeps, in bytes of scores, and words that it scores together.
+CACHED_BYTES, TOGETHER = 8 << 20, 200_000
+
+
+def _letters() -> re.Pattern:
+    r"""Runs of letters: `[^\W\d_]` without the numbers that \W leaves in (categories Nl and No)."""
+    numbers = [c for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) in ("Nl", "No")]
+    starts = [c for c in numbers if unicodedata.category(chr(c - 1)) not in ("Nl", "No")]
+    ends = [c for c in numbers if c == 0x10FFFF or unicodedata.category(chr(c + 1)) not in ("Nl", "No")]
+    return re.compile(r"[^\W\d_" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True)) + "]+")
+
+
+_LETTERS = _letters()
 
 
 def _marked(word: str, size: int) -> str:
@@ -93,7 +109,8 @@ class Scorer:
 
     def reset(self) -> None:
         self.row: dict[str, int] = {}
-        self.scores = np.zeros((CACHED + TOGETHER, len(self.model.languages)), np.float32)
+        n = max(1, len(self.model.languages))
+        self.scores = np.zeros((CACHED_BYTES // (4 * n) + TOGETHER, n), np.float32)
 
     def sums(self, texts: list[list[str]]) -> np.ndarray:
         """Summed logs of each text's words, which are TOGETHER at most."""
@@ -147,34 +164,42 @@ class Scorer:
 def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, n_words: int = WORDS) -> Model:
     """Learns from the text and lang of documents that are not held out."""
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    by_language = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    by_language = train.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
     if not by_language:
         return Model([], np.empty(0), [], np.empty((0, 0)))
+    if len(by_language) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
     languages = sorted(r.lang for r in by_language)
     size = {r.lang: r["count"] for r in by_language}
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / size[lang]))])
-    drawn = train.where(F.col("lang").isin(languages)).where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share[F.col("lang")])
+    drawn = train.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(8)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share[F.col("lang")])
 
     def count(arrived):
         for batch in arrived:
             found: dict[str, Counter] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch.column("text")), strict=True):
-                found.setdefault(lang, Counter()).update(_LETTERS.findall(text.lower()))
+                found.setdefault(lang, Counter()).update(w for w in _LETTERS.findall(text.lower()) if len(w) <= LONGEST)
             langs = np.repeat(np.arange(len(found)), [len(c) for c in found.values()])
             columns = [pa.array(list(found), pa.string()).take(pa.array(langs)), pa.array(chain.from_iterable(found.values()), pa.string()), pa.array(chain.from_iterable(c.values() for c in found.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
 
     counted = drawn.mapInArrow(count, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
-    wide = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{k}") for k, lang in enumerate(languages)]
-    top = counted.where(F.length("word") <= 64).groupBy("word").agg(*wide, F.sum("n").alias("all")).orderBy(F.desc("all"), "word").limit(n_words).toArrow()
-    counts = np.array([top.column(f"n{k}").to_numpy() for k in range(len(languages))], float).T.reshape(-1, len(languages))
+    # a language's most frequent words, with their counts in all languages beside them
+    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
+    by_word = ranked.groupBy("word").agg(F.min("rank").alias("best"), F.collect_list(F.struct("lang", "n")).alias("found"))
+    top = by_word.where(F.col("best") <= max(1, n_words // len(languages))).orderBy("word").select("word", "found").toArrow()
+    place = {lang: k for k, lang in enumerate(languages)}
+    counts = np.zeros((top.num_rows, len(languages)))
+    for i, found in enumerate(top.column("found").to_pylist()):
+        for x in found:
+            counts[i, place[x["lang"]]] = x["n"]
     shares = np.array([size[lang] for lang in languages], float)
     return Model(languages, shares / shares.sum(), top.column("word").to_pylist(), counts)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score beside doc_id and held_out."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and LANGUAGES
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and MOST_LANGUAGES
 
     def run(arrived):
         scorer = Scorer(sent.value)

@@ -5,8 +5,11 @@ Documents are dealt into random groups of about equal text, and every group is p
 the bins' free room finds the first bin that fits in logarithmic time. At the end of a group, the emptiest bins are
 taken apart and cut into the room that is left in the others, so that one bin of a group at most is padded.
 
-Defined results: null text counts as empty (its document is the closing id alone); repeated rows are packed one by
-one; rows with a null id keep it; other columns of the input are ignored.
+Texts are encoded as the tokenizer's library does by default: a text that spells out an added token has that token's id.
+
+Defined results: null text counts as empty (its document is the closing id alone); an empty table gives no rows; texts of
+any length are packed whole, in as many sequences as they need; repeated rows are packed one by one; rows with a null id
+keep it; other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -1,15 +1,19 @@
 """Personal data by base forms and bootstrapped contexts (operator 7).
 
 Base forms (email, ip, card, phone) give the seeds. Every identifier-like string of a text, seed or not, is an instance;
-the two tokens before it are its lexical pattern. Spark scores the graph of patterns and instances in rounds: a
+the last WIDTH characters of each of the two tokens before it are its lexical pattern. Spark scores the graph of patterns and instances in rounds: a
 pattern by the share of its instances that are of a kind, and by how many different ones there are; an instance by the
 best of its patterns; in each round, patterns with enough believed instances join those with enough seeds. All patterns
 that end with high confidence are a table, joined with the patterns' occurrences; they find further identifiers of their
 kind: number-like strings and written-out addresses that the base forms miss. Such spans are added; base spans
 stay, and an added span never overlaps one.
 
-Defined results: null text counts as empty; texts without digits and addresses have no span; repeated rows get equal
-results and their instances count once; rows with a null id keep it; other columns of the input are ignored.
+A pattern counts once it has SUPPORT different seeds or believed instances; that and the confidence are parameters.
+
+Defined results: null text counts as empty; texts without digits and addresses have no span; an empty table gives no rows;
+texts of any length are searched whole, in time that grows with the length; repeated rows get equal results and their
+instances count once; rows with a null id keep it; other columns of the input, whatever their names, are ignored (redacted()
+keeps them all).
 """
 
 from __future__ import annotations
@@ -31,16 +35,15 @@ ROUNDS, CONFIDENCE, SUPPORT = 3, 0.9, 5
 # The base forms.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # tried at the starts of runs only, where its leftmost matches are
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]+")
 
 #: Identifier-like strings: runs of digits with separators, and addresses written out.
 _NUMBER_LIKE = re.compile(r"(?<![^\W_])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}(?![^\W_])")
-_SPELT = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(]at[\])] ?[A-Za-z0-9-]+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+")
-_TOKEN = re.compile(r"\S+")
-_CONTEXT = 80
+_SPELT_DOMAIN = re.compile(r"[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)+")
+#: Characters of a token that a pattern has, and characters before an instance that nearly always hold two tokens.
+WIDTH, NEAR = 40, 1024
 
 
 def luhn(digits: str) -> bool:
@@ -51,15 +54,36 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _local_start(text: str, end: int, free: int) -> int:
+    """Where the run of local-part characters that ends at a place starts, not before `free`."""
+    while end > free and _LOCAL.match(text[end - 1]):
+        end -= 1
+    return end
+
+
+def spelt(text: str) -> list[tuple[int, int]]:
+    """Addresses written out, as a leftmost search for a local part, `[at]` and a domain would find them, from each `[at]` outwards."""
+    found, free = [], 0
+    for m in _SPELT_DOMAIN.finditer(text):
+        at = m.start()
+        start = _local_start(text, at, free)
+        if start == at and at > free and text[at - 1] == " ":
+            start = _local_start(text, at - 1, free)
+            if start == at - 1:
+                continue
+        if start < at:
+            found.append((start, m.end()))
+            free = m.end()
+    return found
+
+
 def _emails(text: str) -> list[tuple[int, int]]:
     """As a leftmost search of the form would find them, from each @ outwards: no scan of every word."""
     found, free, at = [], 0, text.find("@")
     while at >= 0:
         after = at + 1
         if (m := _DOMAIN.match(text, at)) is not None:
-            start = at
-            while start > free and _LOCAL.match(text[start - 1]):
-                start -= 1
+            start = _local_start(text, at, free)
             if start < at:
                 found.append((start, m.end()))
                 free = after = m.end()
@@ -84,8 +108,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def pattern_of(text: str, start: int) -> str:
-    """The two tokens before a place, in lower case, digits as 0; empty where there are fewer."""
-    tokens = _TOKEN.findall(text[max(0, start - _CONTEXT) : start].lower())[-2:]
+    """The two tokens before a place, of each the last WIDTH characters, in lower case, digits as 0; empty where there are fewer."""
+    tokens = text[max(0, start - NEAR) : start].rsplit(None, 2)
+    if start > NEAR and (len(tokens) < 2 or len(tokens) == 2 and len(tokens[0]) < WIDTH):
+        tokens = text[:start].rsplit(None, 2)
+    tokens = [t[-WIDTH:].lower() for t in tokens[-2:]]
     return re.sub(r"[0-9]", "0", " ".join(tokens)) if len(tokens) == 2 else ""
 
 
@@ -94,7 +121,7 @@ def unseen(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
     taken = sorted((a, b) for _, a, b in base)
     found = [(*m.span(), "number") for m in _NUMBER_LIKE.finditer(text)]
     if "at" in text and ("[" in text or "(" in text):
-        found += [(*m.span(), "spelt") for m in _SPELT.finditer(text)]
+        found += [(*m, "spelt") for m in spelt(text)]
     out, free = [], 0
     for a, b, form in sorted(found):
         if a >= free and not any(x < b and a < y for x, y in taken):

@@ -8,7 +8,8 @@ fixed number of sums.
 
 Defined results: null text counts as empty and is scored like any other; labels that are null or of ids that no document
 has are not used; an id that is labelled or present twice counts each time; without labels of both classes every score is
-the share of label 1 (0.5 with none); null ids are scored and never trained on; other columns of the input are ignored.
+the share of label 1 (0.5 with none); an empty table gives no rows; texts of any length are described whole; null ids are scored
+and never trained on; other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -7,9 +7,10 @@ that such a pair meets on one variant at least; the shuffle is on variants, and
 the exact other way and emit every variant of all 64 bits within half the radius. There, all that meet are links by the
 triangle inequality, so a star replaces the pairs. Nothing is dropped and no group is expanded into all pairs.
 
-Defined results: null and wordless texts have fingerprint zero and link like any other; equal fingerprints (repeated
-rows included) share a component; rows with a null id get the component of their fingerprint, whose id is the least
-non-null one (null if there is none); other columns of the input are ignored.
+Defined results: null and wordless texts have fingerprint zero and link like any other; an empty table gives no rows; texts
+of any length are hashed whole; equal fingerprints (repeated rows included) share a component; rows with a null id get the
+component of their fingerprint, whose id is the least non-null one (null if there is none); other columns of the input,
+whatever their names, are ignored (one_of_each() keeps them all).
 """
 
 from __future__ import annotations
@@ -155,9 +156,11 @@ def _tasks(rows: int) -> int:
 
 def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     """(a, b) between distinct fingerprints (column fp): enough links to connect all that differ in at most `radius` bits."""
+    if radius % 4 or not 0 <= radius <= 8:
+        raise ValueError("radius must be 0, 4 or 8")
     count = distinct.count()
     low = F.lit(0xFFFFFFFF)
-    masks = F.array(*[F.lit(m) for m in ball(32, radius // 4)]) if radius // 4 else F.array(F.lit(0))
+    masks = F.array(*[F.lit(m).cast("long") for m in ball(32, radius // 4)])
     emitted = distinct.select("fp", F.explode(F.array(F.col("fp").bitwiseAND(low), F.shiftrightunsigned("fp", 32).bitwiseOR(F.lit(1 << 32)))).alias("half"))
     emitted = emitted.select(F.explode(F.transform(masks, lambda m: F.col("half").bitwiseXOR(m))).alias("variant"), "fp")
     n = _tasks(count * 66)
@@ -166,7 +169,7 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     dense = met.where("b is null").select(F.col("a").alias("fp")).distinct()
     if many := dense.count():
         dense = written(dense, "dense").repartition(max(8, _tasks(many * 2081) // 4))
-        whole = dense.select(F.explode(F.transform(F.array(*[F.lit(m) for m in ball(64, radius // 2)]), lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"), "fp")
+        whole = dense.select(F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in ball(64, radius // 2)]), lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"), "fp")
         whole = whole.repartition(_tasks(many * 2081), "variant").sortWithinPartitions("variant", "fp")
         found = found.union(whole.mapInArrow(_full_ball_stars, "a long, b long"))
     return found

@@ -1,14 +1,20 @@
 """Substring dedup over windows of words (operator 6).
 
-Every window of `width` consecutive words gets a Rabin-Karp hash modulo 2^64 over 64-bit word hashes, by differences
-of one prefix array. Groups of documents settle what repeats within themselves and send the first of each of their hashes
-on, in packed rows; a bucket of hashes finds for each the first group and place, and answers with one bit per hash.
-Windows that start earlier elsewhere merge into maximal removal intervals.
-
-The order of windows is (doc_id, text, start). Defined results: null and short texts have no window and lose nothing;
-rows with equal id and text are one document and get equal results; rows with equal id and different texts are
-different documents, the lesser text first; a null id comes before all others; other columns of the input are ignored.
-Two different windows take each other's hash with a probability of 2^-64 a pair.
+Every window of `width` consecutive words gets two Rabin-Karp hashes modulo 2^61 - 1, by independent bases. Three rounds over
+random groups of documents, each in packed rows:
+
+1. a group settles what repeats within itself and sends 32 bits of the hash of each of its different windows to a bucket,
+   which answers with a bit: whether another group sent the same;
+2. windows that are shared that way go to their bucket with both hashes whole and their document, and the bucket answers
+   with a bit: whether the window starts earlier in another group;
+3. windows that start earlier elsewhere merge into maximal removal intervals.
+
+The order of windows is (doc_id, hash of the text, start). Defined results: null and short texts have no window and lose
+nothing; an empty table gives no rows; texts of any length are taken whole, and one long text makes a large group, not a
+large row of an exchange; rows with equal id and text are one document and get equal results; rows with equal id and
+different texts are different documents, the one with the lesser XXH64 of its text first; a null id comes before all
+others; other columns of the input, whatever their names, are ignored. Windows are compared by 122 bits: two different ones
+are taken for each other with a chance below 2^-110, whatever the words are.
 """
 
 from __future__ import annotations
@@ -17,16 +23,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from noetica.llm.blobs import SENT, answered, gathered, replies, scattered
-from noetica.llm.bpe import span_hashes
-from noetica.llm.common import grouped_documents, groups_for, text_bytes
+from noetica.llm.common import grouped_documents, groups_for, released, text_bytes
+from noetica.llm.hashing import BASES, window_hashes, word_hashes
 
 NULL_ID = -(1 << 63)
-#: An odd base and its inverse modulo 2^64.
-BASE = 0xC2B2AE3D27D4EB4F
-INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,16 +42,22 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return turns[::2], turns[1::2]
 
 
-def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of `width` word hashes."""
-    n = len(words)
-    powers = np.cumprod(np.full(n + 1, BASE, np.uint64)) if n else np.empty(0, np.uint64)
-    inverses = np.cumprod(np.full(n + 1, INVERSE, np.uint64)) if n else np.empty(0, np.uint64)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * powers[:n], out=prefix[1:])
-    hashes = (prefix[width:] - prefix[: n - width + 1]) * inverses[: n - width + 1]
-    hashes ^= hashes >> np.uint64(29)
-    return hashes * np.uint64(0xBF58476D1CE4E5B9)
+def _steps(values: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Values that repeat along a document as differences within their bucket: compressed, they shrink to almost nothing."""
+    order = np.argsort(bucket, kind="stable")
+    sorted_ = values[order]
+    step = np.diff(sorted_, prepend=sorted_[:1])
+    cut = np.append(True, np.diff(bucket[order]) != 0)[: len(order)]
+    step[cut] = sorted_[cut]
+    out = np.empty_like(values)
+    out[order] = step
+    return out
+
+
+def _unstepped(steps: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The values again, from rows of `counts` differences each."""
+    sums, first = np.cumsum(steps), np.cumsum(counts) - counts
+    return sums - np.repeat(sums[first] - steps[first], counts)
 
 
 class _Group:
@@ -54,80 +66,96 @@ class _Group:
     def __init__(self, table: pa.Table, width: int):
         ids = [NULL_ID if i is None else i for i in table.column("doc_id").to_pylist()]
         texts = [(t or "").encode() for t in table.column("text").to_pylist()]
-        keys = list(zip(ids, texts, strict=True))
+        keys = [(i, xxhash.xxh64_intdigest(t), t) for i, t in zip(ids, texts, strict=True)]
         self.docs = sorted(set(keys))
         place = {k: i for i, k in enumerate(self.docs)}
         self.rows = [place[k] for k in keys]
-        joined = b"\n".join(t for _, t in self.docs) + b"\n"
-        data = np.frombuffer(joined, np.uint8)
-        self.joined = joined
-        self.starts, self.ends = word_bounds(data)
-        ends_of_docs = np.cumsum([len(t) + 1 for _, t in self.docs])
-        self.word_doc = np.searchsorted(ends_of_docs, self.starts, side="right")
+        self.joined = b"\n".join(t for _, _, t in self.docs) + b"\n" + bytes(16)
+        self.data = np.frombuffer(self.joined, np.uint8)
+        self.starts, self.ends = word_bounds(self.data[:-16])
+        self.word_doc = np.searchsorted(np.cumsum([len(t) + 1 for _, _, t in self.docs]), self.starts, side="right")
         self.width = width
-        if len(self.starts) < width:
-            self.windows = self.hashes = np.empty(0, np.int64)
-        else:
-            hashes = window_hashes(span_hashes(data, self.starts, self.ends), width)
-            self.windows = np.flatnonzero(self.word_doc[: len(hashes)] == self.word_doc[width - 1 :])
-            self.hashes = hashes[self.windows]
-        order = np.argsort(self.hashes, kind="stable")
-        new = np.append(True, np.diff(self.hashes[order]) != 0)[: len(order)]
-        self.first = np.sort(order[new])  # places of windows that are the first of their hash here
-        self.sent_hashes = self.hashes[self.first]
-
-    def scattered(self, gid: int, n_buckets: int) -> tuple[pa.Table, np.ndarray]:
-        hashes = self.sent_hashes.astype(np.uint64)
-        ids = np.array([d for d, _ in self.docs], np.int64)[self.word_doc[self.windows[self.first]]]
-        # ids repeat along a document: as differences they shrink to almost nothing when the shuffle is compressed
-        bucket = (hashes >> np.uint64(40)).astype(np.int64) % n_buckets
-        order = np.argsort(bucket, kind="stable")
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        step = np.diff(ids[order], prepend=np.int64(0))
-        cut = np.append(True, np.diff(bucket[order]) != 0)[: len(order)]
-        step[cut] = ids[order][cut]
-        return scattered(gid, bucket, [hashes, step[back]], n_buckets)
+        one, two = (window_hashes(word_hashes(self.data, self.starts, self.ends, b), width, b) for b in BASES)
+        self.windows = np.flatnonzero(self.word_doc[: len(one)] == self.word_doc[width - 1 :]) if len(one) else np.empty(0, np.int64)
+        one, two = one[self.windows], two[self.windows]
+        order = np.argsort(one, kind="stable")
+        same = one[order[1:]] == one[order[:-1]]
+        if (two[order[1:]][same] != two[order[:-1]][same]).any():  # different windows with one first hash
+            order = np.lexsort((np.arange(len(one)), two, one))
+            same = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+        self.first = np.sort(order[np.append(True, ~same)[: len(order)]])  # places of windows that are the first of their kind here
+        self.one, self.two = one[self.first], two[self.first]
+        del one, two, order, same
+
+    def _buckets(self, n: int) -> np.ndarray:
+        return (self.one >> np.uint64(32)).astype(np.int64) % n
+
+    def send_marks(self, gid: int, n_buckets: int) -> tuple[pa.Table, np.ndarray]:
+        return scattered(gid, self._buckets(n_buckets), [(self.one & np.uint64(0xFFFFFFFF)).astype("<u4")], n_buckets)
+
+    def share(self, gid: int, n_buckets: int, answers: pa.Table) -> None:
+        """Keeps the windows that another group may have too."""
+        self.shared = np.flatnonzero(answered(answers, self.send_marks(gid, n_buckets)[1], "bool"))
+
+    def send_windows(self, gid: int, n_buckets: int) -> tuple[pa.Table, np.ndarray]:
+        bucket, doc = self._buckets(n_buckets)[self.shared], self.word_doc[self.windows[self.first[self.shared]]]
+        ids = np.array([d[0] for d in self.docs], np.int64)[doc]
+        texts = np.array([d[1] for d in self.docs], np.uint64)[doc]
+        return scattered(gid, bucket, [self.one[self.shared], self.two[self.shared], _steps(ids, bucket), _steps(texts, bucket)], n_buckets)
+
+
+def _shared_marks(table: pa.Table) -> pa.Table:
+    """For every mark sent to a bucket, whether another group sent it too."""
+    gids, counts, (marks,) = gathered(table, ["<u4"])
+    order = np.argsort(marks, kind="stable")
+    same = marks[order[1:]] == marks[order[:-1]]
+    out = np.empty(len(marks), bool)
+    out[order] = np.append(False, same)[: len(marks)] | np.append(same, False)[: len(marks)]
+    return replies(table.column("bucket")[0].as_py(), gids, counts, out)
 
 
 def _firsts(table: pa.Table) -> pa.Table:
-    """For every hash sent to a bucket, whether it starts earlier in another group."""
-    gids, counts, (hashes, steps) = gathered(table, ["<u8", "<i8"])
-    ends = np.cumsum(counts)
-    ids = np.cumsum(steps)
-    before = ids[ends - counts] - steps[ends - counts]  # a row's ids start anew
-    ids -= np.repeat(before, counts)
-    order = np.lexsort((np.arange(len(hashes)), ids, hashes))
-    later = np.empty(len(hashes), bool)
-    later[order] = np.append(False, hashes[order[1:]] == hashes[order[:-1]])[: len(order)]
+    """For every window sent to a bucket, whether it starts earlier in another group."""
+    gids, counts, (one, two, ids, texts) = gathered(table, ["<u8", "<u8", "<i8", "<u8"])
+    ids, texts = _unstepped(ids, counts), _unstepped(texts, counts)
+    order = np.lexsort((texts, ids, two, one))
+    later = np.empty(len(one), bool)
+    later[order] = np.append(False, (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]]))[: len(order)]
     return replies(table.column("bucket")[0].as_py(), gids, counts, later)
 
 
 COLUMNS = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def _kept(group: _Group, table: pa.Table, removed: np.ndarray) -> pa.Table:
-    out = []
-    cuts = np.searchsorted(group.word_doc, np.arange(len(group.docs) + 1))
-    for d in range(len(group.docs)):
-        a, b = cuts[d], cuts[d + 1]
-        stay = np.flatnonzero(~removed[a:b]) + a
-        words = b" ".join([group.joined[s:e] for s, e in zip(group.starts[stay].tolist(), group.ends[stay].tolist(), strict=True)])
-        out.append((int(b - a), int(b - a - len(stay)), hashlib.sha256(words).hexdigest()))
-    rows = [out[i] for i in group.rows]
-    return pa.table([table.column("doc_id").combine_chunks().cast(pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], [c.split()[0] for c in COLUMNS.split(", ")])
-
-
 def removal(group: _Group, answers: pa.Table, gid: int, n_buckets: int) -> np.ndarray:
     """Whether each word is removed: the union of all windows that start earlier somewhere."""
-    _, order = group.scattered(gid, n_buckets)
     later = np.ones(len(group.windows), bool)
-    later[group.first] = answered(answers, order, "bool")
-    edges = np.zeros(len(group.starts) + 1, np.int64)
+    later[group.first] = False
+    later[group.first[group.shared]] = answered(answers, group.send_windows(gid, n_buckets)[1], "bool")
+    edges = np.zeros(len(group.starts) + 1, np.int32)
     at = group.windows[later]
-    np.add.at(edges, at, 1)
-    np.add.at(edges, at + group.width, -1)
-    return np.cumsum(edges[:-1]) > 0
+    edges[at] += 1
+    edges[at + group.width] -= 1  # no window occurs twice in `at`
+    return np.cumsum(edges[:-1], dtype=np.int32) > 0
+
+
+def _kept(group: _Group, table: pa.Table, removed: np.ndarray) -> pa.Table:
+    """Digests of the kept words, each with the byte behind it as a blank, the last blank of a document left out."""
+    stay = ~removed
+    data = group.data.copy()
+    data[group.ends] = 0x20
+    edges = np.zeros(len(data) + 1, np.int8)
+    edges[group.starts[stay]] += 1
+    edges[group.ends[stay] + 1] -= 1
+    inside = np.cumsum(edges[:-1], dtype=np.int8).view(bool)
+    rest = data[inside].tobytes()
+    words = np.append(0, np.cumsum(stay))
+    size = np.append(0, np.cumsum((group.ends - group.starts + 1) * stay))
+    cuts = np.searchsorted(group.word_doc, np.arange(len(group.docs) + 1))
+    n, kept, ends = np.diff(cuts), np.diff(words[cuts]), size[cuts].tolist()
+    shas = [hashlib.sha256(rest[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
+    rows = np.array(group.rows, np.int64)
+    return pa.table([table.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(n[rows], pa.int64()), pa.array((n - kept)[rows], pa.int64()), pa.array(shas, pa.string()).take(pa.array(rows))], [c.split()[0] for c in COLUMNS.split(", ")])
 
 
 def dedup(docs: DataFrame, width: int = 20) -> DataFrame:
@@ -136,13 +164,30 @@ def dedup(docs: DataFrame, width: int = 20) -> DataFrame:
     n_buckets = groups_for(n_bytes)
     groups = grouped_documents(docs, n_bytes)
 
-    def send(key: tuple, table: pa.Table) -> pa.Table:
-        return _Group(table, width).scattered(key[0].as_py(), n_buckets)[0]
+    def send_marks(key: tuple, table: pa.Table) -> pa.Table:
+        sent = _Group(table, width).send_marks(key[0].as_py(), n_buckets)[0]
+        released()
+        return sent
 
-    def finish(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+    def send_windows(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         group = _Group(table, width)
-        return _kept(group, table, removal(group, answers, key[0].as_py(), n_buckets))
+        group.share(key[0].as_py(), n_buckets, answers)
+        sent = group.send_windows(key[0].as_py(), n_buckets)[0]
+        del group
+        released()
+        return sent
 
-    sent = groups.groupBy("gid").applyInArrow(send, SENT)
-    answers = sent.groupBy("bucket").applyInArrow(_firsts, SENT)
+    def finish(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        group, gid = _Group(table, width), key[0].as_py()
+        marks = answers.filter(pa.compute.less(answers.column("bucket"), 0))
+        group.share(gid, n_buckets, marks.set_column(0, "bucket", pa.compute.subtract(-1, marks.column("bucket"))))
+        out = _kept(group, table, removal(group, answers.filter(pa.compute.greater_equal(answers.column("bucket"), 0)), gid, n_buckets))
+        del group
+        released()
+        return out
+
+    marked = groups.groupBy("gid").applyInArrow(send_marks, SENT).groupBy("bucket").applyInArrow(_shared_marks, SENT)
+    sent = groups.groupBy("gid").cogroup(marked.groupBy("gid")).applyInArrow(send_windows, SENT)
+    found = sent.groupBy("bucket").applyInArrow(_firsts, SENT)
+    answers = marked.withColumn("bucket", -1 - F.col("bucket")).union(found)
     return groups.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(finish, COLUMNS)

@@ -51,7 +51,7 @@ def near_duplicates(rows):
 def windows(rows, width=20):
     """(n_words, n_removed, kept_sha256) by (doc_id, text)."""
     seen, out = set(), {}
-    for i, text in sorted({(LOW if i is None else i, t or "") for i, t in rows}, key=lambda r: (r[0], r[1].encode())):
+    for i, text in sorted({(LOW if i is None else i, t or "") for i, t in rows}, key=lambda r: (r[0], xxhash.xxh64_intdigest(r[1]), r[1])):
         words = WORD.findall(text)
         gone = [False] * len(words)
         for k in range(len(words) - width + 1):
@@ -128,7 +128,8 @@ def spans(found):
     return ",".join(f"{k}:{a}:{b}" for k, a, b in found)
 
 
-def likeness(a, b):
+def likeness(a, b, width=24, stride=12):
+    """Common start, common end, and spans between that are shared in order."""
     if not a or not b:
         return float(a == b)
     i = j = 0
@@ -136,4 +137,15 @@ def likeness(a, b):
         i += 1
     while j < min(len(a), len(b)) - i and a[-1 - j] == b[-1 - j]:
         j += 1
-    return (i + j) / max(len(a), len(b))
+    x, y = a[i : len(a) - j], b[i : len(b) - j]
+    covered = p = q = 0
+    for at in range(0, len(x) - width + 1, stride):
+        if at < p or (other := y.find(x[at : at + width], q)) < 0:
+            continue
+        before = after = 0
+        while at - before > p and other - before > q and x[at - before - 1] == y[other - before - 1]:
+            before += 1
+        while at + after < len(x) and other + after < len(y) and x[at + after] == y[other + after]:
+            after += 1
+        covered, p, q = covered + before + after, at + after, other + after
+    return (i + j + covered) / max(len(a), len(b))

@@ -57,6 +57,40 @@ def test_small_cache(monkeypatch, small, multi):
     assert [use.encode_batch([t])[0].tolist() for t in texts] == [multi.encode_ordinary(t) for t in texts]
 
 
+def thue_morse(n):
+    """Two complementary words on which polynomial hashes with an odd base modulo 2^64 are equal."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_slices_are_never_taken_for_others(multi):
+    texts = list(thue_morse(11)) + [w[:k] for w in thue_morse(7) for k in (14, 15, 16, 17, 128, 129)] + ["\0" * k for k in range(1, 20)]
+    use = bpe.Encoder(MULTI)
+    assert [x.tolist() for x in use.encode_batch(texts)] == [multi.encode_ordinary(t) for t in texts]
+    assert [use.decode(x) for x in use.encode_batch(texts)] == [t.encode() for t in texts]
+
+
+def test_colliding_slots():
+    """Rows that fall into one slot are told apart."""
+    import numpy as np
+
+    table = bpe.Table(300)
+    table._slot = lambda first, second: np.zeros(len(first), np.int64)
+    first, second = np.arange(200, dtype=np.uint64), np.arange(200, dtype=np.uint64) % np.uint64(3)
+    table.add(first[:150], second[:150])
+    assert table.find(first, second).tolist() == [*range(150), *[-1] * 50] and (table.find(first, second + np.uint64(1)) == -1).all()
+
+
+def test_added_tokens():
+    model = Tokenizer.from_file(PLAIN)
+    texts = ["<|endoftext|> x", "a  <|endoftext|><|endoftext|>\n b's", "<|endoftext|", "plain", "", "é<|endoftext|>"]
+    assert [x.tolist() for x in bpe.encoder(PLAIN).encode_batch(texts)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+    model.encode_special_tokens = True
+    assert [x.tolist() for x in bpe.encoder(PLAIN, False).encode_batch(texts)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing(messy, messy_rows, empty):
     import zlib
     from collections import defaultdict
@@ -64,7 +98,6 @@ def test_packing(messy, messy_rows, empty):
     import numpy as np
 
     model = Tokenizer.from_file(PLAIN)
-    model.encode_special_tokens = True
     pieces = packing.packed(messy, PLAIN, capacity=256).collect()
     sequences, documents = defaultdict(list), defaultdict(list)
     for p in pieces:

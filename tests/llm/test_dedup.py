@@ -76,6 +76,32 @@ def test_windows(messy, messy_rows, empty, small):
     assert sorted(tuple(r) for r in window_dedup.dedup(small).collect()) == sorted((i, *want[i, t or ""]) for i, t in rows)
 
 
+def test_structured_words(spark):
+    """Words and windows on which hashes modulo 2^64 with an odd base are equal."""
+    one = two = "a"
+    for _ in range(11):
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    same = " ".join(["w"] * 19)
+    rows = [(1, f"{same} {one}"), (2, f"{same} {two}"), (3, f"{same} {one}"), (4, " ".join(one)), (5, " ".join(two)), (6, None), (7, "x" * 300_000 + " " + same)]
+    want = windows(rows)
+    got = window_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(tuple(r) for r in got) == sorted((i, *want[i, t or ""]) for i, t in rows)
+
+
+def test_equal_first_hashes(monkeypatch, small):
+    """Windows with one first hash are told apart by the second."""
+    real = window_dedup.window_hashes
+    monkeypatch.setattr(window_dedup, "window_hashes", lambda words, width, base: real(words, width, base) % np.uint64(5) if base == window_dedup.BASES[0] else real(words, width, base))
+    rows = [(r.doc_id, r.text or "") for r in small.limit(60).collect()]
+    import pyarrow as pa
+
+    group = window_dedup._Group(pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]}), 20)
+    monkeypatch.undo()
+    true = window_dedup._Group(pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]}), 20)
+    assert (group.first == true.first).all()
+
+
 def test_suffixes(messy, messy_rows, empty, small):
     gone = removed_bytes(plain(messy_rows))
     got = suffix_dedup.dedup(messy).collect()
@@ -94,6 +120,47 @@ def test_what_is_left(messy, messy_rows):
     assert sorted((key(r.doc_id), "-" if r.text is None else r.text, str(tuple(r)[2:])) for r in left.collect()) == want
 
 
+@pytest.mark.parametrize("hot", [3, 4096])
+def test_groups_of_repeats(spark, messy, messy_rows, empty, hot):
+    """Every listed repeat has all its occurrences; every string that two documents share lies in repeats wherever it stands."""
+    texts = {(LOW if i is None else i, (t or "").encode()) for i, t in plain(messy_rows)}
+    by_id = {}
+    for i, t in texts:
+        by_id.setdefault(i, []).append(t)
+    groups = {}
+    for r in suffix_dedup.maximal_repeats_of(messy, hot=hot).collect():
+        groups.setdefault((r.repeat, r.length), set()).add((key(r.doc_id), r.start))
+    covered = set()
+    for (_, n), places in groups.items():
+        assert n >= 50 and len(places) > 1
+        strings = {t[a : a + n] for i, a in places for t in by_id[i] if len(by_id[i]) == 1}
+        if all(len(by_id[i]) == 1 for i, _ in places):
+            (string,) = strings
+            want = {(i, k) for i, t in texts for k in range(len(t) - n + 1) if t[k : k + n] == string}
+            assert places == want
+        covered |= {(i, a + k) for i, a in places for k in range(n - 49)}
+    owners = {}
+    for i, t in texts:
+        for k in range(len(t) - 49):
+            owners.setdefault(t[k : k + 50], []).append((i, k))
+    for places in owners.values():
+        if len({i for i, _ in places}) > 1:
+            assert covered >= set(places)
+    assert suffix_dedup.maximal_repeats_of(empty).count() == 0
+
+
+@pytest.mark.parametrize("hot", [5, 4096])
+def test_one_gram_in_many_surroundings(spark, hot):
+    """A gram of 24 bytes with a thousand different surroundings, a few of them shared."""
+    rng = random.Random(7)
+    gram = "-" * 24
+    around = ["".join(rng.choices("abcdefgh", k=30)) for _ in range(700)]
+    rows = [(i, around[rng.randrange(700)][: rng.randint(10, 30)] + gram + around[rng.randrange(60)] + gram + around[i % 700]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    gone = removed_bytes(rows)
+    assert sorted(tuple(r) for r in suffix_dedup.dedup(df, hot=hot).collect()) == sorted((i, *suffix_row(t, gone[i, t])) for i, t in rows)
+
+
 def test_suffix_array_and_intervals():
     rng = random.Random(3)
     for _ in range(200):

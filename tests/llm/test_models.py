@@ -9,7 +9,8 @@ from noetica.llm import fingerprints, langid, pii, quality, search
 
 def test_fingerprints(messy, messy_rows, empty):
     assert fingerprints.edited_fingerprints(empty).count() == 0
-    rows = sorted(((LOW if r[0] is None else r[0], r[1] or "") for r in messy_rows), key=lambda r: (-r[0], r[1].encode()))
+    hashes = {r.text: r.h for r in messy.selectExpr("text", "xxhash64(text) as h").distinct().collect()}
+    rows = [(i, t or "") for i, t in sorted(((LOW if r[0] is None else r[0], r[1]) for r in messy_rows), key=lambda r: (-r[0], hashes[r[1]]))]
     want = []
     for k, (i, text) in enumerate(rows):
         then = rows[(k + 1) % len(rows)][1]
@@ -35,6 +36,35 @@ def test_spans_and_extensions():
     assert fingerprints.common_extension(x, x.n, y, y.n, 20, back=True) == 4
 
 
+def test_likeness_between_edits():
+    """Copies with edits near both ends, with many edits, with parts moved, and unlike texts, against plain string search."""
+    import random
+
+    from conftest import prose
+
+    rng = random.Random(6)
+    for _ in range(60):
+        a = prose(rng, rng.randint(1, 200))
+        b = list(a)
+        for _ in range(rng.choice([0, 1, 2, 10])):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 3)] = rng.choices("xyz", k=rng.randint(0, 4))
+        for c in ("".join(b), "".join(b[len(b) // 2 :] + b[: len(b) // 2]), prose(rng, 100), "ab" * 200, a * 2):
+            one, two = fingerprints.Prefixes(a), fingerprints.Prefixes(c)
+            got, back = fingerprints.likeness(one, two), fingerprints.likeness(two, one)
+            assert got == likeness(a, c) and back == likeness(c, a) and 0 <= got <= 1
+    text = prose(rng, 300)
+    edited = "x" + text[1:-1] + "x"
+    assert fingerprints.likeness(fingerprints.Prefixes(text), fingerprints.Prefixes(edited)) > 0.98
+
+
+def test_one_id_in_many_rows(spark):
+    """A third of all rows has one id, and copies of one row another third: every row has its next one."""
+    rows = [(i, f"text {i}") for i in range(300)] + [(7, f"other text {i}") for i in range(300)] + [(None, "same")] * 300
+    got = fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 900 and sum(r.near_next == 1.0 for r in got) >= 299 and sum(r.doc_id is None for r in got) == 300
+
+
 def test_single_document(spark):
     (r,) = fingerprints.edited_fingerprints(spark.createDataFrame([(7, "abcdef")], "doc_id long, text string")).collect()
     assert (r.near_next, r.near_edited, r.edited_sha256) == (1.0, likeness("abcdef", "abcabc"), sha("abcabc"))
@@ -56,6 +86,74 @@ def test_languages(spark, messy, empty):
     assert {r.lang_pred for r in langid.predict(messy, langid.fit(empty)).collect()} == {"und"}
 
 
+def plain_language(rows, texts):
+    """(language, score) of texts by a dictionary loop over (text, lang): words first, then shorter and shorter n-grams."""
+    from collections import Counter, defaultdict
+
+    import regex
+
+    words = lambda t: regex.findall(r"\p{L}+", (t or "").lower())
+    marked = lambda w, n: w if n == 1 else f"^{w}$"
+    grams = lambda w, n: [marked(w, n)[i : i + n] for i in range(len(marked(w, n)) - n + 1)]
+    languages = sorted({lang for _, lang in rows})
+    counts = {lang: Counter(w for t, own in rows if own == lang for w in words(t)) for lang in languages}
+    tables = {0: counts}
+    for n in langid.GRAMS:
+        tables[n] = {lang: Counter() for lang in languages}
+        for lang in languages:
+            for w, c in counts[lang].items():
+                for g in grams(w, n):
+                    tables[n][lang][g] += c
+    logs = {}
+    for n, table in tables.items():
+        known = set().union(*table.values())
+        logs[n] = {lang: defaultdict(lambda: None, {k: math.log((table[lang][k] + 0.1) / (sum(table[lang].values()) + 0.1 * (len(known) + 1))) for k in known}) for lang in languages}
+    out = []
+    for text in texts:
+        if not words(text):
+            out.append(("und", 0.0))
+            continue
+        sums = {lang: math.log(sum(own == lang for _, own in rows) / len(rows)) for lang in languages}
+        for w in words(text):
+            for n in (0, *langid.GRAMS):
+                found = [w] if n == 0 and logs[0][languages[0]][w] is not None else [g for g in grams(w, n) if logs[n][languages[0]][g] is not None] if n else []
+                if found:
+                    for lang in languages:
+                        sums[lang] += sum(logs[n][lang][g] for g in found) / len(found)
+                    break
+        best = max(languages, key=lambda lang: sums[lang])
+        out.append((best, 1 / sum(math.exp(s - sums[best]) for s in sums.values())))
+    return out
+
+
+def test_language_against_a_dictionary_loop(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in docs.collect()]
+    extra = [(10_001, "½ ² Ⅷ ①", None), (10_002, None, "en"), (10_003, "½ the", None), (10_004, "", "fr"), (None, "the thing", "en"), (10_005, "日本", None)]
+    both = spark.createDataFrame(rows + extra, docs.schema)
+    train = [(t, lang) for i, t, lang in rows + extra if lang is not None and t is not None and (i is None or zlib.crc32(str(i).encode()) % 5)]
+    want = sorted(zip([i or -1 for i, _, _ in rows + extra], plain_language(train, [t for _, t, _ in rows + extra]), strict=True))
+    got = sorted((r.doc_id or -1, (r.lang_pred, r.score)) for r in langid.predict(both, langid.fit(both, n_words=10**6)).collect())
+    assert [(i, lang) for i, (lang, _) in got] == [(i, lang) for i, (lang, _) in want]
+    assert all(abs(g[1][1] - w[1][1]) < 1e-3 for g, w in zip(got, want, strict=True))
+    assert dict(got)[10_001] == ("und", 0.0) and dict(got)[10_003][0] != "und"
+
+
+def test_many_languages(spark):
+    """Rare languages beside large ones are learned, whatever their number; too many values are an error."""
+    import pytest
+
+    rows = [(f"wort{chr(97 + k % 26)}{chr(97 + k // 26)} " * 5, f"l{k:03}") for k in range(220) for _ in range(1 if k else 400)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    learned = {r.lang for r in docs.where("crc32(cast(doc_id as string)) % 5 != 0").collect()}
+    assert set(model.languages) == learned and len(learned) > 150
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    assert all(got[r.doc_id] == r.lang for r in docs.collect() if r.lang in learned)
+    with pytest.raises(ValueError):
+        langid.fit(spark.range(6000).selectExpr("id as doc_id", "'x' as text", "cast(id as string) as lang"))
+
+
 def test_backoff():
     import numpy as np
 
@@ -70,7 +168,7 @@ def test_long_texts_in_parts(monkeypatch):
     import numpy as np
 
     monkeypatch.setattr(langid, "TOGETHER", 7)
-    monkeypatch.setattr(langid, "CACHED", 3)
+    monkeypatch.setattr(langid, "CACHED_BYTES", 3 * 8)
     model = langid.Model(["a", "b"], np.array([0.5, 0.5]), ["nation", "ung"], np.array([[5.0, 0.0], [0.0, 5.0]]))
     texts = ["nation " * 20 + "ung " * 19, "ung " * 5, "", " ".join(f"x{c}nation" for c in "abcdefghijk")]
     assert langid.Scorer(model).predict(texts)[0] == ["a", "b", "und", "a"]
@@ -89,6 +187,31 @@ def test_quality(spark, messy, empty):
     assert quality.scored(messy, mixed).count() == messy.count() and quality.scored(empty, mixed).count() == 0
 
 
+def test_quality_against_plain_discriminant(spark):
+    """Scores by dense inverses and determinants, with statistics added up in one place."""
+    import numpy as np
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    x = {i: np.array(quality.statistics(t), float) for i, t in texts.items()}
+    known = {r.doc_id: int(r.quality > 0) for r in labels.collect() if r.quality is not None and r.doc_id in x}
+    of = {c: np.array([x[i] for i, q in known.items() if q == c and zlib.crc32(str(i).encode()) % 5]) for c in (0, 1)}
+    n = {c: len(v) for c, v in of.items()}
+    cov = {c: np.cov(v.T, bias=True) for c, v in of.items()}
+    pooled = sum(cov[c] * n[c] / sum(n.values()) for c in cov)
+    density = {}
+    for c in (0, 1):
+        s = (1 - quality.TO_POOLED) * cov[c] + quality.TO_POOLED * pooled
+        s = (1 - quality.TO_IDENTITY) * s + quality.TO_IDENTITY * np.trace(s) / len(s) * np.eye(len(s))
+        inverse, mean = np.linalg.inv(s), of[c].mean(0)
+        density[c] = lambda v, s=s, inverse=inverse, mean=mean, c=c: np.log(n[c] / sum(n.values())) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * (v - mean) @ inverse @ (v - mean)
+    got = {r.doc_id: r for r in quality.scored(docs, labels).collect()}
+    assert set(got) == set(x)
+    for i, v in x.items():
+        want = 1 / (1 + math.exp(-max(-700, min(700, (density[1](v) - density[0](v)) / quality.TEMPERATURE))))
+        assert abs(got[i].score - want) < 1e-6 and got[i].predicted == int(got[i].score >= 0.3) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
 def test_personal_data(messy, messy_rows, empty, spark):
     small = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     for df, rows in ((messy, [(r[0], r[1]) for r in messy_rows]), (small, [tuple(r) for r in small.collect()])):
@@ -105,6 +228,32 @@ def test_personal_data(messy, messy_rows, empty, spark):
     assert text[20] == "mail [EMAIL] or [PHONE], [IP] and [CARD]" and text[1] is None
 
 
+def test_long_runs_in_linear_time():
+    """What the plain patterns give on short runs, and a megabyte of each in seconds."""
+    import random
+    import re
+    import time
+
+    plain = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(]at[\])] ?[A-Za-z0-9-]+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+")
+    rng = random.Random(9)
+    for _ in range(4000):
+        text = "".join(rng.choice(["a", "1", ".", " ", "[at]", "(at]", " [dot] ", "@", "-", "12", "+", "x.y", "(", ")", "300"]) for _ in range(rng.randint(1, 25)))
+        base = pii.base_spans(text)
+        assert sorted(base) == sorted((pii.KINDS.index(k), a, b) for k, a, b in personal(text)), text
+        assert pii.spelt(text) == [m.span() for m in plain.finditer(text)], text
+        for _, a, _ in base:
+            tokens = text[:a].lower().split()[-2:]
+            assert pii.pattern_of(text, a) == (re.sub("[0-9]", "0", " ".join(tokens)) if len(tokens) == 2 else "")
+    n = 1_000_000
+    runs = ["a" * n + " [ at", "1" * n, "1." * (n // 2), "1 " * (n // 2), "(1" * (n // 2), "+1" * (n // 2), "a@" * (n // 2), "@a." * (n // 3), "[at]" * (n // 4), "a" * n + "[at]" + "b" * n, "+" + "1" * n + " +1 555 010 2222", "a" * n + ",+1 555 010 2222" * 100, "1-" * (n // 2) + "a", "x_" * (n // 2)]
+    for text in runs:
+        began = time.perf_counter()
+        base = pii.base_spans(text)
+        for a, _, _ in pii.unseen(text, base):
+            pii.pattern_of(text, a)
+        assert time.perf_counter() - began < 20, text[:20]
+
+
 def test_contexts_find_more(spark):
     rows = [(i, f"please ring me: call number +1 555 010 {1000 + i} now") for i in range(8)]
     rows += [(50, "so call number 555-0100-222 today"), (51, "the serial 555-0100-223 is fine")]
@@ -134,6 +283,39 @@ def test_every_pattern_is_used(spark):
     assert len(got) == 2100 and all(r.spans == "phone:11:23" for r in got)
 
 
+def test_blocks_are_skipped():
+    """Results equal those of all postings, of which a part is read."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(5, 200)) % 3000) for _ in range(3000)]
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    shard = search._Shard(table)
+    index = search.Index(shard.packed(np.bincount(shard.term, minlength=len(shard.terms))), len(texts), float(shard.words.mean()))
+    whole = 0
+    for text in texts[::40]:
+        query = np.unique(search.hashed_words([text])[0][0])
+        places, scores = index.best(query, 10)
+        terms = np.flatnonzero(np.isin(index.terms, query))
+        at = np.concatenate([np.arange(index.starts[t], index.starts[t + 1]) for t in terms])
+        whole += len(at)
+        sums = np.bincount(index.doc[at], weights=index.impact[at], minlength=len(texts))
+        want = np.lexsort((-index.words, index.ids, -np.round(sums, 9)))[:10]
+        assert places.tolist() == want.tolist() and np.allclose(scores, sums[want])
+    assert index.read < 0.85 * whole
+
+
+def test_colliding_words_stop_the_job(monkeypatch):
+    import pyarrow as pa
+    import pytest
+
+    real = search.word_hashes
+    monkeypatch.setattr(search, "word_hashes", lambda data, starts, ends, base: real(data, starts, ends, base) * 0 if base == search.BASES[0] else real(data, starts, ends, base))
+    with pytest.raises(ValueError):
+        search._Shard(pa.table({"doc_id": pa.array([1], pa.int64()), "text": ["two words"]}))
+
+
 def test_search(messy, messy_rows, empty, monkeypatch):
     from collections import Counter
 
