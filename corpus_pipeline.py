@@ -7,7 +7,11 @@
 4. personal_data: identifiers are replaced by their kind in brackets;
 5. packing: what is left becomes sequences of at most 1024 tokens, one row per piece.
 
-Stages 1 to 4 return the columns of documents, n_chars counted anew. Empty tables give empty results.
+Stages 1 to 4 return the columns of documents, whatever their names and further ones, with n_chars counted anew if there is
+such a column. Empty tables give empty results. Null values stay as they are in all columns but text, whose nulls go in stage
+1; rows with a null id take part in every stage, before all others where order counts; repeated rows are near copies, of which
+one stays; of rows with one id and different texts those stay that are no near copies; ties go to the least id, then to the
+least fingerprint. Texts of any length pass whole.
 """
 
 from __future__ import annotations
