@@ -13,9 +13,14 @@ import pyarrow as pa
 SENT = "bucket int, gid int, n long, blob binary"
 
 
+def sending_order(bucket: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The order in which values are sent: by bucket, then as they were; small numbers sort by radix."""
+    return np.argsort(bucket.astype(np.uint16) if n_buckets <= 1 << 16 else bucket, kind="stable")
+
+
 def scattered(gid: int, bucket: np.ndarray, columns: list[np.ndarray], n_buckets: int) -> tuple[pa.Table, np.ndarray]:
     """The rows that carry `columns` to their buckets, and the order of the values as they were sent."""
-    order = np.argsort(bucket, kind="stable")
+    order = sending_order(bucket, n_buckets)
     counts = np.bincount(bucket, minlength=n_buckets)
     ends = np.cumsum(counts)
     full = np.flatnonzero(counts)

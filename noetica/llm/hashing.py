@@ -19,18 +19,37 @@ _P, _LOW31, _LOW30 = np.uint64(PRIME), np.uint64((1 << 31) - 1), np.uint64((1 <<
 _31, _30, _61 = np.uint64(31), np.uint64(30), np.uint64(61)
 
 
+#: Values that are hashed together: what stays in a processor's cache.
+SLAB = 1 << 14
+
+
+def nearly_reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, or that and the prime, as at most the prime and seven."""
+    high = x >> _61
+    x &= _P
+    x += high
+    return x
+
+
 def reduced(x: np.ndarray) -> np.ndarray:
-    """x modulo the prime."""
-    x = (x & _P) + (x >> _61)
+    """x modulo the prime, from nearly reduced."""
     return np.where(x >= _P, x - _P, x)
 
 
 def times(a: np.ndarray, b: int) -> np.ndarray:
-    """a * b modulo the prime, for a and b below it, from products of half words."""
+    """a * b, nearly reduced, for a nearly reduced and b below the prime, from products of half words."""
     b1, b0 = np.uint64(b >> 31), np.uint64(b & ((1 << 31) - 1))
     a1, a0 = a >> _31, a & _LOW31
-    middle = a1 * b0 + a0 * b1
-    return reduced(np.uint64(2) * a1 * b1 + (middle >> _30) + ((middle & _LOW30) << _31) + a0 * b0)
+    middle = a1 * b0
+    middle += a0 * b1
+    a1 *= np.uint64(2) * b1
+    a0 *= b0
+    a1 += a0
+    a1 += middle >> _30
+    middle &= _LOW30
+    middle <<= _31
+    a1 += middle
+    return nearly_reduced(a1)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
@@ -38,31 +57,43 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
 
     Spans over LONGEST bytes take a keyed cryptographic digest instead, which needs no step for each digit.
     """
-    eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     sizes = ends - starts
-    out = sizes.astype(np.uint64)
-    going, at = np.flatnonzero((sizes > 0) & (sizes <= LONGEST)), 0
+    out = np.concatenate([_digits(data, starts[a : a + SLAB], sizes[a : a + SLAB], base) for a in range(0, len(starts), SLAB)] or [np.empty(0, np.uint64)])
+    key = base.to_bytes(8, "little")
+    for i in np.flatnonzero(sizes > LONGEST).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=key).digest(), "little") % PRIME
+    return out
+
+
+def _digits(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, base: int) -> np.ndarray:
+    eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     masks = np.array([(1 << 8 * n) - 1 for n in range(DIGIT + 1)], np.uint64)
+    out = sizes.astype(np.uint64)
+    # the first digit of all, then the next ones of those that have any
+    out = nearly_reduced(times(out, base) + (eights[starts] & masks[np.minimum(sizes, DIGIT)]))
+    going, at = np.flatnonzero((sizes > DIGIT) & (sizes <= LONGEST)), DIGIT
     while len(going):
         digit = eights[starts[going] + at] & masks[np.minimum(sizes[going] - at, DIGIT)]
-        out[going] = reduced(times(out[going], base) + digit)
+        out[going] = nearly_reduced(times(out[going], base) + digit)
         at += DIGIT
         going = going[sizes[going] > at]
-    key = base.to_bytes(8, "little")
-    for i in np.flatnonzero(sizes > LONGEST).tolist():
-        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=key).digest(), "little") % PRIME
-    return out
+    return reduced(out)
 
 
 def window_hashes(words: np.ndarray, width: int, base: int) -> np.ndarray:
-    """Hash of each run of `width` word hashes: runs of powers of two, put together by the bits of the width."""
+    """Hash of each run of `width` word hashes."""
+    n = max(0, len(words) - width + 1)
+    return np.concatenate([_windows(words[a : min(n, a + SLAB) + width - 1], width, base) for a in range(0, n, SLAB)] or [np.empty(0, np.uint64)])
+
+
+def _windows(words: np.ndarray, width: int, base: int) -> np.ndarray:
+    """Runs of powers of two, put together by the bits of the width; there are `width` words or more."""
     out, done, power, span = None, 0, words, 1
-    while span <= width:
-        if width & span:
-            # a run of `done` words, then one of `span`
-            out = power if out is None else reduced(times(out[: len(out) - span], pow(base, span, PRIME)) + power[done : done + len(out) - span]) if len(out) > span else out[:0]
+    while True:
+        if width & span:  # a run of `done` words, then one of `span`
+            out = power if out is None else nearly_reduced(times(out[: len(out) - span], pow(base, span, PRIME)) + power[done : done + len(out) - span])
             done += span
-        if 2 * span <= width:
-            power = reduced(times(power[: len(power) - span], pow(base, span, PRIME)) + power[span:]) if len(power) > span else power[:0]
+        if 2 * span > width:
+            return reduced(out)
+        power = nearly_reduced(times(power[: len(power) - span], pow(base, span, PRIME)) + power[span:])
         span *= 2
-    return out[: max(0, len(words) - width + 1)]

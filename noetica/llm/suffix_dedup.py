@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noetica.llm.blobs import SENT, answered, gathered, replies, scattered
+from noetica.llm.blobs import SENT, answered, gathered, replies, scattered, sending_order
 from noetica.llm.bpe import ragged
 from noetica.llm.common import carried_documents, grouped_documents, groups_for, released, text_bytes, uncarried
 
@@ -132,7 +132,7 @@ class _Group:
 
     def candidates(self, gid: int, n_buckets: int, answers: pa.Table) -> None:
         """Keeps the pieces whose anchor two documents have, those of hot anchors as single strings, and the distinct ones with their least id."""
-        told = answered(answers, np.argsort(_bucket(self.distinct, n_buckets), kind="stable"), "u1")
+        told = answered(answers, sending_order(_bucket(self.distinct, n_buckets), n_buckets), "u1")
         kept = np.flatnonzero((self.twice | (told != ALONE))[self.of])
         hot = told[self.of[kept]] == TOO_MANY
         whole, cut = kept[~hot], kept[hot]
@@ -163,7 +163,7 @@ class _Group:
 
     def removed(self, gid: int, n_buckets: int, answers: pa.Table) -> np.ndarray:
         """Whether each byte is covered by a string that starts in a document with a smaller id."""
-        bits = answered(answers, np.argsort(_bucket(self.key, n_buckets), kind="stable"), "<u4")
+        bits = answered(answers, sending_order(_bucket(self.key, n_buckets), n_buckets), "<u4")
         edges = np.zeros(len(self.joined) + 1, np.int32)
         later = (self.ids[self.of_doc] > self.least[self.piece]) & (bits[self.piece] & _WHOLE > 0)
         np.add.at(edges, self.begin[later], 1)
@@ -180,7 +180,7 @@ class _Group:
 
     def occurrences(self, n_buckets: int, answers: pa.Table) -> pa.Table:
         """(repeat, length, doc_id, start) of all occurrences here of the repeats that the buckets answer with."""
-        sent = np.argsort(_bucket(self.key, n_buckets), kind="stable")
+        sent = sending_order(_bucket(self.key, n_buckets), n_buckets)
         by_bucket = np.bincount(_bucket(self.key, n_buckets), minlength=n_buckets)
         begins = np.cumsum(by_bucket) - by_bucket
         names, pieces, places, lengths = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noetica.llm.blobs import SENT, answered, gathered, replies, scattered
+from noetica.llm.blobs import SENT, answered, gathered, replies, scattered, sending_order
 from noetica.llm.common import grouped_documents, groups_for, released, text_bytes
 from noetica.llm.hashing import BASES, window_hashes, word_hashes
 
@@ -42,9 +42,9 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return turns[::2], turns[1::2]
 
 
-def _steps(values: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+def _steps(values: np.ndarray, bucket: np.ndarray, n_buckets: int) -> np.ndarray:
     """Values that repeat along a document as differences within their bucket: compressed, they shrink to almost nothing."""
-    order = np.argsort(bucket, kind="stable")
+    order = sending_order(bucket, n_buckets)
     sorted_ = values[order]
     step = np.diff(sorted_, prepend=sorted_[:1])
     cut = np.append(True, np.diff(bucket[order]) != 0)[: len(order)]
@@ -78,12 +78,13 @@ class _Group:
         one, two = (window_hashes(word_hashes(self.data, self.starts, self.ends, b), width, b) for b in BASES)
         self.windows = np.flatnonzero(self.word_doc[: len(one)] == self.word_doc[width - 1 :]) if len(one) else np.empty(0, np.int64)
         one, two = one[self.windows], two[self.windows]
-        order = np.argsort(one, kind="stable")
+        order = np.argsort(one)
         same = one[order[1:]] == one[order[:-1]]
         if (two[order[1:]][same] != two[order[:-1]][same]).any():  # different windows with one first hash
-            order = np.lexsort((np.arange(len(one)), two, one))
+            order = np.lexsort((two, one))
             same = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
-        self.first = np.sort(order[np.append(True, ~same)[: len(order)]])  # places of windows that are the first of their kind here
+        runs = np.flatnonzero(np.append(True, ~same)[: len(order)])
+        self.first = np.sort(np.minimum.reduceat(order, runs)) if len(runs) else order  # places of windows that are the first of their kind here
         self.one, self.two = one[self.first], two[self.first]
         del one, two, order, same
 
@@ -101,7 +102,7 @@ class _Group:
         bucket, doc = self._buckets(n_buckets)[self.shared], self.word_doc[self.windows[self.first[self.shared]]]
         ids = np.array([d[0] for d in self.docs], np.int64)[doc]
         texts = np.array([d[1] for d in self.docs], np.uint64)[doc]
-        return scattered(gid, bucket, [self.one[self.shared], self.two[self.shared], _steps(ids, bucket), _steps(texts, bucket)], n_buckets)
+        return scattered(gid, bucket, [self.one[self.shared], self.two[self.shared], _steps(ids, bucket, n_buckets), _steps(texts, bucket, n_buckets)], n_buckets)
 
 
 def _shared_marks(table: pa.Table) -> pa.Table:
