@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noetica.operators import community, episodes, graph, retrieval, temporal
+from noetica.functions.text import words
+from noetica.operators import community, episodes, graph, resolve, retrieval, temporal
 
 
 @dataclass
@@ -27,7 +29,7 @@ class GraphEngine:
     def _facts(self, query: str, k: int, groups: list[str] | None) -> DataFrame:
         edges = self._of_groups(self.edges, groups)
         texts = edges.select(F.col("uuid").alias("id"), F.col("fact").alias("text"))
-        hits = retrieval.hybrid(texts, query.lower().split(), k, deep=max(50, k))
+        hits = retrieval.hybrid(texts, words(query), k, deep=max(50, k))
         return hits.join(edges.withColumnRenamed("uuid", "id"), "id").withColumnRenamed("id", "uuid")
 
     def search(self, query: str, k: int = 10, groups: list[str] | None = None) -> DataFrame:
@@ -36,7 +38,7 @@ class GraphEngine:
     def search_nodes(self, query: str, k: int = 10, groups: list[str] | None = None) -> DataFrame:
         nodes = self._of_groups(self.entities, groups)
         texts = nodes.select(F.col("uuid").alias("id"), F.concat_ws(" ", "name", "summary").alias("text"))
-        hits = retrieval.hybrid(texts, query.lower().split(), k, deep=max(50, k))
+        hits = retrieval.hybrid(texts, words(query), k, deep=max(50, k))
         return hits.join(nodes.withColumnRenamed("uuid", "id"), "id").withColumnRenamed("id", "uuid").orderBy("rank")
 
     def get_node(self, uuid: str) -> DataFrame:
@@ -74,6 +76,47 @@ class GraphEngine:
         labels = community.label_propagation(self.entities, self.edges, rounds)
         return community.build(self.entities, self.edges, labels)
 
+    def community_job(self, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
+        """(communities, one row of orphans before and after and of communities): an orphan has no edge and is in no built community."""
+        labels = community.cut(community.label_propagation(self.entities, self.edges, rounds))
+        built = community.cut(community.build(self.entities, self.edges, labels))
+        before = graph.orphans(self.entities, self.edges)
+        after = before.join(labels.join(built.select("label"), "label", "left_semi"), "uuid", "left_anti")
+        counts = before.agg(F.count("*").alias("orphans_before")).join(after.agg(F.count("*").alias("orphans_after")), F.lit(True))
+        return built, counts.join(built.agg(F.count("*").alias("communities")), F.lit(True))
+
+    def add_episodes(self, rows: DataFrame, extract: Callable[[DataFrame], DataFrame] = resolve.extracted, facts: Callable[[DataFrame], DataFrame] | None = None) -> tuple[GraphEngine, DataFrame]:
+        """(engine with the episodes of rows, their entities and facts; one row of counts of what is new), for one episode or many at once.
+
+        rows: (name, content, source, source_description, reference_time), and any other columns of episodes. Blank contents are
+        left out, an episode that is there already adds nothing. extract gives (uuid, mention) of episodes, and mentions
+        that resolve to no entity, by name and across all rows, become entities. facts gives (uuid, source, target, name, fact)
+        of episodes, with mentions as source and target; without it no edges are made.
+        """
+        group = F.lit((self.groups or ["default"])[0])
+        given = rows.where(F.trim(F.coalesce("content", F.lit(""))) != "").withColumn("uuid", episodes.episode_id("source_description", "content"))
+        given = given.dropDuplicates(["uuid"]).join(self.episodes.select("uuid"), "uuid", "left_anti")
+        new = community.cut(given.withColumn("group_id", group).select(*[(F.col(f.name) if f.name in (*rows.columns, "uuid", "group_id") else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.episodes.schema]))
+        dated = new.select("uuid", F.col("reference_time").alias("at"))
+        told = extract(new).join(dated, "uuid").groupBy("mention").agg(F.min("at").alias("at"))
+        found = community.cut(resolve.resolve(told.select("mention"), self.entities).join(told, "mention").withColumn("key", resolve.normal(F.col("mention"))))
+        nodes = found.where("uuid is null").groupBy("key").agg(F.min("mention").alias("name"), F.min("at").alias("created_at"))
+        values = {"uuid": F.sha2(F.concat(F.lit("entity "), "key"), 256), "name": F.col("name"), "labels": F.array(F.lit("Entity")), "created_at": F.col("created_at"), "group_id": group}
+        nodes = nodes.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in self.entities.schema])
+        edges = self.edges.limit(0)
+        if facts is not None:
+            ids = found.select("mention", F.coalesce("uuid", F.sha2(F.concat(F.lit("entity "), "key"), 256)).alias("id"))
+            stated = facts(new).withColumnRenamed("uuid", "episode").join(dated.withColumnRenamed("uuid", "episode"), "episode")
+            for end in ("source", "target"):
+                stated = stated.join(ids.select(F.col("mention").alias(end), F.col("id").alias(f"{end}_uuid")), end)
+            stated = stated.groupBy("source_uuid", "target_uuid", "name", "fact").agg(F.min("at").alias("valid_at"), F.array_sort(F.collect_set("episode")).alias("episodes"))
+            values = {c: F.col(c) for c in stated.columns} | {"uuid": F.sha2(F.concat_ws("\x1f", "source_uuid", "target_uuid", "name", "fact"), 256), "created_at": F.current_timestamp(), "group_id": group}
+            edges = stated.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in self.edges.schema]).join(self.edges.select("uuid"), "uuid", "left_anti").select(*self.edges.columns)
+        counts = [df.agg(F.count("*").alias(f"{name}_created")) for name, df in (("episodes", new), ("nodes", nodes), ("edges", edges))]
+        one = F.lit(True)
+        summary = counts[0].join(counts[1], one).join(counts[2], one).withColumn("communities_created", F.lit(0).cast("long"))
+        return GraphEngine(self.entities.unionByName(nodes), self.edges.unionByName(edges), self.episodes.unionByName(new), self.communities, self.groups), summary
+
     def add_note(self, content: str, source_description: str, at: Column) -> GraphEngine:
         """An engine with one episode more; blank content is an error, and the same note twice is one."""
         if not content.strip():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,12 +26,17 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def words(text: str) -> list[str]:
+    """What tokens() gives, for a query in the driver."""
+    return re.findall(r"[^\W_]+", text.lower())
+
+
 def is_sensitive(name: Column) -> Column:
     return F.lower(name).rlike("|".join(SENSITIVE))
 
 
-def is_negating(text: Column) -> Column:
-    return F.lower(text).rlike(rf"\b({'|'.join(NEGATIONS)})\b")
+def is_negating(text: Column, cues: tuple[str, ...] = NEGATIONS) -> Column:
+    return F.lower(text).rlike(rf"\b({'|'.join(cues)})\b")
 
 
 def parsed_time(text: Column, default: Column) -> Column:

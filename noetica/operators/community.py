@@ -14,11 +14,14 @@ OWN_VOTE = 0.5
 USEFUL = (2, 100)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the shared folder; a folder of our own only where none is set."""
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a checkpoint in the shared folder; a folder of our own only where none is set and all run on this machine."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="noetica-checkpoints-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="noetica-checkpoints-"))
     return df.checkpoint()
 
 
@@ -35,11 +38,11 @@ def label_propagation(entities: DataFrame, edges: DataFrame, rounds: int = 10, u
         best = F.min_by("label", F.struct((-F.col("vote")).alias("v"), "label"))
         new = votes.groupBy("uuid").agg(best.alias("label"))
         if until_stable:
-            new = _cut(new)
+            new = cut(new)
             if new.exceptAll(labels).isEmpty():
                 return new
         elif i % 2:
-            new = _cut(new)
+            new = cut(new)
         labels = new
     return labels
 
@@ -100,13 +103,13 @@ def build(entities: DataFrame, edges: DataFrame, labels: DataFrame, k: int = 50)
 
 def connected(pairs: DataFrame) -> DataFrame:
     """(node, component): the least node that pairs (a, b) connect it to; least labels spread with shortcuts until none changes."""
-    both = _cut(pairs.select("a", "b").union(pairs.select("b", "a")).where("a != b").distinct())
-    labels = _cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    both = cut(pairs.select("a", "b").union(pairs.select("b", "a")).where("a != b").distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         new = labels.join(near, "node").select("node", F.least("component", "near").alias("component"))
         jump = new.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = _cut(new.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component")))
+        new = cut(new.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component")))
         if new.join(labels.withColumnRenamed("component", "old"), "node").where("component != old").isEmpty():
             return new
         labels = new

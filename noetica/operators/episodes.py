@@ -91,3 +91,10 @@ def checked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     bad = (F.trim(F.coalesce("content", F.lit(""))) == "") | (F.col("reference_time").isNotNull() & F.try_to_timestamp("reference_time").isNull())
     good = rows.where(~bad).withColumn("name", F.substring("name", 1, NAME_CAP)).withColumn("reference_time", F.try_to_timestamp("reference_time"))
     return good.withColumn("uuid", episode_id("name", "content")), rows.where(bad)
+
+
+def roll_up(good: DataFrame, bad: DataFrame) -> DataFrame:
+    """(status, reason, n) of an import: rows that went in, and those that failed by what is wrong with them."""
+    reason = F.when(F.trim(F.coalesce("content", F.lit(""))) == "", "content").otherwise("time")
+    rows = good.select(F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason")).unionByName(bad.select(F.lit("failed").alias("status"), reason.alias("reason")))
+    return rows.groupBy("status", "reason").agg(F.count("*").alias("n"))

@@ -32,12 +32,13 @@ def enriched(segments: DataFrame, templates: dict[str, str], least_words: dict[s
 
 
 def recurring(pairs: DataFrame, times: DataFrame) -> DataFrame:
-    """(id, n_sources, days, promoted): kinds among a vector's similar ones of other kinds and itself, and the span of their times.
+    """(id, n_sources, days, promoted): kinds among a vector's similar ones of other kinds and itself, and the span of their and its times.
 
     pairs: (a, b, a_kind, b_kind); times: (id, ts).
     """
     cross = pairs.where("a_kind != b_kind")
     both = cross.select(F.col("a").alias("id"), F.col("b").alias("other"), F.col("b_kind").alias("kind")).unionByName(cross.select(F.col("b").alias("id"), F.col("a").alias("other"), F.col("a_kind").alias("kind")))
+    both = both.unionByName(both.select("id", F.col("id").alias("other"), F.lit(None).alias("kind")).distinct())
     timed = both.join(times.select(F.col("id").alias("other"), "ts"), "other")
     out = timed.groupBy("id").agg((F.countDistinct("kind") + 1).alias("n_sources"), F.datediff(F.max("ts"), F.min("ts")).alias("days"))
     return out.withColumn("promoted", (F.col("n_sources") >= LEAST_SOURCES) & (F.col("days") >= LEAST_DAYS))

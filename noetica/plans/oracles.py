@@ -7,7 +7,7 @@ ENTITIES = """ents AS (
   UNION ALL SELECT 'P:' || p_partkey, p_name || ' #' || p_partkey, 'Part', p_brand || ' ' || p_type FROM part)"""
 EDGES = """lines AS (
   SELECT l_suppkey, l_partkey, l_shipdate AS valid_at, min(l_returnflag) AS name, list_sort(list(DISTINCT l_orderkey::VARCHAR)) AS eps
-  FROM lineitem WHERE l_quantity >= 45 GROUP BY l_suppkey, l_partkey, l_shipdate),
+  FROM lineitem GROUP BY l_suppkey, l_partkey, l_shipdate),
 named AS (
   SELECT 'S:' || l_suppkey AS source_uuid, 'P:' || l_partkey AS target_uuid, valid_at, name, array_to_string(eps, ',') AS episodes,
     'S:' || l_suppkey || '|P:' || l_partkey || '|' || strftime(valid_at, '%Y-%m-%d') AS uuid, s_name || ' supplies ' || p_name AS fact,
@@ -94,8 +94,8 @@ GRAPH = f"{ENTITIES}, {EDGES}, {WAYS}"
 
 
 def _history(bucket: str) -> str:
-    return f"""WITH {EDGES}, found AS (SELECT *, row_number() OVER (ORDER BY valid_at DESC, uuid) AS r FROM edges WHERE contains(fact, 'red widget') QUALIFY r <= 30),
-split AS (SELECT *, {bucket} AS bucket FROM found), placed AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY r) AS rank FROM split WHERE bucket IS NOT NULL)
+    return f"""WITH {EDGES}, split AS (SELECT *, {bucket} AS bucket FROM edges WHERE contains(fact, 'red widget')),
+placed AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY valid_at DESC, uuid) AS rank FROM split WHERE bucket IS NOT NULL)
 SELECT bucket, rank::INT AS rank, uuid, fact, {iso('valid_at')}, {iso('invalid_at')} FROM placed WHERE rank <= 10"""
 
 
@@ -104,6 +104,29 @@ _CURRENT = f"(valid_at IS NULL OR valid_at <= {_T}) AND (invalid_at IS NULL OR i
 STATS = f"""{GRAPH}, {EPISODES}, stats AS (SELECT (SELECT count(*) FROM ents) AS entity_count, (SELECT count(*) FROM edges) AS edge_count, (SELECT count(*) FROM episodes) AS episode_count,
   0::BIGINT AS community_count, (SELECT count(*) FROM ents WHERE uuid NOT IN (SELECT node FROM ways)) AS orphan_count)"""
 
+BUILT = f"""{labels()}, best AS (SELECT label, n FROM sizes WHERE n BETWEEN 2 AND 100 ORDER BY n DESC, label LIMIT 50),
+heavy AS (SELECT a AS uuid, sum(weight) AS weight FROM adj GROUP BY a),
+named_members AS (SELECT label, n, name, row_number() OVER (PARTITION BY label ORDER BY weight DESC NULLS LAST, uuid) AS i FROM best JOIN labels USING (label) JOIN (SELECT uuid, name FROM ents) USING (uuid) LEFT JOIN heavy USING (uuid)),
+names AS (SELECT label, n, string_agg(name, ', ' ORDER BY i) AS name FROM named_members WHERE i <= 3 GROUP BY label, n),
+inner_facts AS (SELECT s.label, fact, row_number() OVER (PARTITION BY s.label ORDER BY fact, edges.uuid) AS i FROM edges JOIN labels s ON s.uuid = source_uuid JOIN labels t ON t.uuid = target_uuid WHERE s.label = t.label),
+built AS (SELECT label, n, name, coalesce(summary, '') AS summary FROM names LEFT JOIN (SELECT label, string_agg(fact, '; ' ORDER BY fact) AS summary FROM inner_facts WHERE i <= 5 GROUP BY label) USING (label))"""
+_NORMAL = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+RESOLVED = rf"""told AS (SELECT unnest(regexp_extract_all(body, '(?:^|[^\p{{L}}\p{{N}}_])(\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)*)', 1)) AS mention FROM notes
+  UNION SELECT regexp_replace(upper(name), '0#|#0', '##', 'g') FROM ents),
+mentions AS (SELECT mention, {_NORMAL.format('mention')} AS key FROM told), wanted AS (SELECT DISTINCT key FROM mentions),
+known AS (SELECT {_NORMAL.format('name')} AS name, min(uuid) AS uuid FROM ents GROUP BY 1),
+exact AS (SELECT key, uuid FROM wanted JOIN known ON key = name),
+fuzzy AS (SELECT key, arg_min(uuid, (levenshtein(key, name), uuid)) AS uuid FROM wanted ANTI JOIN exact USING (key) JOIN known ON abs(length(key) - length(name)) <= 2
+  WHERE levenshtein(key, name) <= 2 AND levenshtein(key, name) < least(length(key), length(name)) GROUP BY key),
+left_over AS (SELECT key FROM wanted WHERE key NOT IN (SELECT key FROM exact) AND key NOT IN (SELECT key FROM fuzzy)),
+parts AS (SELECT uuid, string_split(name, ' ') AS ws FROM known), sizes_of AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM parts),
+tf AS (SELECT uuid, size, word, count(*) AS tf FROM (SELECT uuid, len(ws) AS size, unnest(ws) AS word FROM parts) GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+asked AS (SELECT DISTINCT key, unnest(string_split(key, ' ')) AS word FROM left_over),
+scored AS (SELECT key, uuid, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM asked JOIN tf USING (word) JOIN df USING (word) CROSS JOIN sizes_of WHERE word <> '' GROUP BY key, uuid),
+by_word AS (SELECT key, arg_min(uuid, (-score, uuid)) AS uuid FROM scored GROUP BY key),
+tiers AS (SELECT key, uuid, 'exact' AS tier FROM exact UNION ALL SELECT key, uuid, 'fuzzy' FROM fuzzy UNION ALL SELECT key, uuid, 'words' FROM by_word),
+resolved AS (SELECT mention, uuid, tier FROM mentions LEFT JOIN tiers USING (key))"""
+
 ORACLES: dict[str, str] = {
     "graph_stats": f"WITH {STATS} SELECT * FROM stats",
     "orphan_pct": f"WITH {STATS} SELECT CASE WHEN entity_count > 0 THEN printf('%.1f', round(100.0 * orphan_count / entity_count, 1)) ELSE '0' END AS orphan_pct FROM stats",
@@ -135,7 +158,7 @@ SELECT uuid, priority::INT AS priority FROM (SELECT * FROM near WHERE uuid NOT I
     "turn_split": r"""WITH t AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS turn, role, string_split(text, chr(10)) AS lines FROM conversations WHERE role IN ('user', 'assistant'))
 SELECT conv_id, turn, role, regexp_replace(array_to_string(list_prepend(regexp_replace(lines[1], '^\s+|\s+$', '', 'g'), lines[2:]), chr(10)), '^\s+|\s+$', '', 'g') AS content FROM t""",
     "notes_capped": f"WITH {NOTES} SELECT doc_id, name, length(substring(body, 1, 5000))::INT AS n, md5(substring(body, 1, 5000)) AS body_md5 FROM notes WHERE NOT regexp_matches(lower(name), 'api key|password|secret|credential|token')",
-    "sensitive_filter": "SELECT regexp_matches(lower(text), 'api key|password|secret|credential|token') AS sensitive, count(*) AS n FROM documents GROUP BY 1",
+    "sensitive_filter": "SELECT regexp_matches(lower(string_split(text, chr(10))[1]), 'api key|password|secret|credential|token') AS sensitive, count(*) AS n FROM documents GROUP BY 1",
     "length_filter": r"SELECT doc_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g'))::INT AS n FROM documents WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 50",
     "skip_existing_anti": f"WITH {NOTES} SELECT doc_id, name FROM notes WHERE substring(name, 1, 80) NOT IN (SELECT substring(name, 1, 80) FROM notes WHERE doc_id % 2 = 0)",
     "remaining_notes_anti": f"WITH {NOTES} SELECT doc_id, name FROM notes WHERE name NOT IN (SELECT name FROM notes WHERE doc_id % 3 = 0)",
@@ -145,6 +168,7 @@ SELECT conv_id, turn, role, regexp_replace(array_to_string(list_prepend(regexp_r
     "thread_sources": f"WITH {SOURCES} SELECT conv_id, label, coalesce(created_at, '2026-01-01T00:00:00Z') AS created_at, length(raw_content)::INT AS n FROM sources WHERE source = 'assistant-thread' AND label NOT IN ('users', 'memories', 'projects', 'conversations') AND length(raw_content) > 100",
     "source_lookup": f"WITH {SOURCES} SELECT conv_id, label, length(raw_content)::INT AS n FROM sources WHERE label ILIKE 'CONV 1%' ORDER BY label LIMIT 1",
     "episode_check": f"WITH {NOTES} SELECT count(*) FILTER (name LIKE 'src1%') AS n_good, count(DISTINCT CASE WHEN name LIKE 'src1%' THEN name || body END) AS n_ids, count(*) FILTER (name NOT LIKE 'src1%') AS n_bad FROM notes",
+    "import_rollup": f"WITH {NOTES} SELECT CASE WHEN name LIKE 'src1%' THEN 'ok' ELSE 'failed' END AS status, CASE WHEN name NOT LIKE 'src1%' THEN 'time' END AS reason, count(*) AS n FROM notes GROUP BY 1, 2",
     "search_sources_limit": f"WITH {SOURCES} SELECT conv_id, label, created_at FROM sources WHERE source = 'search-thread' AND length(raw_content) > 200 ORDER BY created_at NULLS FIRST, conv_id LIMIT 20",
     "search_thread_extract": """WITH f AS (SELECT conv_id, role, arg_min(text, turn) AS text FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1, 2)
 SELECT 'conv ' || conv_id AS label, 'Query' AS name, 'user: ' || substring(text, 1, 2000) AS body, 0::INT AS turn_index FROM f WHERE role = 'user' AND length(text) > 10
@@ -154,11 +178,11 @@ UNION ALL SELECT 'conv ' || conv_id, 'Answer', 'assistant: ' || substring(text,
     "bm25_topk": f"WITH {DOCS}, {bm25(['the', 'thing', 'trash'])} SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM scores QUALIFY rank <= 10",
     "hybrid_rrf": f"""WITH {DOCS}, {bm25(['the', 'thing', 'trash'])}, b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM scores QUALIFY rank <= 50), v AS ({nearest('{}.embedding', 50)}),
 fused AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT id, rank FROM b UNION ALL SELECT id, rank FROM v) GROUP BY id) SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM fused QUALIFY rank <= 10""",
-    "search_edges": f"WITH {EDGES}, texts AS (SELECT uuid AS id, fact AS text FROM edges), {hybrid(['red', 'widget'])} SELECT id, score, rank::INT AS rank, fact, source_name, target_name FROM top JOIN edges ON uuid = id",
+    "search_edges": f"WITH {EDGES}, texts AS (SELECT uuid AS id, fact AS text FROM edges), {hybrid(['red', 'widget'])} SELECT id, score, rank::INT AS rank, name, fact, source_name, target_name, strftime(valid_at, '%Y-%m-%dT%H:%M:%S') AS created_at, {iso('valid_at')}, {iso('invalid_at')}, {iso('expired_at')}, episodes FROM top JOIN edges ON uuid = id",
     "search_nodes": f"WITH {ENTITIES}, texts AS (SELECT uuid AS id, name || ' ' || summary AS text FROM ents), {hybrid(['red', 'widget'])} SELECT id, score, rank::INT AS rank, name FROM top JOIN ents ON uuid = id",
     "passthrough_rank": f"WITH {EDGES} SELECT uuid, rank::INT AS rank, round(1 - 0.01::DOUBLE * (rank - 1), 2) AS score FROM (SELECT uuid, row_number() OVER (ORDER BY valid_at DESC, uuid) AS rank FROM edges) WHERE rank <= 120",
-    "source_fulltext": f"""WITH {DOCS}, {bm25(['stupid', 'trash'])}, forms AS (SELECT id, score, 0 AS form FROM scores WHERE n_terms = 2
-UNION ALL SELECT id, score, 1 FROM scores JOIN texts USING (id) WHERE contains(lower(text), 'stupid trash') UNION ALL SELECT id, score, 2 FROM scores)
+    "source_fulltext": f"""WITH {DOCS}, {bm25(['stupid', 'trash'])}, forms AS (SELECT id, score, 0 AS form FROM scores
+UNION ALL SELECT id, coalesce(score, 0), 1 FROM texts LEFT JOIN scores USING (id) WHERE contains(lower(text), 'stupid trash'))
 SELECT id, form::INT AS form, score, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM forms WHERE form = (SELECT min(form) FROM forms) QUALIFY rank <= 5""",
     "token_counts": f"WITH {DOCS}, {TOKENS} SELECT term, count(*) AS n FROM (SELECT unnest(words) AS term FROM toks) GROUP BY term",
     "lpa_rounds": f"WITH {labels()} SELECT uuid, label FROM labels",
@@ -167,6 +191,9 @@ SELECT id, form::INT AS form, score, row_number() OVER (ORDER BY score DESC, id)
     "community_size_dist": f"""WITH {labels()}, placed AS (SELECT n, row_number() OVER (ORDER BY n DESC) - 1 AS i, count(*) OVER () AS total FROM sizes)
 SELECT max(total) AS n_communities, max(n) AS greatest, min(n) AS least, max(n) FILTER (i = total // 2) AS median, string_agg(n::VARCHAR, ',' ORDER BY i) FILTER (i < 5) AS top5 FROM placed""",
     "community_members": f"WITH {labels()} SELECT labels.label AS community, count(DISTINCT uuid) AS n_members, min(name) AS first_name FROM labels JOIN ents USING (uuid) GROUP BY labels.label HAVING count(DISTINCT uuid) >= 2",
+    "community_build": f"WITH {BUILT} SELECT * FROM built",
+    "list_communities": f"WITH {BUILT} SELECT 'C:' || label AS uuid, name, summary FROM built",
+    "entity_resolution": f"WITH {ENTITIES}, {NOTES}, {RESOLVED} SELECT * FROM resolved",
     "orphans_in_communities": f"WITH {labels()} SELECT count(DISTINCT uuid) AS n_orphans FROM labels WHERE uuid NOT IN (SELECT node FROM ways)",
     "similar_pairs": f"WITH {pairs(0.3)} SELECT a, b, round(raw, 6) AS score FROM pairs",
     "knn_topk": f"SELECT q AS query, id, score, rank::INT AS rank FROM (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS q, e.vec_id AS id, round({COSINE.format(a='e.embedding', b='q.embedding')}, 6) AS score FROM embeddings e JOIN embeddings q ON e.vec_id <> q.vec_id AND q.vec_id % 100 = 0)) WHERE rank <= 3",
@@ -181,9 +208,10 @@ SELECT user_id, window_no::INT AS window_no, count(*) AS n, strftime(min(ts), '%
     "segment_enrich": r"""SELECT doc_id AS id, lang AS source, md5(CASE lang WHEN 'en' THEN '[english note] ' WHEN 'de' THEN '[german note] ' ELSE '' END || text) AS enriched_md5 FROM documents
 WHERE len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) >= CASE lang WHEN 'en' THEN 30 WHEN 'de' THEN 15 WHEN 'fr' THEN 20 ELSE 10 END""",
     "recurrence_flags": f"""WITH {pairs(0.3)}, b AS (SELECT a AS id, b AS other, b_kind AS kind FROM pairs WHERE a_kind <> b_kind UNION ALL SELECT b, a, a_kind FROM pairs WHERE a_kind <> b_kind),
-t AS (SELECT b.id, count(DISTINCT kind) + 1 AS n_sources, date_diff('day', min(ts)::DATE, max(ts)::DATE)::INT AS days FROM b JOIN events ON event_id = other GROUP BY b.id) SELECT *, n_sources >= 3 AND days >= 14 AS promoted FROM t""",
-    "contradiction_flags": rf"WITH {pairs(0.3)} SELECT b AS id, a AS other, round(raw, 6) AS score FROM pairs JOIN documents ON doc_id = b WHERE regexp_matches(lower(text), '\b(not|wrong|actually|changed my mind|i used to think)\b')",
-    "thread_components": f"""WITH RECURSIVE {pairs(0.4)}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen)
+own AS (SELECT * FROM b UNION ALL SELECT DISTINCT id, id, NULL FROM b),
+t AS (SELECT own.id, count(DISTINCT kind) + 1 AS n_sources, date_diff('day', min(ts)::DATE, max(ts)::DATE)::INT AS days FROM own JOIN events ON event_id = other GROUP BY own.id) SELECT *, n_sources >= 3 AND days >= 14 AS promoted FROM t""",
+    "contradiction_flags": rf"WITH {pairs(0.3)} SELECT b AS id, a AS other, round(raw, 6) AS score FROM pairs JOIN documents ON doc_id = b WHERE regexp_matches(lower(CASE WHEN doc_id % 3 = 0 THEN 'Not so: ' ELSE '' END || text), '\b(not|wrong|actually|changed my mind|i used to think)\b')",
+    "thread_components": f"""WITH RECURSIVE {pairs(0.32)}, near AS (SELECT a, b FROM pairs WHERE round(raw, 6) + CASE WHEN a_kind <> b_kind THEN 0.08::DOUBLE ELSE 0 END > 0.4::DOUBLE), e AS (SELECT a, b FROM near UNION SELECT b, a FROM near), r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen)
 SELECT node, min(seen) AS component FROM r GROUP BY node""",
     "thread_states": f"WITH {THREADS} SELECT thread_id, n_done, n_acted, n_decided, n_compared, idle_days, state, CASE state WHEN 'exploring' THEN 'gather' WHEN 'evaluating' THEN 'compare' WHEN 'decided' THEN 'plan' WHEN 'acting' THEN 'continue' WHEN 'stalled' THEN 'unblock' ELSE 'none' END AS action FROM states",
     "threads_by_state": f"WITH {THREADS} SELECT state, count(*) AS n FROM states GROUP BY state",

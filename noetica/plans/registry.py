@@ -14,7 +14,7 @@ from noetica.sources import threads, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-K, LPA_ROUNDS, SIMILAR, LINKED = 10, 3, 0.3, 0.4
+K, LPA_ROUNDS, SIMILAR, LINKED, CROSS_BONUS = 10, 3, 0.3, 0.4, 0.08
 WORDS = ["the", "thing", "trash"]
 FACT_WORDS = ["red", "widget"]
 HISTORY_WORD = "red widget"
@@ -194,7 +194,8 @@ def notes_capped(spark, d):
 def sensitive_filter(spark, d):
     from noetica.functions.text import is_sensitive
 
-    return views.read(spark, d, "documents").select("doc_id", is_sensitive(F.col("text")).alias("sensitive")).groupBy("sensitive").agg(F.count("*").alias("n"))
+    name = F.substring_index("text", "\n", 1)  # a document's first line as its name; bodies are not looked at
+    return views.read(spark, d, "documents").select(is_sensitive(name).alias("sensitive")).groupBy("sensitive").agg(F.count("*").alias("n"))
 
 
 @query
@@ -244,11 +245,20 @@ def source_lookup(spark, d):
 @query
 def episode_check(spark, d):
     """Notes, those of some sources with a time that does not parse."""
-    notes = views.notes(spark, d).select("name", F.col("body").alias("content"), F.when(F.col("name").startswith("src1"), F.lit("2026-01-02T03:04:05Z")).otherwise(F.lit("yesterday")).alias("reference_time"))
-    good, bad = episodes.checked(notes)
+    good, bad = _checked(spark, d)
     return good.agg(F.count("*").alias("n_good"), F.countDistinct("uuid").alias("n_ids")).join(bad.agg(F.count("*").alias("n_bad")), F.lit(True))
 
 
+@query
+def import_rollup(spark, d):
+    return episodes.roll_up(*_checked(spark, d))
+
+
+def _checked(spark, d):
+    notes = views.notes(spark, d).select("name", F.col("body").alias("content"), F.when(F.col("name").startswith("src1"), F.lit("2026-01-02T03:04:05Z")).otherwise(F.lit("yesterday")).alias("reference_time"))
+    return episodes.checked(notes)
+
+
 @query
 def search_sources_limit(spark, d):
     out = episodes.thread_sources(views.sources(spark, d), "search-thread", 200)
@@ -298,9 +308,10 @@ def hybrid_rrf(spark, d):
 
 @query
 def search_edges(spark, d):
-    edges = views.edges(spark, d)
+    edges = community.cut(views.edges(spark, d))  # it is read four times
     hits = retrieval.hybrid(views.facts_as_text(edges), FACT_WORDS, K)
-    return hits.join(edges.select(F.col("uuid").alias("id"), "fact", "source_name", "target_name"), "id")
+    fields = ["name", "fact", "source_name", "target_name", "valid_at", "invalid_at", "expired_at", F.array_join("episodes", ",").alias("episodes")]
+    return _dated(hits.join(edges.select(F.col("uuid").alias("id"), *fields, F.col("valid_at").alias("created_at")), "id"), "created_at", "valid_at", "invalid_at", "expired_at")
 
 
 @query
@@ -312,7 +323,7 @@ def search_nodes(spark, d):
 
 @query
 def passthrough_rank(spark, d):
-    return retrieval.passthrough(views.recent(views.edges(spark, d).select("uuid", "valid_at"), 120, F.desc("valid_at"), F.col("uuid"))).select("uuid", "rank", "score")
+    return retrieval.passthrough(views.recent(views.edges(spark, d).select("uuid", "valid_at"), 120, F.desc("valid_at"), F.col("uuid"))).select("uuid", "rank", "score")  # a search's hits
 
 
 @query
@@ -365,7 +376,8 @@ def orphans_in_communities(spark, d):
 
 @query
 def community_build(spark, d):
-    return community.build(views.entities(spark, d), views.edges(spark, d), _labels(spark, d))
+    edges = community.cut(views.edges(spark, d))
+    return community.build(views.entities(spark, d), edges, community.label_propagation(views.entities(spark, d), edges, LPA_ROUNDS))
 
 
 @query
@@ -411,7 +423,7 @@ def near_dup_nodes(spark, d):
 def entity_resolution(spark, d):
     told = resolve.extracted(views.notes(spark, d).select(F.col("doc_id").alias("uuid"), F.col("body").alias("content"))).select("mention")
     names = views.entities(spark, d).select(F.regexp_replace(F.upper("name"), "0#|#0", "##").alias("mention"))
-    return resolve.resolve(told.unionByName(names), views.entities(spark, d).where("uuid like 'S:%'"))
+    return resolve.resolve(told.unionByName(names), views.entities(spark, d))
 
 
 # threads of activity
@@ -436,17 +448,20 @@ def _pairs(spark, d) -> DataFrame:
 
 @query
 def recurrence_flags(spark, d):
-    return tasks.recurring(_pairs(spark, d), views.events(spark, d).select(F.col("event_id").alias("id"), "ts"))
+    return tasks.recurring(_pairs(spark, d), views.embedded_times(spark, d))
 
 
 @query
 def contradiction_flags(spark, d):
-    return tasks.contradicting(_pairs(spark, d), _texts(spark, d))
+    return tasks.contradicting(_pairs(spark, d), views.embedded_texts(spark, d))
 
 
 @query
 def thread_components(spark, d):
-    return community.connected(embedding.similar(views.vectors(spark, d), LINKED))
+    """Pairs of different kinds need less likeness than others by a bonus."""
+    pairs = embedding.similar(views.vectors(spark, d), LINKED - CROSS_BONUS)
+    bonus = F.when(F.col("a_kind") != F.col("b_kind"), CROSS_BONUS).otherwise(0.0)
+    return community.connected(pairs.where(F.col("score") + bonus > LINKED))
 
 
 def _threads(spark, d) -> DataFrame:

@@ -1,54 +1,59 @@
-"""Markdown of small results, made in the driver from rows that a limit already bounds."""
+"""Small results as Markdown tables, written in the driver from rows that a limit already bounds."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterable
 
+from pyspark.sql import DataFrame, Row
 
-def _since(row) -> str:
-    return f"{row.valid_at:%Y-%m-%dT%H:%M:%S}" if row.valid_at else ""
+Cell = Callable[[Row], object]
+
+
+def _cell(value: object) -> str:
+    if value is None:
+        return ""
+    text = value.isoformat(sep=" ", timespec="minutes") if hasattr(value, "isoformat") else str(value)
+    return text.replace("|", "\\|").replace("\n", " ")
+
+
+def table(rows: Iterable[Row], **columns: Cell) -> str:
+    """A Markdown table with a column for each function of a row."""
+    lines = [columns, ["---"] * len(columns), *([_cell(f(r)) for f in columns.values()] for r in rows)]
+    return "\n".join("| " + " | ".join(line) + " |" for line in lines)
+
+
+def _either(*names: str) -> Cell:
+    """The first of the named fields that a row has, so that names of entities come before their ids."""
+    return lambda r: next((r[n] for n in names if n in r and r[n] is not None), None)
+
+
+def _fields(df: DataFrame, *order: str) -> list[Row]:
+    return df.orderBy(*order).collect()
 
 
 def search_report(hits: DataFrame, query: str) -> str:
-    """Numbered facts of a search, in order of rank."""
-    rows = hits.orderBy("rank").collect()
-    if not rows:
-        return f"No results for: {query}"
-    out = [f"## Search results for: {query}", ""]
-    for r in rows:
-        out += [f"**{r['rank']}.** {r.source_uuid} → {r.target_uuid}", f"   {r.fact or '(no fact text)'}"]
-        if r.valid_at:
-            out.append(f"   _Valid since: {_since(r)}_")
-        if r.invalid_at:
-            out.append(f"   _Invalidated: {r.invalid_at:%Y-%m-%dT%H:%M:%S}_")
-        out.append("")
-    return "\n".join(out)
+    """The facts that a search found, a row for each."""
+    rows = _fields(hits, "rank")
+    facts = table(rows, place=_either("rank"), subject=_either("source_name", "source_uuid"), fact=_either("fact", "name"), object=_either("target_name", "target_uuid"), holds_from=_either("valid_at"), holds_until=_either("invalid_at"))
+    return f"{len(rows)} facts about “{query}”\n\n{facts}" if rows else f"Nothing is known about “{query}”."
 
 
 def history_report(split: DataFrame, query: str) -> str:
-    """Current facts, then superseded ones struck out."""
-    rows = split.orderBy("bucket", "rank").collect()
-    if not rows:
-        return f"No facts found for: {query}"
-    out = []
-    for bucket, title in (("current", "## Current facts"), ("superseded", "## Superseded facts")):
-        own = [r for r in rows if r.bucket == bucket]
-        if own:
-            out += [title, "", *(f"- {r.fact}" if bucket == "current" else f"- ~~{r.fact}~~ _(invalidated {r.invalid_at:%Y-%m-%dT%H:%M:%S})_" for r in own), ""]
-    return "\n".join(out)
+    """What held and what holds, in one table."""
+    rows = _fields(split, "bucket", "rank")
+    states = table(rows, state=_either("bucket"), fact=_either("fact"), holds_from=_either("valid_at"), holds_until=_either("invalid_at"))
+    return f"History of “{query}”\n\n{states}" if rows else f"“{query}” has no history."
 
 
 def stats_report(stats: DataFrame) -> str:
-    """Counts with thousands separators, and the share of orphans."""
+    """A row for each count of the graph, orphans with their share."""
     r = stats.first()
-    share = f"{100 * r.orphan_count / r.entity_count:.1f}" if r.entity_count else "0"
-    lines = [("Entities", r.entity_count), ("Edges", r.edge_count), ("Episodes", r.episode_count), ("Communities", r.community_count)]
-    return "\n".join(["## Graph stats", "", *(f"- {name}: {n:,}" for name, n in lines), f"- Orphans: {r.orphan_count:,} ({share}%)"])
+    share = r.orphan_count / r.entity_count if r.entity_count else 0.0
+    counts = [Row(what=name.removesuffix("_count"), n=f"{n:,}", share=f"{share:.1%}" if name == "orphan_count" else None) for name, n in r.asDict().items()]
+    return table(counts, kind=_either("what"), count=_either("n"), share=_either("share"))
 
 
 def evaluation_report(answers: DataFrame, axes: tuple[str, ...] = ("accuracy", "non-obviousness", "usefulness", "sourcing")) -> str:
-    """A section for each question (id, dimension, question, answer) with empty slots for each axis of the rubric."""
-    out = ["# Evaluation", ""]
-    for r in answers.orderBy("id").collect():
-        out += [f"## {r.id} ({r.dimension})", "", f"> {r.question}", "", r.answer or "_(no answer)_", "", *(f"- {a}: __ / 5" for a in axes), ""]
-    return "\n".join(out)
+    """Questions (id, dimension, question, answer) with an empty column of marks from 1 to 5 for each axis of the rubric."""
+    blank = {axis.replace("-", "_"): (lambda r: "") for axis in axes}
+    return table(_fields(answers, "id"), id=_either("id"), dimension=_either("dimension"), question=_either("question"), answer=_either("answer"), **blank)

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import json
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noetica.functions.text import strip
 
-# Turn markers, the steps of a search thread, least and most characters of its query and answer.
+# Turn markers, the steps of a search thread, least and most characters of its query and
+# answer, least of a plain text, most of a label.
 USER, ASSISTANT = "[User]:", "[Assistant]:"
 QUERY_STEP, FINAL_STEP = "INITIAL_QUERY", "FINAL"
-LEAST_QUERY, QUERY_CAP, LEAST_ANSWER, ANSWER_CAP, LEAST_PLAIN = 10, 2000, 50, 3000, 100
+LEAST_QUERY, QUERY_CAP, LEAST_ANSWER, ANSWER_CAP, LEAST_PLAIN, LABEL_CAP = 10, 2000, 50, 3000, 100, 60
 
 
 def split_turns(threads: DataFrame, raw: str = "raw_content") -> DataFrame:
@@ -30,64 +28,34 @@ def split_turns(threads: DataFrame, raw: str = "raw_content") -> DataFrame:
     return rows.select(*rest, "turn", F.when(user, "user").otherwise("assistant").alias("role"), strip(F.array_join(lines, "\n")).alias("content"))
 
 
-def first_array(raw: str, strict: bool = False) -> str:
-    """The first JSON array of a text that starts with one, else the text.
-
-    strict counts brackets wherever they stand, in strings too, and cuts any text where none is open.
-    """
-    if strict:
-        depth = 0
-        for i, c in enumerate(raw):
-            depth += (c == "[") - (c == "]")
-            if depth == 0 and i > 0:
-                return raw[: i + 1]
-        return raw
-    if not raw.startswith("[") or not raw[1:].lstrip().startswith(("{", "]")):
-        return raw
-    try:
-        return raw[: json.JSONDecoder().raw_decode(raw)[1]]
-    except json.JSONDecodeError:
-        return raw
-
-
-def _answer(value: object) -> object:
-    try:
-        inner = json.loads(value)  # an answer may be JSON itself
-    except (json.JSONDecodeError, TypeError):
-        return value
-    return inner.get("answer", value) if isinstance(inner, dict) else value
-
-
-def search_episodes(raw: str, label: str, strict: bool = False) -> list[tuple[str, str, int]]:
-    """(name, body, turn_index): query and answer of a search thread, or the text itself where it is not JSON."""
-    text = raw[len(ASSISTANT) :].strip() if raw.startswith(ASSISTANT) else raw
-    text = first_array(text, strict)
-    try:
-        steps = json.loads(text)
-    except json.JSONDecodeError:
-        return [(label[:60], text[:ANSWER_CAP], 0)] if len(text) > LEAST_PLAIN else []
-    query = answer = None
-    for step in steps if isinstance(steps, list) else [steps]:
-        content = step.get("content", {}) if isinstance(step, dict) else None
-        if isinstance(content, dict) and step.get("step_type") == QUERY_STEP:
-            query = content.get("query", "")
-        elif isinstance(content, dict) and step.get("step_type") == FINAL_STEP:
-            answer = _answer(content.get("answer", ""))
-    out = []
-    if isinstance(query, str) and len(query) > LEAST_QUERY:
-        out.append(("Query", f"user: {query[:QUERY_CAP]}", 0))
-    if isinstance(answer, str) and len(answer) > LEAST_ANSWER:
-        out.append(("Answer", f"assistant: {answer[:ANSWER_CAP]}", 1))
-    return out
+def balanced(text: Column) -> Column:
+    """The text up to where its square brackets first balance after the first character, wherever they stand; whole if they don't."""
+    step = lambda s, c: F.struct((s["depth"] + (c == "[").cast("int") - (c == "]").cast("int")).alias("depth"), (s["at"] + 1).alias("at"), s["end"].alias("end"))
+    close = lambda s: F.struct(s["depth"].alias("depth"), s["at"].alias("at"), F.when((s["end"] == 0) & (s["depth"] == 0) & (s["at"] > 1), s["at"]).otherwise(s["end"]).alias("end"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+    end = F.aggregate(F.split(text, ""), start, lambda s, c: close(step(s, c)))["end"]
+    return F.when(end > 0, F.substring(text, F.lit(1), end)).otherwise(text)
 
 
 def extract_searches(threads: DataFrame, strict: bool = False) -> DataFrame:
-    """(label, name, body, turn_index) of threads (label, raw_content), in Arrow batches."""
+    """(label, name, body, turn_index) of search threads (label, raw_content): a query and an answer, the last final step's.
 
-    def run(batches):
-        for batch in batches:
-            rows = [(label, *e) for label, raw in zip(batch.column("label").to_pylist(), batch.column("raw_content").to_pylist(), strict=True) for e in search_episodes(raw or "", label or "", strict)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int32()), strict=True)], ["label", "name", "body", "turn_index"])
-
-    return threads.select("label", "raw_content").mapInArrow(run, "label string, name string, body string, turn_index int")
+    The steps are the first JSON value of the text, an array or one step alone; what follows it is left out. An answer may be
+    JSON that holds the answer. A text that is no such JSON is an episode itself if it is long enough. strict cuts the text
+    where its brackets balance first, in strings too.
+    """
+    raw = F.coalesce("raw_content", F.lit(""))
+    text = F.when(raw.startswith(ASSISTANT), strip(F.substring(raw, len(ASSISTANT) + 1, 1 << 30))).otherwise(raw)
+    rows = threads.select(F.coalesce("label", F.lit("")).alias("label"), (balanced(text) if strict else text).alias("text"))
+    # the steps' contents stay text until it is known which are wanted
+    steps = rows.withColumn("steps", F.from_json("text", "array<struct<step_type: string, content: string>>"))
+    content = lambda kind, field: F.try_element_at(F.filter(F.transform(F.filter("steps", lambda x: x["step_type"] == kind), lambda x: F.get_json_object(x["content"], f"$.{field}")), lambda c: c.isNotNull()), F.lit(-1))
+    read = steps.select("label", "text", F.col("steps").isNull().alias("plain"), content(QUERY_STEP, "query").alias("query"), content(FINAL_STEP, "answer").alias("told"))
+    answer = F.coalesce(F.get_json_object("told", "$.answer"), F.col("told"))
+    episode = lambda name, body, place: F.struct(name.alias("name"), body.alias("body"), F.lit(place).alias("turn_index"))
+    found = F.array(
+        F.when(F.col("plain") & (F.length("text") > LEAST_PLAIN), episode(F.substring("label", 1, LABEL_CAP), F.substring("text", 1, ANSWER_CAP), 0)),
+        F.when(F.length("query") > LEAST_QUERY, episode(F.lit("Query"), F.concat(F.lit("user: "), F.substring("query", 1, QUERY_CAP)), 0)),
+        F.when(F.length(answer) > LEAST_ANSWER, episode(F.lit("Answer"), F.concat(F.lit("assistant: "), F.substring(answer, 1, ANSWER_CAP)), 1)),
+    )
+    return read.select("label", F.inline(F.array_compact(found)))

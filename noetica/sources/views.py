@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from noetica.functions.text import strip
 
 GROUP = "default"
-#: Least quantity of a line that makes an edge.
-EDGE_QUANTITY = 45
 # Defaults and labels of the source table.
 DEFAULT_TIME = "2026-01-01T00:00:00Z"
 EXCLUDED_LABELS = ("users", "memories", "projects", "conversations")
@@ -31,9 +29,8 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Large deliveries as edges from supplier to part, not yet superseded by newer ones."""
-    lines = read(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= EDGE_QUANTITY)
-    lines = lines.groupBy("l_suppkey", "l_partkey", F.col("l_shipdate").cast("timestamp").alias("valid_at")).agg(F.min("l_returnflag").alias("name"), F.array_sort(F.collect_set(F.col("l_orderkey").cast("string"))).alias("episodes"))
+    """Deliveries as edges from supplier to part, not yet superseded by newer ones."""
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey", F.col("l_shipdate").cast("timestamp").alias("valid_at")).agg(F.min("l_returnflag").alias("name"), F.array_sort(F.collect_set(F.col("l_orderkey").cast("string"))).alias("episodes"))
     suppliers = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
     parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     source, target = F.concat(F.lit("S:"), "l_suppkey"), F.concat(F.lit("P:"), "l_partkey")
@@ -90,6 +87,20 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("kind"))
 
 
+def embedded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text) of what the vectors stand for: vector i embeds document i.
+
+    The invented prose has no cue of negation; every third text gets one in front.
+    """
+    docs = read(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("id"), F.concat(F.when(F.col("doc_id") % 3 == 0, "Not so: ").otherwise(""), "text").alias("text"))
+
+
+def embedded_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, ts): vector i was made at the time of event i."""
+    return events(spark, sf_dir).select(F.col("event_id").alias("id"), "ts")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 

@@ -21,13 +21,10 @@ def ingest(stream: DataFrame, table: str, checkpoint: str, key: str = "uuid"):
 
     def add(batch: DataFrame, _: int) -> None:
         new = batch.dropDuplicates([key])
-        try:
-            have = batch.sparkSession.read.parquet(table).select(key)
-        except Exception as error:  # no table yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        else:
-            new = new.join(have, key, "left_anti")
+        spark = batch.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            new = new.join(spark.read.parquet(table).select(key), key, "left_anti")
         new.write.mode("append").parquet(table)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -99,7 +99,7 @@ def test_stats_and_orphans(engine, spark):
 
 def test_search_and_sources(engine):
     assert ids(engine.search("zero", 1)) == ["zero"]
-    assert [r.id for r in engine.get_source("pears red", 5).collect()] and {r.form for r in engine.get_source("pears red").collect()} == {0}
+    assert len(engine.get_source("pears red zebra", 5).collect()) == 2 and {r.form for r in engine.get_source("pears red").collect()} == {0}
     assert engine.get_source("nothing here").count() == 0
     with pytest.raises(ValueError):
         engine.get_source("  ")
@@ -109,6 +109,48 @@ def test_search_and_sources(engine):
         engine.add_note(" ", "me", F.lit(T[0]))
 
 
+def test_queries_are_split_as_texts_are(spark, engine):
+    """Any word finds, apostrophes and hyphens part words, and a phrase rescues a query without words."""
+    rows = [("a", "I don't know"), ("b", "state-of-the-art work"), ("c", "red pears"), ("d", "green -> blue"), ("e", None)]
+    texts = spark.createDataFrame(rows, "id string, text string")
+    find = lambda q: {(r.id, r.form) for r in retrieval.full_text(texts, q, 5).collect()}
+    assert find("don't") == {("a", 0)} and find("State-of-the-art") == {("b", 0)} and find("pears zebra") == {("c", 0)}
+    assert find(" -> ") == {("d", 1)} and find("zebra") == set()
+
+
+def test_edge_attention(spark):
+    df = spark.createDataFrame([("a", 1.0, "knows", T[0]), ("b", 1.0, "other", T[1])], "id string, score double, name string, at timestamp")
+    rows = {r.id: r.score for r in retrieval.recency_weighted(df, "at", F.lit(T[1]), 0.1, {"knows": 0.15}).collect()}
+    assert abs(rows["a"] - 2.718281828 ** -0.1 * 1.15) < 1e-6 and rows["b"] == 1.0
+
+
+def test_episodes_in_bulk(engine, spark):
+    rows = [("n1", "Ada Lovelace met Node A today", "d1", T[0]), ("n2", "then Ada Lovelace wrote", "d2", T[1]), ("n1", "Ada Lovelace met Node A today", "d1", T[0]), ("n3", "  ", "d3", T[0]), ("n4", None, "d4", T[0])]
+    given = spark.createDataFrame(rows, "name string, content string, source_description string, reference_time timestamp")
+    facts = lambda e: e.where("name = 'n1'").select("uuid", F.lit("Ada Lovelace").alias("source"), F.lit("Node").alias("target"), F.lit("met").alias("name"), F.lit("Ada met A").alias("fact"))
+    more, counts = engine.add_episodes(given, facts=facts)
+    assert counts.first().asDict() == {"episodes_created": 2, "nodes_created": 1, "edges_created": 1, "communities_created": 0}
+    (edge,) = more.edges.where("fact = 'Ada met A'").collect()
+    assert edge.target_uuid == "a" and edge.valid_at == T[0] and len(edge.episodes) == 1
+    assert more.entities.where("name = 'Ada Lovelace'").count() == 1 and more.episodes.count() == 4
+    _, again = more.add_episodes(given, facts=facts)
+    assert set(again.first().asDict().values()) == {0}
+
+
+def test_community_job(engine):
+    built, counts = engine.community_job(3)
+    row = counts.first()
+    assert row.orphans_before == row.orphans_after == 2 and row.communities == built.count() >= 1
+
+
+def test_roll_up(spark):
+    from noetica.operators import episodes
+
+    rows = spark.createDataFrame([("a", "x", None), ("b", " ", None), ("c", "y", "no time"), ("d", "z", "2026-01-01")], "name string, content string, reference_time string")
+    got = {(r.status, r.reason): r.n for r in episodes.roll_up(*episodes.checked(rows)).collect()}
+    assert got == {("ok", None): 2, ("failed", "content"): 1, ("failed", "time"): 1}
+
+
 def test_fusion_ignores_order(spark):
     one = spark.createDataFrame([("a", 1), ("b", 2)], "id string, rank int")
     two = spark.createDataFrame([("b", 1), ("c", 2)], "id string, rank int")
@@ -162,6 +204,23 @@ def test_similar_pairs_are_whole(spark):
         assert sure <= got <= maybe
 
 
+def test_clustered_vectors_meet_in_few_cells(spark):
+    """With real thresholds on clustered vectors, most cells are not visited, and no pair is lost."""
+    import numpy as np
+
+    from noetica.operators import embedding
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16))
+    v = centres[rng.integers(0, 40, 2000)] + 0.12 * rng.normal(size=(2000, 16))
+    v[7] = 0
+    cos = v @ v.T / np.maximum(1e-12, np.outer(np.linalg.norm(v, axis=1), np.linalg.norm(v, axis=1)))
+    df = spark.createDataFrame([(i, x.tolist(), i % 3) for i, x in enumerate(v)] + [(None, v[0].tolist(), 0), (2001, None, 0)], "id long, embedding array<double>, kind int")
+    got = {(r.a, r.b): (r.a_kind, r.b_kind) for r in embedding.similar(df, 0.92).collect()}
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(cos, 1) > 0.92), strict=True)}
+    assert set(got) == {(int(i), int(j)) for i, j in want} and all(kinds == (a % 3, b % 3) for (a, b), kinds in got.items())
+
+
 def test_backfill(spark):
     import numpy as np
 
@@ -187,10 +246,13 @@ def test_saved_communities(spark, tmp_path):
 def test_reports(engine, spark):
     from noetica import reports
 
-    assert "**1.** " in reports.search_report(engine.search("zero", 1), "zero")
-    assert reports.search_report(engine.search("zero").limit(0), "nothing") == "No results for: nothing"
+    text = reports.search_report(engine.search("zero", 1), "zero")
+    assert "| 1 | c | gamma delta zero | d |" in text and text.startswith("1 facts")
+    named = engine.search("zero", 1).withColumn("source_name", F.lit("a|b\nc"))
+    assert "| 1 | a\\|b c | gamma delta zero | d |" in reports.search_report(named, "zero")
+    assert reports.search_report(engine.search("zero").limit(0), "nothing") == "Nothing is known about “nothing”."
     text = reports.history_report(engine.history("alpha", k=5), "alpha")
-    assert "## Current facts" in text and "~~alpha beta two~~" in text
-    assert "- Orphans: 2 (33.3%)" in reports.stats_report(engine.stats())
+    assert "| current | alpha beta one |" in text and "| superseded | alpha beta two | 2020-01-02 00:00 | 2020-01-04 00:00 |" in text
+    assert "| orphan | 2 | 33.3% |" in reports.stats_report(engine.stats())
     asked = spark.createDataFrame([("q1", "recall", "what?", None)], "id string, dimension string, question string, answer string")
-    assert "- accuracy: __ / 5" in reports.evaluation_report(asked)
+    assert "| q1 | recall | what? |  |  |  |  |  |" in reports.evaluation_report(asked)

@@ -70,29 +70,39 @@ def search(query="a long question", answer="an answer " * 8, tail=""):
     return "[Assistant]: " + json.dumps(steps) + tail
 
 
-def test_search_threads():
-    assert [e[0] for e in threads.search_episodes(search(), "l")] == ["Query", "Answer"]
-    assert [e[0] for e in threads.search_episodes(search(tail='[{"step_type": "FINAL"}]'), "l")] == ["Query", "Answer"]
-    assert threads.search_episodes(search(query="q" * 10, answer="a" * 50), "l") == []
-    assert len(threads.search_episodes(search(query="q" * 11, answer="a" * 51), "l")) == 2
-    nested = threads.search_episodes(search(answer=json.dumps({"answer": "inner " * 10})), "l")
-    assert nested[1][1].startswith("assistant: inner")
+def episodes_of(spark, raw, strict=False):
+    rows = threads.extract_searches(spark.createDataFrame([("l" * 70, raw)], "label string, raw_content string"), strict).collect()
+    return sorted((r.turn_index, r.name, r.body) for r in rows)
 
 
-def test_last_final_wins():
+def test_search_threads(spark):
+    both = [(0, "Query"), (1, "Answer")]
+    assert [e[:2] for e in episodes_of(spark, search())] == both
+    assert [e[:2] for e in episodes_of(spark, search(tail='[{"step_type": "FINAL"}]'))] == both
+    assert episodes_of(spark, search(query="q" * 10, answer="a" * 50)) == []
+    assert len(episodes_of(spark, search(query="q" * 11, answer="a" * 51))) == 2
+    assert episodes_of(spark, search(answer=json.dumps({"answer": "inner " * 10})))[1][2].startswith("assistant: inner")
+    assert len(episodes_of(spark, search(answer=json.dumps({"other": "x" * 60})))[1][2]) > 60
+    alone = json.dumps({"step_type": "INITIAL_QUERY", "content": {"query": "one step alone"}})
+    assert episodes_of(spark, alone) == [(0, "Query", "user: one step alone")]
+    assert episodes_of(spark, json.dumps([{"step_type": "FINAL", "content": "text"}])) == [] and episodes_of(spark, None) == []
+
+
+def test_last_final_wins(spark):
     steps = [{"step_type": "FINAL", "content": {"answer": c * 60}} for c in "ab"]
-    assert threads.search_episodes(json.dumps(steps), "l")[0][1].startswith("assistant: b")
+    assert episodes_of(spark, json.dumps(steps))[0][2].startswith("assistant: b")
 
 
 @pytest.mark.parametrize("strict,n", [(True, 0), (False, 1)])
-def test_plain_text_of_a_search_thread(strict, n):
-    assert len(threads.search_episodes("plain text " * 20, "l", strict)) == n
+def test_plain_text_of_a_search_thread(spark, strict, n):
+    found = episodes_of(spark, "plain text " * 20, strict)
+    assert len(found) == n and all(e[1] == "l" * 60 for e in found)
 
 
-def test_bracket_in_string():
-    raw = search(answer="see ] there " * 6)
-    assert len(threads.search_episodes(raw, "l", strict=False)) == 2
-    assert all(e[0] not in ("Query", "Answer") for e in threads.search_episodes(raw, "l", strict=True))
+def test_bracket_in_string(spark):
+    raw = search(answer="see ] there " * 12)
+    assert len(episodes_of(spark, raw)) == 2
+    assert all(e[1] not in ("Query", "Answer") for e in episodes_of(spark, raw, strict=True))
 
 
 def test_names_over_the_cap(spark):
