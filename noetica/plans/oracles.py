@@ -4,7 +4,8 @@ from __future__ import annotations
 
 ENTITIES = """ents AS (
   SELECT 'S:' || s_suppkey AS uuid, s_name AS name, 'Supplier' AS label, 'nation ' || s_nationkey AS summary FROM supplier
-  UNION ALL SELECT 'P:' || p_partkey, p_name || ' #' || p_partkey, 'Part', p_brand || ' ' || p_type FROM part)"""
+  UNION ALL SELECT 'P:' || p_partkey, p_name || ' #' || p_partkey, 'Part', p_brand || ' ' || p_type FROM part
+  UNION ALL SELECT 'N:' || n_nationkey, n_name, 'Nation', 'region ' || n_regionkey FROM nation)"""
 EDGES = """lines AS (
   SELECT l_suppkey, l_partkey, l_shipdate AS valid_at, min(l_returnflag) AS name, list_sort(list(DISTINCT l_orderkey::VARCHAR)) AS eps
   FROM lineitem GROUP BY l_suppkey, l_partkey, l_shipdate),

@@ -18,14 +18,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers and parts as entities."""
+    """Suppliers, parts and nations as entities; no edge touches a nation."""
 
     def rows(table: DataFrame, key: str, letter: str, name: Column, label: str, summary: Column) -> DataFrame:
         return table.select(F.concat(F.lit(f"{letter}:"), F.col(key)).alias("uuid"), name.alias("name"), F.array(F.lit("Entity"), F.lit(label)).alias("labels"), summary.alias("summary"), F.lit(GROUP).alias("group_id"))
 
     suppliers = rows(read(spark, sf_dir, "supplier"), "s_suppkey", "S", F.col("s_name"), "Supplier", F.concat(F.lit("nation "), "s_nationkey"))
     parts = rows(read(spark, sf_dir, "part"), "p_partkey", "P", F.concat("p_name", F.lit(" #"), "p_partkey"), "Part", F.concat("p_brand", F.lit(" "), "p_type"))
-    return suppliers.unionByName(parts)
+    nations = rows(read(spark, sf_dir, "nation"), "n_nationkey", "N", F.col("n_name"), "Nation", F.concat(F.lit("region "), "n_regionkey"))
+    return suppliers.unionByName(parts).unionByName(nations)
 
 
 def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
