@@ -9,6 +9,8 @@ from noetica.functions.text import is_sensitive, strip
 
 # Turns kept of a thread, least and most characters of a turn, most characters of a note, and of names.
 MOST_TURNS, LEAST_TURN, TURN_CAP, NOTE_CAP, NAME_CAP, DESCRIPTION_CAP = 20, 20, 3000, 5000, 100, 80
+# Fixed value: the time of a thread that has none.
+DEFAULT_TIME = "2026-01-01T00:00:00Z"
 
 
 def episode_id(*parts: str) -> F.Column:
@@ -17,14 +19,19 @@ def episode_id(*parts: str) -> F.Column:
 
 
 def from_turns(turns: DataFrame) -> DataFrame:
-    """(saga, turn, role, content) to episodes: first the first turns of each saga, then those long enough; names keep gaps."""
+    """(saga, turn, role, content) to episodes: first the first turns of each saga, then those long enough; names keep gaps.
+
+    Each has its thread's created_at; the default where it is null or the column is absent.
+    """
     place = F.row_number().over(Window.partitionBy("saga").orderBy("turn"))
+    told = F.col("created_at") if "created_at" in turns.columns else F.lit(None)
     kept = turns.withColumn("i", place).where(F.col("i") <= MOST_TURNS).where(F.length("content") >= LEAST_TURN)
     return kept.select(
         "saga",
         F.format_string("Turn %d (%s)", "i", "role").alias("name"),
         F.concat(F.col("role"), F.lit(": "), F.substring("content", 1, TURN_CAP)).alias("body"),
         (F.col("i") - 1).alias("turn_index"),
+        F.coalesce(told, F.lit(DEFAULT_TIME)).alias("created_at"),
     )
 
 

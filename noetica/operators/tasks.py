@@ -10,6 +10,15 @@ from noetica.functions.text import is_negating
 # Fixed values of the design: hours that open a new window, least messages, days of recurrence, stall window, cool-down, cap a cycle.
 GAP_HOURS, LEAST_MESSAGES, LEAST_SOURCES, LEAST_DAYS, STALL_DAYS, COOL_HOURS, PER_CYCLE = 2, 2, 3, 14, (7, 30), 48, 5
 ACTIONS = {"exploring": "gather", "evaluating": "compare", "decided": "plan", "acting": "continue", "stalled": "unblock", "completed": "none"}
+#: Minutes of one source that are a single-source stretch, messages of a burst, and what the states are told by.
+SINGLE_MINUTES, BURST, FEATURES = 30, 3, ("n_done", "n_acted", "n_decided", "n_compared")
+#: Cues of each feature in the language of a thread.
+CUES = {
+    "n_done": r"\b(done|finished|merged|booked|confirmed|completed)\b",
+    "n_acted": r"\b(started|drafting|editing|booking|working on)\b",
+    "n_decided": r"\b(decided|chose|going with|settled on|will go)\b",
+    "n_compared": r"\b(versus|vs|compared?|pros|cons|better than|worse than)\b",
+}
 BOILERPLATE = r"unsubscribe|click here|rates? (?:may|are subject)|https?://\S+(?:\s+https?://\S+){2,}"
 
 
@@ -137,6 +146,33 @@ def intention_gap(stated: DataFrame, behaved: DataFrame, key: str) -> DataFrame:
 
 
 def load_gates(rows: DataFrame, at: str, source: str, width: str = "1 hour", slide: str = "10 minutes", most_sources: int = 3) -> DataFrame:
-    """(started, n_sources, n, busy) of sliding windows: more than so many kinds of source at once is busy."""
-    out = rows.groupBy(F.window(at, width, slide).alias("w")).agg(F.countDistinct(source).alias("n_sources"), F.count("*").alias("n"))
-    return out.select(F.col("w.start").alias("started"), "n_sources", "n", (F.col("n_sources") > most_sources).alias("busy"))
+    """(started, n_sources, n, busy, single) of sliding windows: more than so many kinds of source at once is busy, one kind for over half an hour single."""
+    out = rows.groupBy(F.window(at, width, slide).alias("w")).agg(F.countDistinct(source).alias("n_sources"), F.count("*").alias("n"), span(at).alias("span"))
+    return out.select(F.col("w.start").alias("started"), "n_sources", "n", (F.col("n_sources") > most_sources).alias("busy"), is_single().alias("single"))
+
+
+def span(at: str) -> Column:
+    """Microseconds from the first to the last of a group."""
+    return F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))
+
+
+def is_single() -> Column:
+    return (F.col("n_sources") == 1) & (F.col("span") > SINGLE_MINUTES * 60 * 1_000_000)
+
+
+def idle_gates(rows: DataFrame, key: str, at: str, now: Column, burst: int = BURST) -> DataFrame:
+    """(key, started, ended, n) of bursts, windows with so many messages, that two idle hours follow."""
+    idle = F.unix_micros(now) - F.unix_micros("ended") > GAP_HOURS * 3600 * 1_000_000
+    return windows(rows, key, at).where((F.col("n") >= burst) & idle).select(key, "started", "ended", "n")
+
+
+def told(messages: DataFrame, cues: dict[str, str] | None = None) -> DataFrame:
+    """(thread_id, a count for each feature) of messages (thread_id, text) whose text has a cue of the feature."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    return messages.groupBy("thread_id").agg(*[F.count_if(text.rlike(cue)).alias(feature) for feature, cue in (cues or CUES).items()])
+
+
+def linked(edges: DataFrame, features: dict[str, str]) -> DataFrame:
+    """(thread_id, a count for each feature, last_at) of edges (thread_id, name, valid_at), by the feature that each edge type stands for."""
+    counts = [F.count_if(F.col("name").isin([n for n, f in features.items() if f == feature])).alias(feature) for feature in FEATURES]
+    return edges.groupBy("thread_id").agg(*counts, F.max("valid_at").alias("last_at"))

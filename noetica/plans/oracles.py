@@ -20,13 +20,13 @@ WAYS = "ways AS (SELECT source_uuid AS node, target_uuid AS other, * FROM edges
 ADJACENCY = "adj AS (SELECT node AS a, other AS b, count(*) AS weight FROM ways GROUP BY 1, 2)"
 MEMBERS = "u AS (SELECT 'S:' || s_suppkey AS uuid FROM supplier WHERE s_suppkey BETWEEN 1 AND 5 UNION ALL SELECT 'P:' || p_partkey FROM part WHERE p_partkey BETWEEN 1 AND 200)"
 NOTES = r"notes AS (SELECT * FROM (SELECT doc_id, source || ' ' || doc_id AS name, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM documents) WHERE length(body) > 50)"
-TURNS = "turns AS (SELECT 'conv ' || conv_id AS saga, turn, role, text AS content FROM conversations)"
-EPISODES = TURNS + """, episodes AS (SELECT saga, 'Turn ' || i || ' (' || role || ')' AS name, role || ': ' || substring(content, 1, 3000) AS body, (i - 1)::INT AS turn_index
+CREATED = "CASE WHEN conv_id % 7 <> 0 THEN strftime(to_timestamp(1767225600 + conv_id % 50 * 60) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') END AS created_at"
+TURNS = f"turns AS (SELECT 'conv ' || conv_id AS saga, turn, role, text AS content, {CREATED} FROM conversations)"
+EPISODES = TURNS + """, episodes AS (SELECT saga, 'Turn ' || i || ' (' || role || ')' AS name, role || ': ' || substring(content, 1, 3000) AS body, (i - 1)::INT AS turn_index, coalesce(created_at, '2026-01-01T00:00:00Z') AS created_at
   FROM (SELECT *, row_number() OVER (PARTITION BY saga ORDER BY turn) AS i FROM turns) WHERE i <= 20 AND length(content) >= 20)"""
-SOURCES = r"""sources AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'assistant-thread' ELSE 'search-thread' END AS source,
+SOURCES = rf"""sources AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'assistant-thread' ELSE 'search-thread' END AS source,
   CASE WHEN conv_id % 10 = 0 THEN 'users' ELSE 'conv ' || conv_id END AS label,
-  string_agg(CASE WHEN role = 'user' THEN '[User]: ' ELSE '[Assistant]: ' END || text, chr(10) ORDER BY turn) AS raw_content,
-  CASE WHEN conv_id % 7 <> 0 THEN strftime(to_timestamp(1767225600 + conv_id % 50 * 60) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') END AS created_at
+  string_agg(CASE WHEN role = 'user' THEN '[User]: ' ELSE '[Assistant]: ' END || text, chr(10) ORDER BY turn) AS raw_content, {CREATED}
   FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id)"""
 TOKENS = r"toks AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS words FROM texts)"
 DOCS = "texts AS (SELECT doc_id AS id, text FROM documents)"
@@ -86,11 +86,12 @@ def nearest(embedding: str, k: int) -> str:
 
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
 AS_OF = "TIMESTAMP '1998-01-01 00:00:00'"
+STATE = "CASE WHEN n_done > 0 THEN 'completed' WHEN idle_days >= 7 THEN 'stalled' WHEN n_acted > 0 THEN 'acting' WHEN n_decided > 0 THEN 'decided' WHEN n_compared > 0 THEN 'evaluating' ELSE 'exploring' END"
 THREADS = f"""threads AS (SELECT user_id || ':' || event_type AS thread_id, count(*) FILTER (event_type = 'purchase' AND value > 40) AS n_done, count(*) FILTER (event_type = 'click' AND value > 40) AS n_acted,
   count(*) FILTER (event_type = 'signup' AND value > 40) AS n_decided, count(*) FILTER (event_type = 'view') AS n_compared, max(ts) AS last_at, min(ts) AS first_at, count(*) AS n, count(DISTINCT hour(ts)) AS n_sources
   FROM events GROUP BY user_id, event_type),
 idle AS (SELECT *, date_diff('day', last_at::DATE, DATE '2024-02-01')::INT AS idle_days FROM threads),
-states AS (SELECT *, CASE WHEN n_done > 0 THEN 'completed' WHEN idle_days >= 7 THEN 'stalled' WHEN n_acted > 0 THEN 'acting' WHEN n_decided > 0 THEN 'decided' WHEN n_compared > 0 THEN 'evaluating' ELSE 'exploring' END AS state FROM idle)"""
+states AS (SELECT *, {STATE} AS state FROM idle)"""
 GRAPH = f"{ENTITIES}, {EDGES}, {WAYS}"
 
 
@@ -145,7 +146,7 @@ h2 AS (SELECT DISTINCT other AS uuid FROM live WHERE node IN (SELECT uuid FROM h
     "edge_triples": f"WITH {EDGES} SELECT source_name, fact, target_name, uuid FROM edges ORDER BY fact, uuid LIMIT 15",
     "hub_entities": f"WITH {GRAPH} SELECT node AS uuid, count(*) AS degree FROM ways GROUP BY node ORDER BY degree DESC, uuid LIMIT 10",
     "group_scan": f"WITH {ENTITIES} SELECT label, count(*) AS n, count(DISTINCT summary) AS n_summaries FROM ents GROUP BY label",
-    "priority_subgraph": f"""WITH {GRAPH}, seeds AS (SELECT uuid FROM ents WHERE uuid IN ('S:0', 'S:1', 'S:2', 'S:3', 'S:4')),
+    "priority_subgraph": f"""WITH {GRAPH}, seeds AS (SELECT 'S:' || e.vec_id AS uuid FROM embeddings e JOIN supplier ON s_suppkey = e.vec_id, embeddings q WHERE q.vec_id = 0 AND e.vec_id <> 0 ORDER BY round({COSINE.format(a='e.embedding', b='q.embedding')}, 6) DESC, e.vec_id LIMIT 5),
 near AS (SELECT other AS uuid, min(CASE name WHEN 'R' THEN 0 WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END) AS priority FROM ways WHERE expired_at IS NULL AND node IN (FROM seeds) GROUP BY other)
 SELECT uuid, priority::INT AS priority FROM (SELECT * FROM near WHERE uuid NOT IN (FROM seeds) UNION ALL SELECT uuid, -1 FROM seeds) ORDER BY priority, uuid LIMIT 15""",
     "thread_edge_types": f"WITH {EDGES}, {MEMBERS} SELECT name, count(*) AS n, 0.15::DOUBLE AS boost FROM edges WHERE source_uuid IN (FROM u) AND target_uuid IN (FROM u) GROUP BY name",
@@ -202,6 +203,10 @@ SELECT max(total) AS n_communities, max(n) AS greatest, min(n) AS least, max(n)
 SELECT id, len(e)::INT AS n, round(sqrt(list_dot_product(e, e)), 6) AS length, round(e[1], 6) AS first FROM v""",
     "embedder_overlap": f"""WITH f AS ({nearest('{}.embedding[1:32]', 30)}), s AS ({nearest('{}.embedding[33:64]', 30)})
 SELECT 'both' AS side, id FROM f WHERE id IN (SELECT id FROM s) UNION ALL SELECT 'first', id FROM f WHERE id NOT IN (SELECT id FROM s) UNION ALL SELECT 'second', id FROM s WHERE id NOT IN (SELECT id FROM f)""",
+    "embedder_facts": f"""WITH s AS (SELECT 'first' AS side, vec_id AS id, embedding[1:32] AS embedding FROM embeddings UNION ALL SELECT 'second', vec_id, embedding[33:64] FROM embeddings),
+r AS (SELECT q.side, q.id AS query, e.id, round({COSINE.format(a='e.embedding', b='q.embedding')}, 6) AS score FROM s q JOIN s e ON e.side = q.side AND e.id <> q.id WHERE q.id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY side, query ORDER BY score DESC, id) AS rank FROM r)
+SELECT side, query, id, score, rank::INT AS rank, substring(text, 1, 40) AS fact FROM p LEFT JOIN documents ON doc_id = id WHERE rank <= 3""",
     "near_dup_nodes": f"WITH {pairs(0.3)} SELECT b AS id, min(a) AS keeper FROM pairs WHERE a_kind = b_kind GROUP BY b",
     "segment_windows": f"""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 2 HOURS OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 n AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS window_no FROM g)
@@ -229,6 +234,13 @@ SELECT event_type, strftime(bucket, '%Y-%m-%dT%H:%M:%S') AS bucket, n, change, C
     "boilerplate_filter": r"""WITH k AS (SELECT doc_id AS id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: len(regexp_split_to_array(trim(x, ' '), '\s+')) >= 3 AND NOT regexp_matches(lower(x), 'unsubscribe|click here|rates? (?:may|are subject)|https?://\S+(?:\s+https?://\S+){2,}')), chr(10)) AS text FROM documents)
 SELECT id, length(text)::INT AS n, md5(text) AS text_md5 FROM k""",
     "desire_levels": f"WITH {THREADS}, s AS (SELECT thread_id, date_diff('day', first_at::DATE, last_at::DATE)::INT AS days, n FROM threads) SELECT *, CASE WHEN days >= 30 AND n >= 10 THEN 'terminal' WHEN days >= 7 OR n >= 5 THEN 'instrumental' ELSE 'immediate' END AS level FROM s",
-    "load_gates": """WITH w AS (SELECT time_bucket(INTERVAL 10 MINUTES, ts) - to_minutes(10 * i) AS started, event_type FROM events CROSS JOIN range(6) r(i))
-SELECT strftime(started, '%Y-%m-%dT%H:%M:%S') AS started, count(DISTINCT event_type) AS n_sources, count(*) AS n, count(DISTINCT event_type) > 3 AS busy FROM w GROUP BY w.started""",
+    "load_gates": """WITH w AS (SELECT time_bucket(INTERVAL 10 MINUTES, ts) - to_minutes(10 * i) AS started, event_type, ts FROM events CROSS JOIN range(6) r(i))
+SELECT strftime(started, '%Y-%m-%dT%H:%M:%S') AS started, count(DISTINCT event_type) AS n_sources, count(*) AS n, count(DISTINCT event_type) > 3 AS busy, count(DISTINCT event_type) = 1 AND max(ts) - min(ts) > INTERVAL 30 MINUTES AS single FROM w GROUP BY w.started""",
+    "idle_gates": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 2 HOURS OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS window_no FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS started, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS ended, count(*) AS n FROM n GROUP BY user_id, window_no HAVING count(*) >= 3 AND TIMESTAMP '2024-02-01 00:00:00' - max(ts) > INTERVAL 2 HOURS""",
+    "conversation_states": rf"""WITH {TURNS}, f AS (SELECT saga AS thread_id, {', '.join(rf"count(*) FILTER (regexp_matches(lower(content), '(^|\s){w}\s')) AS {f}" for f, w in (('n_done', 'this'), ('n_acted', 'for'), ('n_decided', 'was'), ('n_compared', 'to')))},
+  date_diff('day', max(coalesce(created_at, '2026-01-01T00:00:00Z')[1:10])::DATE, DATE '2026-01-04')::INT AS idle_days FROM turns GROUP BY saga) SELECT *, {STATE} AS state FROM f""",
+    "supplier_states": f"""WITH {EDGES}, f AS (SELECT source_uuid AS thread_id, 0::BIGINT AS n_done, count(*) FILTER (name = 'N') AS n_acted, count(*) FILTER (name = 'A') AS n_decided, count(*) FILTER (name = 'R') AS n_compared,
+  date_diff('day', max(valid_at)::DATE, DATE '2001-11-08')::INT AS idle_days FROM edges GROUP BY source_uuid) SELECT *, {STATE} AS state FROM f""",
 }

@@ -19,6 +19,7 @@ WORDS = ["the", "thing", "trash"]
 FACT_WORDS = ["red", "widget"]
 HISTORY_WORD = "red widget"
 PRIORITY = {"R": 0, "A": 1, "N": 2}
+CUES = {"n_done": r"(^|\s)this\s", "n_acted": r"(^|\s)for\s", "n_decided": r"(^|\s)was\s", "n_compared": r"(^|\s)to\s"}  # words of the invented prose
 
 
 def query(f: Query) -> Query:
@@ -120,7 +121,10 @@ def group_scan(spark, d):
 
 @query
 def priority_subgraph(spark, d):
-    seeds = views.entities(spark, d).where(F.col("uuid").isin([f"S:{i}" for i in range(5)])).select("uuid")
+    """Around the five suppliers whose vectors are nearest to vector 0; vector i embeds supplier i."""
+    rows = views.vectors(spark, d)
+    own = rows.join(views.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), "id", "left_semi")
+    seeds = retrieval.nearest(own, rows.where("id = 0"), 5).select(F.concat(F.lit("S:"), "id").alias("uuid"))
     return graph.priority_subgraph(views.edges(spark, d), seeds, PRIORITY, 15)
 
 
@@ -414,6 +418,16 @@ def embedder_overlap(spark, d):
     return embedding.overlap(first, second)
 
 
+@query
+def embedder_facts(spark, d):
+    """The three nearest texts of each hundredth vector by two embedders, the halves of the vectors."""
+    rows = views.vectors(spark, d)
+    halves = [(side, rows.withColumn("embedding", F.slice("embedding", start, 32))) for side, start in (("first", 1), ("second", 33))]
+    best = [embedding.neighbours(half, half.where("id % 100 = 0"), 3).withColumn("side", F.lit(side)) for side, half in halves]
+    facts = _texts(spark, d).select("id", F.substring("text", 1, 40).alias("fact"))
+    return best[0].unionByName(best[1]).join(facts, "id", "left")
+
+
 @query
 def near_dup_nodes(spark, d):
     return embedding.duplicates(views.vectors(spark, d), SIMILAR)
@@ -549,3 +563,23 @@ def desire_levels(spark, d):
 @query
 def load_gates(spark, d):
     return _dated(tasks.load_gates(views.events(spark, d), "ts", "event_type"), "started")
+
+
+@query
+def idle_gates(spark, d):
+    return _dated(tasks.idle_gates(views.events(spark, d), "user_id", "ts", now()), "started", "ended")
+
+
+@query
+def conversation_states(spark, d):
+    """Conversations as threads, by the language of their turns and when they began."""
+    turns = views.turns(spark, d).select(F.col("saga").alias("thread_id"), F.col("content").alias("text"), F.to_timestamp(F.coalesce("created_at", F.lit(views.DEFAULT_TIME))).alias("at"))
+    rows = tasks.told(turns, CUES).join(turns.groupBy("thread_id").agg(F.max("at").alias("last_at")), "thread_id")
+    return tasks.states(rows, F.lit("2026-01-04 00:00:00").cast("timestamp")).drop("last_at")
+
+
+@query
+def supplier_states(spark, d):
+    """Suppliers as threads, by the types of their edges."""
+    rows = views.edges(spark, d).select(F.col("source_uuid").alias("thread_id"), "name", "valid_at")
+    return tasks.states(tasks.linked(rows, {"R": "n_compared", "A": "n_decided", "N": "n_acted"}), F.lit("2001-11-08 00:00:00").cast("timestamp")).drop("last_at")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from noetica.functions.text import SENSITIVE
@@ -12,6 +15,8 @@ from noetica.functions.text import SENSITIVE
 # The format of a dump.
 START, END, NAME, DATE = "===NOTE_START===", "===NOTE_END===", "NAME:", "DATE:"
 LEAST_BODY = 50
+#: Records that a task hands on together.
+BATCH = 1000
 
 
 def parse(lines: Iterable[str], cap: int | None = None) -> Iterator[tuple[str, str, str]]:
@@ -70,15 +75,22 @@ class NoteDumps(DataSource):
 
 
 def read_files(spark: SparkSession, paths: str, cap: int | None = None) -> DataFrame:
-    """Dumps in any store that Spark reads: files are streamed line by line where each is one split."""
-    lines = spark.read.text(paths, wholetext=True)
+    """Dumps in any store that Spark reads; a large file is split over tasks at its start markers, and lines are streamed.
+
+    A longer line that begins with the marker is text. Should a split of the file fall on just that line, its record is cut there.
+    """
+    chunks = spark.read.option("lineSep", "\n" + START).text(paths).select(F.col("value").cast("binary").alias("chunk"), "_metadata.file_path", "_metadata.file_block_start")
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            rows = [r for text in batch.column(0).to_pylist() for r in parse(text.split("\n"), cap)]
-            columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], ["name", "date", "body"])
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for (_, start), split in groupby(rows, key=itemgetter(1, 2)):
+            texts = (row[0].decode("utf-8", "replace") for row in split)
+            # only the first chunk of a file follows no marker
+            lines = (line for i, text in enumerate(texts) for line in (text if i == start == 0 else START + text).split("\n"))
+            records = parse(lines, cap)
+            while found := list(islice(records, BATCH)):
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*found, strict=True)], ["name", "date", "body"])
 
-    return lines.mapInArrow(run, "name string, date string, body string")
+    return chunks.mapInArrow(run, "name string, date string, body string")

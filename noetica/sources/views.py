@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noetica.functions.text import strip
+from noetica.operators.episodes import DEFAULT_TIME  # noqa: F401
 
 GROUP = "default"
-# Defaults and labels of the source table.
-DEFAULT_TIME = "2026-01-01T00:00:00Z"
+# Labels of the source table that name no thread.
 EXCLUDED_LABELS = ("users", "memories", "projects", "conversations")
 
 
@@ -64,9 +64,14 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as (saga, turn, role, content)."""
+    """Conversation turns as (saga, turn, role, content, created_at of the conversation)."""
     rows = read(spark, sf_dir, "conversations")
-    return rows.select(F.concat(F.lit("conv "), "conv_id").alias("saga"), F.col("turn").cast("int").alias("turn"), "role", F.col("text").alias("content"))
+    return rows.select(F.concat(F.lit("conv "), "conv_id").alias("saga"), F.col("turn").cast("int").alias("turn"), "role", F.col("text").alias("content"), _created().alias("created_at"))
+
+
+def _created() -> Column:
+    """When a conversation began, as text; every seventh has no time."""
+    return F.when(F.col("conv_id") % 7 != 0, F.date_format(F.timestamp_seconds(F.lit(1767225600) + F.col("conv_id") % 50 * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +85,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("conv_id") % 2 == 0, F.lit("assistant-thread")).otherwise(F.lit("search-thread")).alias("source"),
         label.alias("label"),
         F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("raw_content"),
-        F.when(F.col("conv_id") % 7 != 0, F.date_format(F.timestamp_seconds(F.lit(1767225600) + F.col("conv_id") % 50 * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("created_at"),
+        _created().alias("created_at"),
     )
 
 

@@ -1,4 +1,4 @@
-"""Streaming forms: drop-folder ingestion, session windows, recurrence, load gates. Late rows past the watermark are dropped."""
+"""Streaming forms: drop-folder ingestion, session windows, recurrence, load gates. Late rows past the watermark are dropped and counted."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
+
+from noetica.operators.tasks import BURST, is_single, span
 
 WATERMARK, GAP = "2 hours", "2 hours"
 
@@ -30,6 +32,26 @@ def ingest(stream: DataFrame, table: str, checkpoint: str, key: str = "uuid"):
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class LateRows(StreamingQueryListener):
+    """Counts the rows that came after their watermark, by run of a query; add it with spark.streams.addListener(...)."""
+
+    def __init__(self):
+        self.counts: dict[str, int] = {}
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        run, late = str(event.progress.runId), sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+        self.counts[run] = self.counts.get(run, 0) + late
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
 def sessions(stream: DataFrame, key: str, at: str, gap: str = GAP) -> DataFrame:
     """(key, started, last_at, n) of windows that a gap over two hours ends; last_at is the end less the gap."""
     window = F.session_window(at, gap)
@@ -37,21 +59,26 @@ def sessions(stream: DataFrame, key: str, at: str, gap: str = GAP) -> DataFrame:
     return out.select(key, F.col("w.start").alias("started"), (F.col("w.end") - F.expr(f"INTERVAL {gap}")).alias("last_at"), "n")
 
 
+def idle(stream: DataFrame, key: str, at: str, burst: int = BURST) -> DataFrame:
+    """Sessions of a burst; in append mode each comes out once the watermark says that two idle hours followed it."""
+    return sessions(stream, key, at).where(F.col("n") >= burst)
+
+
 def loads(stream: DataFrame, at: str, source: str, width: str = "1 hour", slide: str = "10 minutes", most: int = 3) -> DataFrame:
-    """(started, n_sources, n, busy) of sliding windows; the number of sources is approximate."""
-    out = stream.withWatermark(at, WATERMARK).groupBy(F.window(at, width, slide).alias("w")).agg(F.approx_count_distinct(source).alias("n_sources"), F.count("*").alias("n"))
-    return out.select(F.col("w.start").alias("started"), "n_sources", "n", (F.col("n_sources") > most).alias("busy"))
+    """(started, n_sources, n, busy, single) of sliding windows; the number of sources is approximate."""
+    out = stream.withWatermark(at, WATERMARK).groupBy(F.window(at, width, slide).alias("w")).agg(F.approx_count_distinct(source).alias("n_sources"), F.count("*").alias("n"), span(at).alias("span"))
+    return out.select(F.col("w.start").alias("started"), "n_sources", "n", (F.col("n_sources") > most).alias("busy"), is_single().alias("single"))
 
 
 class _Recurrence(StatefulProcessor):
     """Keeps a key's sources with first and last time; gives a row once when it first recurs."""
 
-    def __init__(self, sources: int, days: int):
-        self.sources, self.days = sources, days
+    def __init__(self, sources: int, days: int, keep: int):
+        self.sources, self.days, self.keep = sources, days, keep * 24 * 3600 * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", T.StructType([T.StructField("source", T.StringType())]), T.StructType([T.StructField("first", T.TimestampType()), T.StructField("last", T.TimestampType())]))
-        self.told = handle.getValueState("told", T.StructType([T.StructField("told", T.BooleanType())]))
+        self.seen = handle.getMapState("seen", T.StructType([T.StructField("source", T.StringType())]), T.StructType([T.StructField("first", T.TimestampType()), T.StructField("last", T.TimestampType())]), self.keep)
+        self.told = handle.getValueState("told", T.StructType([T.StructField("told", T.BooleanType())]), self.keep)
 
     def handleInputRows(self, key, rows, timer):  # noqa: N802
         for batch in rows:
@@ -71,9 +98,10 @@ class _Recurrence(StatefulProcessor):
         pass
 
 
-def recurrence(stream: DataFrame, sources: int = 3, days: int = 14) -> DataFrame:
+def recurrence(stream: DataFrame, sources: int = 3, days: int = 14, keep: int = 365) -> DataFrame:
     """(key, n_sources, days), once for each key of (key, source, ts) that so many sources mention over so many days.
 
-    Needs the RocksDB state store. State grows with the keys; a key keeps one entry for each source.
+    Needs the RocksDB state store. A key keeps one entry for each source, for `keep` days of processing time after the last
+    mention, so state grows with the keys of that time; a key that recurs after it is told again.
     """
-    return stream.groupBy("key").transformWithStateInPandas(_Recurrence(sources, days), "key string, n_sources int, days int", outputMode="update", timeMode="none")
+    return stream.groupBy("key").transformWithStateInPandas(_Recurrence(sources, days, keep), "key string, n_sources int, days int", outputMode="update", timeMode="processingTime")

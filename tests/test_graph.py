@@ -204,6 +204,28 @@ def test_similar_pairs_are_whole(spark):
         assert sure <= got <= maybe
 
 
+def test_neighbours_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from noetica.operators import embedding
+
+    monkeypatch.setattr(embedding, "PART", 5)
+    monkeypatch.setattr(embedding, "SHARE", 40)
+    made = np.random.default_rng(3).integers(-2, 3, (150, 4)).astype(float)  # many ties, some without direction
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(made)] + [(None, [1.0] * 4), (900, None)], "id long, embedding array<float>")
+    got = {}
+    for r in embedding.neighbours(vectors, vectors.where("id % 7 = 0"), 4).collect():
+        got.setdefault(r["query"], {})[r["rank"]] = (r.id, r.score)
+    length = np.linalg.norm(made, axis=1)
+    want = {}
+    for q in range(0, 150, 7):
+        if length[q]:
+            scores = sorted((-round(float(made[q] @ made[i] / length[q] / length[i]), 6), i) for i in range(150) if i != q and length[i])
+            want[q] = {n + 1: (i, -s) for n, (s, i) in enumerate(scores[:4])}
+    assert got == want
+    assert embedding.neighbours(vectors.limit(0), vectors.limit(0), 4).count() == 0
+
+
 def test_clustered_vectors_meet_in_few_cells(spark):
     """With real thresholds on clustered vectors, most cells are not visited, and no pair is lost."""
     import numpy as np

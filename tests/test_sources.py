@@ -50,6 +50,22 @@ def test_dump_readers_agree(spark, tmp_path):
     assert sorted(custom.collect()) == sorted(plain.collect()) and custom.count() == 3
 
 
+def test_records_are_split_over_tasks(spark, tmp_path):
+    path = tmp_path / "d.txt"
+    lines = ["before", "NAME:none", "no record " * 9, dumps.END]
+    for i in range(200):
+        lines += record(f"n{i}", f"body {i} " * 20 + f"\n{dumps.START} and more" * (i == 7)) + ([dumps.START] if i % 3 == 0 else [])
+    path.write_bytes("\n".join(lines).encode() + b"\n" + dumps.START.encode() + b"\nNAME:bad\n" + b"\xff" * 60 + b"\n" + dumps.END.encode() + b"\n")
+    want = list(dumps.parse(path.read_text(errors="replace").split("\n")))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        plain = dumps.read_files(spark, str(tmp_path / "*.txt"))
+        assert plain.rdd.getNumPartitions() > 3
+        assert sorted(tuple(r) for r in plain.collect()) == sorted(want) and len(want) == 201
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_turns(spark):
     raw = "preamble\n[User]:  hello \nsecond line\n[Assistant]: answer\n\n[User]:\nlast"
     rows = threads.split_turns(spark.createDataFrame([(1, raw), (2, "no marker"), (3, None)], "id int, raw_content string")).orderBy("turn").collect()
@@ -63,6 +79,7 @@ def test_turn_selection_before_length(spark):
     got = episodes.from_turns(spark.createDataFrame(rows, "saga string, turn int, role string, content string")).collect()
     assert sorted(r.turn_index for r in got) == [0, *range(3, 20)]
     assert {r.name for r in got if r.turn_index == 3} == {"Turn 4 (user)"}
+    assert {r.created_at for r in got} == {episodes.DEFAULT_TIME}
 
 
 def search(query="a long question", answer="an answer " * 8, tail=""):

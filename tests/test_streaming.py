@@ -1,4 +1,5 @@
 import json
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -60,3 +61,40 @@ def test_recurrence(spark, tmp_path):
     stream = streams.watch(spark, str(folder), ROWS).select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("source"), "ts")
     rows = run(streams.recurrence(stream), "update", tmp_path, "recurrence").collect()
     assert [(r.key, r.n_sources, r.days) for r in rows] == [("1", 3, 15)]
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    late = streams.LateRows()
+    spark.streams.addListener(late)
+    df = streams.idle(streams.watch(spark, str(folder), ROWS), "user_id", "ts")
+    for name, rows in (("a", [(1, i, i, "x") for i in range(4)]), ("b", [(1, 9, 3000, "x")]), ("c", [(1, 10, 1, "x"), (2, 11, 2, "x"), (1, 12, 3001, "x")])):
+        write(folder, f"{name}.json", rows)
+        q = df.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    end = time.monotonic() + 30
+    while sum(late.counts.values()) < 2 and time.monotonic() < end:
+        time.sleep(0.2)
+    spark.streams.removeListener(late)
+    assert sum(late.counts.values()) == 2
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [(r.user_id, r.started, r.n) for r in got] == [(1, START, 4)]
+
+
+def test_gates(spark):
+    minutes = [0, 10, 25, 40, 300, 301, 1000, 1001, 1002]
+    rows = spark.createDataFrame([(1, i, START + timedelta(minutes=m), "a" if m < 300 else f"k{i}") for i, m in enumerate(minutes)], ROWS)
+    got = tasks.idle_gates(rows, "user_id", "ts", F.lit(START + timedelta(minutes=1002 + 120)))
+    assert [(r.n, r.ended) for r in got.collect()] == [(4, START + timedelta(minutes=40))]  # the last burst is not idle for over two hours yet
+    singles = tasks.load_gates(rows, "ts", "event_type").where("single").collect()
+    assert {r.started for r in singles} == {START - timedelta(minutes=10), START} and {r.n for r in singles} == {4}
+
+
+def test_states_by_language_and_edges(spark):
+    texts = [("a", "We decided on it."), ("a", "pros and cons"), ("b", "It is MERGED now"), ("c", None)]
+    got = {r.thread_id: r for r in tasks.told(spark.createDataFrame(texts, "thread_id string, text string")).collect()}
+    assert (got["a"].n_decided, got["a"].n_compared, got["b"].n_done, got["c"].n_done) == (1, 1, 1, 0)
+    edges = spark.createDataFrame([("a", "WEIGHS", START), ("a", "DID", START), ("b", "OTHER", START)], "thread_id string, name string, valid_at timestamp")
+    rows = tasks.states(tasks.linked(edges, {"WEIGHS": "n_compared", "DID": "n_acted"}), F.lit(START + timedelta(days=1)))
+    assert {r.thread_id: r.state for r in rows.collect()} == {"a": "acting", "b": "exploring"}
