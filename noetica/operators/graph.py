@@ -14,10 +14,11 @@ def lookup(entities: DataFrame, uuid: str) -> DataFrame:
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    """(node, other, ...) for each end of each edge; a self-loop once."""
-    forth = edges.withColumn("node", F.col("source_uuid")).withColumn("other", F.col("target_uuid"))
-    back = edges.where(F.col("source_uuid") != F.col("target_uuid")).withColumn("node", F.col("target_uuid")).withColumn("other", F.col("source_uuid"))
-    return forth.unionByName(back)
+    """(..., node, other) for each end of each edge; a self-loop once."""
+    end = lambda node, other: F.struct(F.col(node).alias("node"), F.col(other).alias("other"))
+    forth, back = end("source_uuid", "target_uuid"), end("target_uuid", "source_uuid")
+    ends = F.when(F.col("source_uuid") != F.col("target_uuid"), F.array(forth, back)).otherwise(F.array(forth))
+    return edges.select("*", F.inline(ends))  # edges are worked out once, not once for each way
 
 
 def expand(entities: DataFrame, edges: DataFrame, center: str, max_edges: int = 20, include_invalidated: bool = False) -> DataFrame:
