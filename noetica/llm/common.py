@@ -47,6 +47,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def emptied(table: DataFrame) -> None:
+    """Gives back the room of a table that written() has made, once nothing reads it any more."""
+    spark, (path,) = table.sparkSession, {f.rpartition("/")[0] for f in table.inputFiles()} or {None}
+    if path:
+        spark.createDataFrame([], table.schema).write.mode("overwrite").parquet(path)
+
+
 def text_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts: one column scan and a one-row aggregate."""
     return docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
