@@ -20,13 +20,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noetica.llm.common import texts_of, written
+from noetica.llm.common import texts_of, uncarried, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring, least confidence and different instances of a pattern.
@@ -107,24 +108,51 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+_TOKEN = re.compile(r"\S+")
+
+
+def patterns_of(text: str, starts: Iterable[int]) -> dict[int, str]:
+    """For each place the two tokens before it, of each the last WIDTH characters, in lower case, digits as 0; empty where there are fewer.
+
+    Where the NEAR characters before a place don't hold them, the text is walked on from the last such place, so that all places
+    together walk it once.
+    """
+    out, before, last, at = {}, (0, 0), (0, 0), 0
+    for start in sorted(set(starts)):
+        tokens = text[max(0, start - NEAR) : start].rsplit(None, 2)
+        if start > NEAR and (len(tokens) < 2 or len(tokens) == 2 and len(tokens[0]) < WIDTH):
+            for m in _TOKEN.finditer(text, at, start):
+                if m.start() == last[1]:  # a token that the place before was in
+                    last = (last[0], m.end())
+                else:
+                    before, last = last, m.span()
+            at = start
+            tokens = [text[max(a, b - WIDTH) : b] for a, b in (before, last) if a < b]
+        tokens = [t[-WIDTH:].lower() for t in tokens[-2:]]
+        out[start] = re.sub(r"[0-9]", "0", " ".join(tokens)) if len(tokens) == 2 else ""
+    return out
+
+
 def pattern_of(text: str, start: int) -> str:
-    """The two tokens before a place, of each the last WIDTH characters, in lower case, digits as 0; empty where there are fewer."""
-    tokens = text[max(0, start - NEAR) : start].rsplit(None, 2)
-    if start > NEAR and (len(tokens) < 2 or len(tokens) == 2 and len(tokens[0]) < WIDTH):
-        tokens = text[:start].rsplit(None, 2)
-    tokens = [t[-WIDTH:].lower() for t in tokens[-2:]]
-    return re.sub(r"[0-9]", "0", " ".join(tokens)) if len(tokens) == 2 else ""
+    return patterns_of(text, [start])[start]
 
 
 def unseen(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
-    """(start, end, form) of identifier-like strings that no base span touches; form: number or spelt."""
-    taken = sorted((a, b) for _, a, b in base)
+    """(start, end, form) of identifier-like strings that no base span touches; form: number or spelt. Both lists are walked once."""
+    taken: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
     found = [(*m.span(), "number") for m in _NUMBER_LIKE.finditer(text)]
     if "at" in text and ("[" in text or "(" in text):
         found += [(*m, "spelt") for m in spelt(text)]
-    out, free = [], 0
+    out, free, i = [], 0, 0
     for a, b, form in sorted(found):
-        if a >= free and not any(x < b and a < y for x, y in taken):
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        if a >= free and not (i < len(taken) and taken[i][0] < b):
             out.append((a, b, form))
             free = b
     return out
@@ -147,8 +175,10 @@ def instances(docs: DataFrame) -> DataFrame:
                 if not _may_hold(text):
                     continue
                 base = base_spans(text)
-                rows += [(pattern_of(text, a), text[a:b], KINDS[k]) for k, a, b in base]
-                rows += [(pattern_of(text, a), text[a:b], None) for a, b, _ in unseen(text, base)]
+                more = unseen(text, base)
+                patterns = patterns_of(text, [a for _, a, _ in base] + [a for a, _, _ in more])
+                rows += [(patterns[a], text[a:b], KINDS[k]) for k, a, b in base]
+                rows += [(patterns[a], text[a:b], None) for a, b, _ in more]
             rows = [r for r in rows if r[0]]
             columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], ["pattern", "instance", "kind"])
@@ -188,12 +218,8 @@ def learned(docs: DataFrame, **bounds) -> dict[str, str]:
     return {r.pattern: r.kind for r in learned_patterns(docs, **bounds).collect()}
 
 
-#: Columns that texts carry with them: a hash of the text, and its added spans.
-_KEY, _ADDED = "_noetica_text", "_noetica_added"
-
-
 def _key():
-    return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("key")
 
 
 def added_spans(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -202,31 +228,36 @@ def added_spans(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     def run(arrived):
         for batch in arrived:
             rows = []
-            for key, text in zip(batch.column(_KEY).to_pylist(), texts_of(batch.column("text")), strict=True):
+            for key, text in zip(batch.column("key").to_pylist(), texts_of(batch.column("text")), strict=True):
                 if _may_hold(text):
-                    rows += [(key, p, a, b, form == "spelt") for a, b, form in unseen(text, base_spans(text)) if (p := pattern_of(text, a))]
+                    more = unseen(text, base_spans(text))
+                    patterns = patterns_of(text, [a for a, _, _ in more])
+                    rows += [(key, patterns[a], a, b, form == "spelt") for a, b, form in more if patterns[a]]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], [_KEY, "pattern", "start", "end", "spelt"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["key", "pattern", "start", "end", "spelt"])
 
-    places = docs.select(_key().alias(_KEY), "text").mapInArrow(run, f"{_KEY} string, pattern string, start long, end long, spelt boolean").distinct()
+    places = docs.select(_key(), "text").mapInArrow(run, "key string, pattern string, start long, end long, spelt boolean").distinct()
     hits = places.join(patterns, "pattern").where(F.col("spelt") == (F.col("kind") == "email"))
-    return hits.groupBy(_KEY).agg(F.collect_list(F.struct("kind", "start", "end")).alias(_ADDED))
+    return hits.groupBy("key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
 
 
 def _with_added(docs: DataFrame, patterns: DataFrame | None) -> DataFrame:
-    """docs, with a last column of added spans if there are any patterns."""
+    """(text, rest, added): texts with all other columns in the struct `rest`, whatever their names, and with added spans or null.
+
+    Texts are shuffled by their hash if there are patterns and more spans than Spark broadcasts; else they stay where they are.
+    """
     patterns = learned_patterns(docs) if patterns is None else patterns
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.struct(*others or [F.lit(0).alias("none")]).alias("rest"))
     if patterns.isEmpty():
-        return docs
+        return rows.withColumn("added", F.lit(None).cast("array<struct<kind:string,start:bigint,end:bigint>>"))
     added = written(added_spans(docs, patterns), "added")
-    return docs.withColumn(_KEY, _key()).join(added, _KEY, "left").drop(_KEY)
+    return rows.withColumn("key", _key()).join(added, "key", "left").drop("key")
 
 
 def _added_of(batch: pa.RecordBatch) -> list[list[tuple[int, int, int]]]:
-    if _ADDED not in batch.schema.names:
-        return [[]] * batch.num_rows
-    return [[(KINDS.index(x["kind"]), x["start"], x["end"]) for x in found or []] for found in batch.column(_ADDED).to_pylist()]
+    return [[(KINDS.index(x["kind"]), x["start"], x["end"]) for x in found or []] for found in batch.column("added").to_pylist()]
 
 
 def _digest(spans: list[tuple[int, int, int]]) -> str:
@@ -249,15 +280,13 @@ def found(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
                     counts[k, i] += 1
                 shas.append(hashlib.sha256(_digest(base).encode()).hexdigest() if base else none)
                 spans.append(_digest(base + added) if _may_hold(text) else "")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *map(pa.array, counts), pa.array(shas, pa.string()), pa.array(spans, pa.string())], [c.split()[0] for c in COLUMNS.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("rest").field("doc_id").cast(pa.int64()), *map(pa.array, counts), pa.array(shas, pa.string()), pa.array(spans, pa.string())], [c.split()[0] for c in COLUMNS.split(", ")])
 
     return _with_added(docs.select("doc_id", "text"), patterns).mapInArrow(run, COLUMNS)
 
 
 def redacted(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     """All rows and columns of docs, every span of the text replaced by its kind in brackets; overlapping spans become one."""
-    place, names = docs.columns.index("text"), docs.columns
-
     def clean(text: str | None, added: list[tuple[int, int, int]]) -> str | None:
         if text is None or not _may_hold(text):
             return text
@@ -272,8 +301,8 @@ def redacted(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
 
     def run(arrived):
         for batch in arrived:
-            columns = list(batch.columns)[: len(names)]
-            columns[place] = pa.array([clean(t, a) for t, a in zip(columns[place].to_pylist(), _added_of(batch), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names)
+            texts = [clean(t, a) for t, a in zip(batch.column("text").to_pylist(), _added_of(batch), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column("rest")], ["text", "rest"])
 
-    return _with_added(docs, patterns).mapInArrow(run, docs.schema)
+    rows = _with_added(docs, patterns)
+    return uncarried(rows.mapInArrow(run, rows.select("text", "rest").schema), docs)
