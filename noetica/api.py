@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -9,37 +10,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noetica.functions.text import words
-from noetica.operators import community, episodes, graph, resolve, retrieval, temporal
+from noetica.operators import community, episodes, graph, intervals, resolve, retrieval, temporal
+from noetica.operators.textindex import TextIndex
+from noetica.operators.vectorindex import VectorIndex
+from noetica.storage import cut, new_path
+
+#: Strings, quoted names and comments of a query.
+_QUOTED = re.compile(r"""'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|`[^`]*`|--[^\n]*|/\*.*?\*/""", re.DOTALL)
+#: A fact supersedes an older one of the same subject and relation.
+SUPERSEDE = ["source_uuid", "name"]
 
 
 @dataclass
 class GraphEngine:
-    """entities, edges, episodes and communities; every verb returns a DataFrame and runs nothing itself."""
+    """entities, edges, episodes and communities, and what is derived from them once it is asked for.
+
+    Verbs return DataFrames. Those that search build indexes of facts, names and episodes at the first question, in the
+    shared folder; those that add, expand by hops or build communities cut their lineage there and so run jobs too.
+    """
 
     entities: DataFrame
     edges: DataFrame
     episodes: DataFrame
     communities: DataFrame | None = None
     groups: list[str] | None = field(default=None)
+    _indexes: dict = field(default_factory=dict, repr=False, compare=False)
 
     def _of_groups(self, df: DataFrame, groups: list[str] | None) -> DataFrame:
         wanted = groups if groups is not None else self.groups
         return df if wanted is None else df.where(F.col("group_id").isin(wanted))
 
-    def _facts(self, query: str, k: int, groups: list[str] | None) -> DataFrame:
-        edges = self._of_groups(self.edges, groups)
-        texts = edges.select(F.col("uuid").alias("id"), F.col("fact").alias("text"))
-        hits = retrieval.hybrid(texts, words(query), k, deep=max(50, k))
-        return hits.join(edges.withColumnRenamed("uuid", "id"), "id").withColumnRenamed("id", "uuid")
+    def _index(self, kind: str) -> tuple[TextIndex, VectorIndex | None]:
+        """The stored indexes of facts, nodes or episodes (these by words only), over all groups."""
+        if kind not in self._indexes:
+            texts = {
+                "facts": lambda: self.edges.select(F.col("uuid").alias("id"), F.col("fact").alias("text")),
+                "nodes": lambda: self.entities.select(F.col("uuid").alias("id"), F.concat_ws(" ", "name", "summary").alias("text")),
+                "episodes": lambda: self.episodes.select(F.col("uuid").alias("id"), F.col("content").alias("text")),
+            }[kind]()
+            by_words = TextIndex(texts.sparkSession, new_path(texts.sparkSession, f"{kind}-words"))
+            by_words.append(texts)
+            by_vectors = None if kind == "episodes" else VectorIndex.build(texts, new_path(texts.sparkSession, f"{kind}-vectors"))
+            self._indexes[kind] = by_words, by_vectors
+        return self._indexes[kind]
+
+    def _search(self, kind: str, rows: DataFrame, text: Column, query: str, k: int, deep: int | None = None) -> DataFrame:
+        """(rank, score, columns of rows) of the k best of rows."""
+        by_words, by_vectors = self._index(kind)
+        hits = retrieval.hybrid(*retrieval.both_scores(by_words, by_vectors, rows, text, query, deep or max(50, k)), k, deep or max(50, k))
+        return hits.join(rows.withColumnRenamed("uuid", "id"), "id").withColumnRenamed("id", "uuid")
 
     def search(self, query: str, k: int = 10, groups: list[str] | None = None) -> DataFrame:
-        return self._facts(query, k, groups).orderBy("rank")
+        return self._search("facts", self._of_groups(self.edges, groups), F.col("fact"), query, k).orderBy("rank")
 
     def search_nodes(self, query: str, k: int = 10, groups: list[str] | None = None) -> DataFrame:
-        nodes = self._of_groups(self.entities, groups)
-        texts = nodes.select(F.col("uuid").alias("id"), F.concat_ws(" ", "name", "summary").alias("text"))
-        hits = retrieval.hybrid(texts, words(query), k, deep=max(50, k))
-        return hits.join(nodes.withColumnRenamed("uuid", "id"), "id").withColumnRenamed("id", "uuid").orderBy("rank")
+        return self._search("nodes", self._of_groups(self.entities, groups), F.concat_ws(" ", "name", "summary"), query, k).orderBy("rank")
 
     def get_node(self, uuid: str) -> DataFrame:
         return graph.lookup(self.entities, uuid)
@@ -56,21 +81,43 @@ class GraphEngine:
         return graph.between(self.edges, members.select("uuid"), as_of, include_invalidated)
 
     def history(self, query: str, as_of: Column | None = None, k: int = 10, null_open: bool = False) -> DataFrame:
-        return temporal.history(self._facts(query, temporal.OVERFETCH * k, None), k, as_of, null_open)
+        """Current and superseded edges for a query, k of each at most: split by the date first, then each side is searched."""
+        split = self._of_groups(self.edges, None).withColumn("bucket", temporal.bucket(as_of, null_open)).where("bucket is not null")
+        sides = [self._search("facts", split.where(F.col("bucket") == side), F.col("fact"), query, k) for side in ("current", "superseded")]
+        return sides[0].unionByName(sides[1])
 
     def get_source(self, query: str, k: int = 5) -> DataFrame:
         """Whole episodes by full text; a blank query is an error."""
         texts = self.episodes.select(F.col("uuid").alias("id"), F.col("content").alias("text"))
-        hits = retrieval.full_text(texts, query, k)
+        hits = retrieval.full_text(texts, query, k, self._index("episodes")[0].scores(words(query)))
         return hits.join(self.episodes.withColumnRenamed("uuid", "id"), "id").orderBy("rank")
 
+    def query(self, sql: str, **arguments) -> DataFrame:
+        """Rows of a query over entities, edges, episodes and communities, with :name markers for its arguments.
+
+        Arguments are bound as values and never become part of the text. The text stands in brackets as one table of a larger
+        query, so it can't be another kind of statement; one that would close these brackets is an error.
+        """
+        frames = {"entities": self.entities, "edges": self.edges, "episodes": self.episodes, "communities": self.communities}
+        named = {name: df for name, df in frames.items() if df is not None}
+        depth = 0
+        for c in _QUOTED.sub(" ", sql):
+            depth += (c == "(") - (c == ")")
+            if depth < 0 or c in "{};":
+                raise ValueError("one query without braces and semicolons is expected")
+        views = "".join(f"{name} AS (SELECT * FROM {{{name}_}}), " for name in named)
+        text = sql.replace("{", "{{").replace("}", "}}")
+        return self.entities.sparkSession.sql(f"WITH {views}answer_ AS (\n{text}\n) SELECT * FROM answer_", args=arguments or None, **{f"{name}_": df for name, df in named.items()})
+
     def stats(self) -> DataFrame:
         return graph.stats(self.entities, self.edges, self.episodes, self.communities)
 
-    def list_communities(self, k: int = 100) -> DataFrame:
+    def list_communities(self, k: int | None = None) -> DataFrame:
+        """All communities by name, or the first k."""
         if self.communities is None:
             return self.entities.limit(0).select("uuid", "name", F.lit("").alias("summary"))
-        return self.communities.select("uuid", "name", F.coalesce("summary", F.lit("")).alias("summary")).orderBy("name", "uuid").limit(k)
+        listed = self.communities.select("uuid", "name", F.coalesce("summary", F.lit("")).alias("summary")).orderBy("name", "uuid")
+        return listed if k is None else listed.limit(k)
 
     def build_communities(self, rounds: int = 10) -> DataFrame:
         labels = community.label_propagation(self.entities, self.edges, rounds)
@@ -78,28 +125,34 @@ class GraphEngine:
 
     def community_job(self, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
         """(communities, one row of orphans before and after and of communities): an orphan has no edge and is in no built community."""
-        labels = community.cut(community.label_propagation(self.entities, self.edges, rounds))
-        built = community.cut(community.build(self.entities, self.edges, labels))
+        labels = cut(community.label_propagation(self.entities, self.edges, rounds))
+        built = cut(community.build(self.entities, self.edges, labels))
         before = graph.orphans(self.entities, self.edges)
         after = before.join(labels.join(built.select("label"), "label", "left_semi"), "uuid", "left_anti")
         counts = before.agg(F.count("*").alias("orphans_before")).join(after.agg(F.count("*").alias("orphans_after")), F.lit(True))
         return built, counts.join(built.agg(F.count("*").alias("communities")), F.lit(True))
 
-    def add_episodes(self, rows: DataFrame, extract: Callable[[DataFrame], DataFrame] = resolve.extracted, facts: Callable[[DataFrame], DataFrame] | None = None) -> tuple[GraphEngine, DataFrame]:
-        """(engine with the episodes of rows, their entities and facts; one row of counts of what is new), for one episode or many at once.
+    def add_episodes(self, rows: DataFrame, extract: Callable[[DataFrame], DataFrame] = resolve.extracted, facts: Callable[[DataFrame], DataFrame] | None = None, at: Column | None = None, supersede: list[str] | None = SUPERSEDE) -> tuple[GraphEngine, DataFrame]:
+        """(engine with the episodes of rows, their entities and facts; one row of what is new), for one episode or many at once.
 
         rows: (name, content, source, source_description, reference_time), and any other columns of episodes. Blank contents are
         left out, an episode that is there already adds nothing. extract gives (uuid, mention) of episodes, and mentions
         that resolve to no entity, by name and across all rows, become entities. facts gives (uuid, source, target, name, fact)
         of episodes, with mentions as source and target; without it no edges are made.
+
+        A new fact supersedes the one before it with the same values in the columns `supersede`, in the order of their times: an older
+        edge ends when the new one starts, and a late one ends when the next one that is there starts; what ends is
+        expired at `at`, the time of this call (by default that of the latest episode). supersede=None, for bulk loads, ends nothing.
+        The row has the numbers of new episodes, nodes, edges and communities, and the id of the episode if there is only one.
         """
         group = F.lit((self.groups or ["default"])[0])
         given = rows.where(F.trim(F.coalesce("content", F.lit(""))) != "").withColumn("uuid", episodes.episode_id("source_description", "content"))
         given = given.dropDuplicates(["uuid"]).join(self.episodes.select("uuid"), "uuid", "left_anti")
-        new = community.cut(given.withColumn("group_id", group).select(*[(F.col(f.name) if f.name in (*rows.columns, "uuid", "group_id") else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.episodes.schema]))
+        new = cut(given.withColumn("group_id", group).select(*[(F.col(f.name) if f.name in (*rows.columns, "uuid", "group_id") else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.episodes.schema]))
+        now = new.agg((F.max("reference_time") if at is None else F.max(at)).alias("at")).first()["at"]
         dated = new.select("uuid", F.col("reference_time").alias("at"))
         told = extract(new).join(dated, "uuid").groupBy("mention").agg(F.min("at").alias("at"))
-        found = community.cut(resolve.resolve(told.select("mention"), self.entities).join(told, "mention").withColumn("key", resolve.normal(F.col("mention"))))
+        found = cut(resolve.resolve(told.select("mention"), self.entities).join(told, "mention").withColumn("key", resolve.normal(F.col("mention"))))
         nodes = found.where("uuid is null").groupBy("key").agg(F.min("mention").alias("name"), F.min("at").alias("created_at"))
         values = {"uuid": F.sha2(F.concat(F.lit("entity "), "key"), 256), "name": F.col("name"), "labels": F.array(F.lit("Entity")), "created_at": F.col("created_at"), "group_id": group}
         nodes = nodes.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in self.entities.schema])
@@ -110,12 +163,15 @@ class GraphEngine:
             for end in ("source", "target"):
                 stated = stated.join(ids.select(F.col("mention").alias(end), F.col("id").alias(f"{end}_uuid")), end)
             stated = stated.groupBy("source_uuid", "target_uuid", "name", "fact").agg(F.min("at").alias("valid_at"), F.array_sort(F.collect_set("episode")).alias("episodes"))
-            values = {c: F.col(c) for c in stated.columns} | {"uuid": F.sha2(F.concat_ws("\x1f", "source_uuid", "target_uuid", "name", "fact"), 256), "created_at": F.current_timestamp(), "group_id": group}
+            values = {c: F.col(c) for c in stated.columns} | {"uuid": F.sha2(F.concat_ws("\x1f", "source_uuid", "target_uuid", "name", "fact"), 256), "created_at": F.lit(now), "group_id": group}
             edges = stated.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in self.edges.schema]).join(self.edges.select("uuid"), "uuid", "left_anti").select(*self.edges.columns)
+        edges = cut(edges)
+        known = self.edges.unionByName(edges) if supersede is None or facts is None else cut(intervals.merged(self.edges, edges, supersede, ["valid_at", "uuid"], F.lit(now)))
         counts = [df.agg(F.count("*").alias(f"{name}_created")) for name, df in (("episodes", new), ("nodes", nodes), ("edges", edges))]
         one = F.lit(True)
         summary = counts[0].join(counts[1], one).join(counts[2], one).withColumn("communities_created", F.lit(0).cast("long"))
-        return GraphEngine(self.entities.unionByName(nodes), self.edges.unionByName(edges), self.episodes.unionByName(new), self.communities, self.groups), summary
+        only = new.agg(F.when(F.count("*") == 1, F.min("uuid")).alias("episode_uuid"))
+        return GraphEngine(self.entities.unionByName(nodes), known, self.episodes.unionByName(new), self.communities, self.groups), summary.join(only, one)
 
     def add_note(self, content: str, source_description: str, at: Column) -> GraphEngine:
         """An engine with one episode more; blank content is an error, and the same note twice is one."""

@@ -2,35 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noetica.operators.graph import adjacency
+from noetica.storage import cut
 
 #: A node's vote for the label it has, below any edge's: keeps synchronous rounds from swapping labels for ever.
 OWN_VOTE = 0.5
 USEFUL = (2, 100)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the shared folder; a folder of our own only where none is set and all run on this machine."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="noetica-checkpoints-"))
-    return df.checkpoint()
+#: Members of a community that have to be there for it to be built.
+LEAST_FOUND = 2
 
 
 def label_propagation(entities: DataFrame, edges: DataFrame, rounds: int = 10, until_stable: bool = False) -> DataFrame:
     """(uuid, label) after so many synchronous rounds: each node takes the label with most weight around it, the least of equals.
 
-    Isolated nodes keep their own. Votes are summed before they move; the labels' lineage is cut every second round.
+    Isolated nodes keep their own. The weights are worked out once; votes are summed before they move; the labels' lineage is cut
+    every second round.
     """
-    weights = adjacency(edges)
+    weights = cut(adjacency(edges))
     labels = entities.select("uuid", F.col("uuid").alias("label"))
     for i in range(rounds):
         near = weights.join(labels.withColumnRenamed("uuid", "b"), "b").groupBy(F.col("a").alias("uuid"), "label").agg(F.sum("weight").cast("double").alias("vote"))
@@ -87,12 +78,16 @@ def orphans_inside(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def build(entities: DataFrame, edges: DataFrame, labels: DataFrame, k: int = 50) -> DataFrame:
-    """(label, n, name, summary) of the k largest useful communities: the heaviest members' names and five facts."""
+    """(label, n, name, summary) of the k largest useful communities: the heaviest members' names and five facts.
+
+    A community of which entities has fewer than LEAST_FOUND members is left out.
+    """
     top = largest(clusters(labels), k)
     weight = adjacency(edges).groupBy(F.col("a").alias("uuid")).agg(F.sum("weight").alias("weight"))
     inside = labels.join(F.broadcast(top), "label").join(entities.select("uuid", "name"), "uuid").join(weight, "uuid", "left")
     order = Window.partitionBy("label").orderBy(F.desc_nulls_last("weight"), "uuid")
-    names = inside.withColumn("i", F.row_number().over(order)).where("i <= 3").groupBy("label", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "name"))), lambda x: x["name"]), ", ").alias("name"))
+    some = inside.groupBy("label").agg(F.count("*").alias("found")).where(F.col("found") >= LEAST_FOUND).select("label")
+    names = inside.join(F.broadcast(some), "label").withColumn("i", F.row_number().over(order)).where("i <= 3").groupBy("label", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "name"))), lambda x: x["name"]), ", ").alias("name"))
     source = labels.select(F.col("uuid").alias("source_uuid"), "label")
     target = labels.select(F.col("uuid").alias("target_uuid"), F.col("label").alias("target_label"))
     facts = edges.join(source, "source_uuid").join(target, "target_uuid").where(F.col("label") == F.col("target_label"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noetica.operators.temporal import valid_at
+from noetica.storage import cut
 
 
 def lookup(entities: DataFrame, uuid: str) -> DataFrame:
@@ -42,18 +43,40 @@ def subgraph(expanded: DataFrame) -> DataFrame:
     return expanded.groupBy("center_uuid", "center_name").agg(F.array_sort(nodes).alias("nodes"), F.array_sort(edges).alias("edges"))
 
 
-def hops(edges: DataFrame, seeds: DataFrame, depth: int, include_invalidated: bool = False) -> DataFrame:
-    """(uuid, hop) of all that is reached from seeds (uuid) within `depth` hops, by frontier joins."""
-    live = edges if include_invalidated else edges.where(F.col("expired_at").isNull())
-    ways = both_ways(live.select("source_uuid", "target_uuid")).select("node", "other").distinct()
-    seen = frontier = seeds.select("uuid").distinct().withColumn("hop", F.lit(0))
+def neighbour_lists(edges: DataFrame, part: int = 4096) -> DataFrame:
+    """(node, others): a node's different neighbours in arrays of about `part` at most; a hub has several.
+
+    Parts are hashes of the neighbours, as many as twice the hub's neighbours need, so that arrays stay small whatever the degree.
+    """
+    ways = both_ways(edges.select("source_uuid", "target_uuid")).select("node", "other").distinct()
+    degrees = ways.groupBy("node").agg(F.count("*").alias("degree")).where(F.col("degree") > part)  # few
+    parts = F.coalesce(F.ceil(2 * F.col("degree") / part), F.lit(1))
+    dealt = ways.join(degrees, "node", "left").withColumn("part", F.pmod(F.xxhash64("other"), parts))
+    return dealt.groupBy("node", "part").agg(F.collect_list("other").alias("others")).select("node", "others")
+
+
+def reached(lists: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(uuid, hop, path) of all that neighbour_lists() reach from seeds (uuid) within `depth` hops; the least of the shortest paths.
+
+    lists should be a stored table: each hop joins it with the frontier, which is cut, so that nothing before it is worked out
+    again; what was seen is one anti-join.
+    """
+    start = seeds.select("uuid").distinct().select("uuid", F.lit(0).alias("hop"), F.array("uuid").alias("path"))
+    seen = frontier = cut(start)
     for hop in range(1, depth + 1):
-        reached = ways.join(frontier.select(F.col("uuid").alias("node")), "node", "left_semi").select(F.col("other").alias("uuid")).distinct()
-        frontier = reached.join(seen, "uuid", "left_anti").withColumn("hop", F.lit(hop))
+        near = lists.join(frontier.select(F.col("uuid").alias("node"), "path"), "node").select(F.explode("others").alias("uuid"), "path")
+        best = near.groupBy("uuid").agg(F.min("path").alias("path")).join(seen.select("uuid"), "uuid", "left_anti")
+        frontier = cut(best.select("uuid", F.lit(hop).alias("hop"), F.concat("path", F.array("uuid")).alias("path")))
         seen = seen.unionByName(frontier)
     return seen
 
 
+def hops(edges: DataFrame, seeds: DataFrame, depth: int, include_invalidated: bool = False) -> DataFrame:
+    """(uuid, hop) of all that is reached from seeds (uuid) within `depth` hops; edges are read once."""
+    live = edges if include_invalidated else edges.where(F.col("expired_at").isNull())
+    return reached(cut(neighbour_lists(live)), seeds, depth).select("uuid", "hop")
+
+
 def between(edges: DataFrame, members: DataFrame, as_of: Column | None = None, include_invalidated: bool = False) -> DataFrame:
     """Edges with both ends among members (uuid), by semi joins, so that a repeated member multiplies nothing."""
     out = edges
@@ -129,7 +152,3 @@ def edge_types(edges: DataFrame, members: DataFrame, boost: float = 0.15) -> Dat
     inside = between(edges, members, include_invalidated=True)
     return inside.groupBy("name").agg(F.count("*").alias("n")).withColumn("boost", F.lit(boost))
 
-
-def latest_per(edges: DataFrame, key: str, k: int) -> DataFrame:
-    order = Window.partitionBy(key).orderBy(F.desc("valid_at"), "uuid")
-    return edges.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -50,15 +50,25 @@ scores AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 /
   FROM tf JOIN df USING (term) CROSS JOIN totals GROUP BY id)"""
 
 
-def bag(words: str) -> str:
-    return f"list_transform(string_split('0123456789abcdef', ''), lambda c: len(list_filter({words}, lambda w: substring(md5(w), 1, 1) = c))::FLOAT)"
+def vectors_of(query: list[str]) -> str:
+    """CTEs from toks to dense (id, score): hashed TF-IDF under a random projection, in whole numbers."""
+    slot = "('0x' || md5(w)[1:5])::BIGINT"
+    signs = "[CASE WHEN (('0x' || h[i // 8 * 2 + 1:i // 8 * 2 + 2])::BIGINT >> (7 - i % 8)) & 1 = 1 THEN 1 ELSE -1 END FOR i IN range(256)]"
+    return f"""dt AS MATERIALIZED (SELECT words, row_number() OVER () AS t FROM (SELECT DISTINCT words FROM toks WHERE len(words) > 0)),
+nt AS (SELECT count(*) AS n FROM dt),
+ts AS MATERIALIZED (SELECT t, slot, count(*) AS tf FROM (SELECT t, unnest(list_transform(words, lambda w: {slot})) AS slot FROM dt) GROUP BY ALL),
+ws AS (SELECT slot, floor(1000 * ln((any_value(n) + 1) / (count(*) + 1)))::BIGINT + 1 AS w FROM ts CROSS JOIN nt GROUP BY slot),
+asked AS (SELECT slot, count(*) AS tf FROM (SELECT unnest(list_transform({_terms(query)}, lambda w: {slot})) AS slot) GROUP BY slot),
+rs AS MATERIALIZED (SELECT slot, w, {signs} AS r FROM (SELECT slot, coalesce(w, floor(1000 * ln(n + 1))::BIGINT + 1) AS w, md5('a' || slot) || md5('b' || slot) AS h FROM (SELECT slot FROM ts UNION SELECT slot FROM asked) LEFT JOIN ws USING (slot) CROSS JOIN nt)),
+qv AS (SELECT i, sum(x)::DOUBLE AS x FROM (SELECT unnest(range(256)) AS i, unnest([tf * w * e FOR e IN r]) AS x FROM asked JOIN rs USING (slot)) GROUP BY i),
+tv AS (SELECT t, i, sum(x)::DOUBLE AS x FROM (SELECT t, unnest(range(256)) AS i, unnest([tf * w * e FOR e IN r]) AS x FROM ts JOIN rs USING (slot)) GROUP BY ALL),
+near AS (SELECT t, round(sum(tv.x * qv.x) / (sqrt(sum(tv.x * tv.x)) * sqrt(sum(qv.x * qv.x))), 6) AS score FROM tv JOIN qv USING (i) GROUP BY t),
+dense AS (SELECT id, score FROM toks JOIN dt USING (words) JOIN near USING (t))"""
 
 
 def hybrid(words: list[str]) -> str:
     """CTEs from texts to fused (id, score)."""
-    own = COSINE.format(a="own", b="wanted")
-    return bm25(words) + f""", bags AS (SELECT id, {bag('words')} AS own, {bag(_terms(words))} AS wanted FROM toks),
-dense AS (SELECT id, round({own}, 6) AS score FROM bags WHERE list_sum(own) > 0),
+    return bm25(words) + f""", {vectors_of(words)},
 both_ranks AS (SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM scores) WHERE rank <= 50
   UNION ALL SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM dense) WHERE rank <= 50),
 fused AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM both_ranks GROUP BY id),
@@ -103,15 +113,14 @@ SELECT bucket, rank::INT AS rank, uuid, fact, {iso('valid_at')}, {iso('invalid_a
 
 _T = "TIMESTAMP '2001-06-01 00:00:00'"
 _CURRENT = f"(valid_at IS NULL OR valid_at <= {_T}) AND (invalid_at IS NULL OR invalid_at > {_T})"
-STATS = f"""{GRAPH}, {EPISODES}, stats AS (SELECT (SELECT count(*) FROM ents) AS entity_count, (SELECT count(*) FROM edges) AS edge_count, (SELECT count(*) FROM episodes) AS episode_count,
-  0::BIGINT AS community_count, (SELECT count(*) FROM ents WHERE uuid NOT IN (SELECT node FROM ways)) AS orphan_count)"""
-
 BUILT = f"""{labels()}, best AS (SELECT label, n FROM sizes WHERE n BETWEEN 2 AND 100 ORDER BY n DESC, label LIMIT 50),
 heavy AS (SELECT a AS uuid, sum(weight) AS weight FROM adj GROUP BY a),
 named_members AS (SELECT label, n, name, row_number() OVER (PARTITION BY label ORDER BY weight DESC NULLS LAST, uuid) AS i FROM best JOIN labels USING (label) JOIN (SELECT uuid, name FROM ents) USING (uuid) LEFT JOIN heavy USING (uuid)),
 names AS (SELECT label, n, string_agg(name, ', ' ORDER BY i) AS name FROM named_members WHERE i <= 3 GROUP BY label, n),
 inner_facts AS (SELECT s.label, fact, row_number() OVER (PARTITION BY s.label ORDER BY fact, edges.uuid) AS i FROM edges JOIN labels s ON s.uuid = source_uuid JOIN labels t ON t.uuid = target_uuid WHERE s.label = t.label),
 built AS (SELECT label, n, name, coalesce(summary, '') AS summary FROM names LEFT JOIN (SELECT label, string_agg(fact, '; ' ORDER BY fact) AS summary FROM inner_facts WHERE i <= 5 GROUP BY label) USING (label))"""
+STATS = f"""{BUILT}, {EPISODES}, stats AS (SELECT (SELECT count(*) FROM ents) AS entity_count, (SELECT count(*) FROM edges) AS edge_count, (SELECT count(*) FROM episodes) AS episode_count,
+  (SELECT count(*) FROM built) AS community_count, (SELECT count(*) FROM ents WHERE uuid NOT IN (SELECT node FROM ways)) AS orphan_count)"""
 _NORMAL = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 RESOLVED = rf"""told AS (SELECT unnest(regexp_extract_all(body, '(?:^|[^\p{{L}}\p{{N}}_])(\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)*)', 1)) AS mention FROM notes
   UNION SELECT regexp_replace(upper(name), '0#|#0', '##', 'g') FROM ents),
@@ -182,7 +191,20 @@ UNION ALL SELECT 'conv ' || conv_id, 'Answer', 'assistant: ' || substring(text,
 fused AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT id, rank FROM b UNION ALL SELECT id, rank FROM v) GROUP BY id) SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM fused QUALIFY rank <= 10""",
     "search_edges": f"WITH {EDGES}, texts AS (SELECT uuid AS id, fact AS text FROM edges), {hybrid(['red', 'widget'])} SELECT id, score, rank::INT AS rank, name, fact, source_name, target_name, strftime(valid_at, '%Y-%m-%dT%H:%M:%S') AS created_at, {iso('valid_at')}, {iso('invalid_at')}, {iso('expired_at')}, episodes FROM top JOIN edges ON uuid = id",
     "search_nodes": f"WITH {ENTITIES}, texts AS (SELECT uuid AS id, name || ' ' || summary AS text FROM ents), {hybrid(['red', 'widget'])} SELECT id, score, rank::INT AS rank, name FROM top JOIN ents ON uuid = id",
-    "passthrough_rank": f"WITH {EDGES} SELECT uuid, rank::INT AS rank, round(1 - 0.01::DOUBLE * (rank - 1), 2) AS score FROM (SELECT uuid, row_number() OVER (ORDER BY valid_at DESC, uuid) AS rank FROM edges) WHERE rank <= 120",
+    "passthrough_rank": f"WITH {EDGES}, texts AS (SELECT uuid AS id, fact AS text FROM edges), {bm25(['red', 'widget'])} SELECT id AS uuid, rank::INT AS rank, round(1 - 0.01::DOUBLE * (rank - 1), 2) AS score FROM (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM scores) WHERE rank <= 120",
+    "text_vectors": f"""WITH {ENTITIES}, texts AS (SELECT uuid AS id, name || ' ' || summary AS text FROM ents), {TOKENS}, {vectors_of(['blue', 'gear', 'standard'])},
+best AS (SELECT array_to_string(words, ' ') AS words, score FROM near JOIN dt USING (t)) SELECT * FROM best WHERE score >= (SELECT min(score) FROM (SELECT score FROM best ORDER BY score DESC LIMIT 40))""",
+    "history_search": f"""WITH {EDGES}, texts AS (SELECT uuid AS id, fact AS text FROM edges), {bm25(['red', 'widget'])}, {vectors_of(['red', 'widget'])},
+split AS (SELECT uuid AS id, CASE WHEN {_CURRENT} THEN 'current' WHEN invalid_at IS NOT NULL AND valid_at <= {_T} THEN 'superseded' END AS bucket FROM edges),
+lists AS (SELECT id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, id) AS r FROM scores JOIN split USING (id) WHERE bucket IS NOT NULL
+  UNION ALL SELECT id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, id) FROM dense JOIN split USING (id) WHERE bucket IS NOT NULL),
+f AS (SELECT id, bucket, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM lists WHERE r <= 50 GROUP BY ALL)
+SELECT id AS uuid, bucket, score, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, id)::INT AS rank FROM f QUALIFY rank <= 10""",
+    "ingest_supersession": f"WITH {EDGES} SELECT uuid, target_uuid, {iso('valid_at')}, {iso('invalid_at')} FROM edges",
+    "asof_periods": f"WITH {EDGES} SELECT name, count(*) AS n, count(DISTINCT target_uuid) AS n_targets, min(uuid) AS first_uuid FROM edges WHERE {_CURRENT} GROUP BY name",
+    "reach_4hops": f"""WITH {ENTITIES}, {EDGES}, w AS (SELECT DISTINCT source_uuid AS node, target_uuid AS other FROM edges WHERE expired_at IS NULL), ways AS MATERIALIZED (FROM w UNION SELECT other, node FROM w),
+l0 AS (SELECT uuid, [uuid] AS path FROM ents WHERE uuid IN ('S:1', 'S:2')), {", ".join(f"l{i} AS MATERIALIZED (SELECT other AS uuid, list_append(min(path), other) AS path FROM ways JOIN l{i - 1} ON node = uuid WHERE other NOT IN ({' UNION ALL '.join(f'SELECT uuid FROM l{j}' for j in range(i))}) GROUP BY other)" for i in range(1, 5))}
+{" UNION ALL ".join(f"SELECT uuid, {i}::INT AS hop, array_to_string(path, ' ') AS path FROM l{i}" for i in range(5))}""",
     "source_fulltext": f"""WITH {DOCS}, {bm25(['stupid', 'trash'])}, forms AS (SELECT id, score, 0 AS form FROM scores
 UNION ALL SELECT id, coalesce(score, 0), 1 FROM texts LEFT JOIN scores USING (id) WHERE contains(lower(text), 'stupid trash'))
 SELECT id, form::INT AS form, score, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM forms WHERE form = (SELECT min(form) FROM forms) QUALIFY rank <= 5""",

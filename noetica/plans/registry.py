@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from noetica.functions.text import iso, strip, tokens
 from noetica.functions.vectors import norm
-from noetica.operators import community, embedding, episodes, graph, resolve, retrieval, tasks, temporal
+from noetica.operators import community, embedding, episodes, graph, intervals, resolve, retrieval, tasks, temporal
+from noetica.operators.textindex import TextIndex
+from noetica.operators.vectorindex import VectorIndex
 from noetica.sources import threads, views
+from noetica.storage import new_path, once, there
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 K, LPA_ROUNDS, SIMILAR, LINKED, CROSS_BONUS = 10, 3, 0.3, 0.4, 0.08
 WORDS = ["the", "thing", "trash"]
-FACT_WORDS = ["red", "widget"]
+FACT_QUERY = "red widget"
 HISTORY_WORD = "red widget"
 PRIORITY = {"R": 0, "A": 1, "N": 2}
 CUES = {"n_done": r"(^|\s)this\s", "n_acted": r"(^|\s)for\s", "n_decided": r"(^|\s)was\s", "n_compared": r"(^|\s)to\s"}  # words of the invented prose
@@ -53,12 +56,12 @@ def _episodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def graph_stats(spark, d):
-    return graph.stats(views.entities(spark, d), views.edges(spark, d), _episodes(spark, d))
+    return graph.stats(views.entities(spark, d), views.edges(spark, d), _episodes(spark, d), community_build(spark, d))
 
 
 @query
 def orphan_pct(spark, d):
-    return graph.orphan_percent(graph_stats(spark, d))
+    return graph.orphan_percent(graph.stats(views.entities(spark, d), views.edges(spark, d), _episodes(spark, d)))
 
 
 @query
@@ -77,6 +80,14 @@ def expand_2hop(spark, d):
     return graph.hops(views.edges(spark, d), seeds, 2)
 
 
+@query
+def reach_4hops(spark, d):
+    """All that four hops reach from two suppliers over live edges, with the least of the shortest paths."""
+    lists = once(spark, d, "neighbours", lambda: graph.neighbour_lists(views.edges(spark, d).where(F.col("expired_at").isNull())))
+    seeds = views.entities(spark, d).where("uuid in ('S:1', 'S:2')").select("uuid")
+    return graph.reached(lists, seeds, 4).select("uuid", "hop", F.array_join("path", " ").alias("path"))
+
+
 @query
 def edges_between(spark, d):
     return _dated(graph.between(views.edges(spark, d), _members(spark, d)).select("uuid", "source_name", "target_name", "fact", "valid_at", F.array_join("episodes", ",").alias("episodes")), "valid_at")
@@ -136,6 +147,14 @@ def thread_edge_types(spark, d):
 # temporal
 
 
+@query
+def history_search(spark, d):
+    """Both sides of a date, each searched by words and vectors."""
+    split = views.edges(spark, d).withColumn("bucket", temporal.bucket(F.lit("2001-06-01 00:00:00").cast("timestamp"), False)).where("bucket is not null")
+    sides = [_search(spark, d, "facts", split.where(F.col("bucket") == side), F.col("fact")).withColumn("bucket", F.lit(side)) for side in ("current", "superseded")]
+    return sides[0].unionByName(sides[1]).withColumnRenamed("id", "uuid")
+
+
 def _history(spark, d, at: str | None = None, null_open: bool = False) -> DataFrame:
     found = views.edges(spark, d).where(F.col("fact").contains(HISTORY_WORD))
     out = temporal.whole_history(found, K, [F.desc("valid_at"), F.col("uuid")], at and F.lit(at).cast("timestamp"), null_open)
@@ -168,6 +187,33 @@ def edge_supersession(spark, d):
     return _dated(views.edges(spark, d).select("uuid", "valid_at", "invalid_at", "expired_at"), "valid_at", "invalid_at", "expired_at")
 
 
+def _arrivals(spark, d) -> list[DataFrame]:
+    """Edges in three parts that arrive out of order, with some of the first part in the second again."""
+    rows = views.raw_edges(spark, d).withColumn("expired_at", F.lit(None).cast("timestamp")).withColumn("invalid_at", F.lit(None).cast("timestamp"))
+    rows = once(spark, d, "arrivals", lambda: rows.withColumn("turn", F.pmod(F.crc32("uuid"), F.lit(3))))
+    return [rows.where(turns).drop("turn") for turns in ("turn = 2", "turn = 0 or turn = 2 and source_uuid = 'S:1'", "turn = 1")]
+
+
+@query
+def ingest_supersession(spark, d):
+    """Intervals as they are after all edges have arrived in parts, each of which brought the intervals up to date that it touched."""
+    table = intervals.EdgeTable(spark, new_path(spark, "arrived"), ["target_uuid"], ["valid_at", "source_uuid"], buckets=8)
+    for part in _arrivals(spark, d):
+        table.ingest(part)
+    return _dated(table.read().select("uuid", "target_uuid", "valid_at", "invalid_at"), "valid_at", "invalid_at")
+
+
+@query
+def asof_periods(spark, d):
+    """Edges valid at a date, from the table by periods: other periods' files are not read."""
+    found = intervals.read_periods(_periods(spark, d), "2001-06-01 00:00:00")
+    return found.groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("target_uuid").alias("n_targets"), F.min("uuid").alias("first_uuid"))
+
+
+def _periods(spark, d) -> DataFrame:
+    return once(spark, d, "periods", lambda: intervals.with_periods(views.edges(spark, d)), *intervals.PERIODS)
+
+
 @query
 def mark_resolved(spark, d):
     nodes = views.entities(spark, d).select("uuid", "name", F.lit(None).cast("timestamp").alias("resolved_at"))
@@ -299,40 +345,72 @@ def vector_topk(spark, d):
     return retrieval.nearest(rows, rows.where("id = 0"), K)
 
 
+_INDEXES: dict[tuple[str, str, str], tuple[TextIndex, VectorIndex | None]] = {}
+
+
+def _index(spark, d, kind: str) -> tuple[TextIndex, VectorIndex | None]:
+    """The stored indexes of documents (by words only), facts or nodes: built once in an application."""
+    key = (spark.sparkContext.applicationId, d, kind)
+    if key not in _INDEXES or there(spark, _INDEXES[key][0].path) is None:
+        texts = {"documents": lambda: _texts(spark, d), "facts": lambda: views.facts_as_text(views.edges(spark, d)), "nodes": lambda: _node_texts(spark, d)}[kind]()
+        by_words = TextIndex(spark, new_path(spark, f"{kind}-words"), buckets=16)
+        by_words.append(texts)
+        _INDEXES[key] = by_words, None if kind == "documents" else VectorIndex.build(texts, new_path(spark, f"{kind}-vectors"))
+    return _INDEXES[key]
+
+
+def _search(spark, d, kind: str, rows: DataFrame, text) -> DataFrame:
+    """(id, score, rank) of the K best of rows (uuid, ...), which are what is indexed or a part of it."""
+    return retrieval.hybrid(*retrieval.both_scores(*_index(spark, d, kind), rows, text, FACT_QUERY, 50), K)
+
+
 @query
 def bm25_topk(spark, d):
-    return retrieval.bm25(_texts(spark, d), WORDS, K)
+    return retrieval.ranked(_index(spark, d, "documents")[0].scores(WORDS), K)
 
 
 @query
 def hybrid_rrf(spark, d):
     rows = views.vectors(spark, d)
-    return retrieval.fused([retrieval.bm25(_texts(spark, d), WORDS, 50), retrieval.nearest(rows, rows.where("id = 0"), 50)], K)
+    return retrieval.fused([retrieval.ranked(_index(spark, d, "documents")[0].scores(WORDS), 50), retrieval.nearest(rows, rows.where("id = 0"), 50)], K)
 
 
 @query
 def search_edges(spark, d):
-    edges = community.cut(views.edges(spark, d))  # it is read four times
-    hits = retrieval.hybrid(views.facts_as_text(edges), FACT_WORDS, K)
+    edges = views.edges(spark, d)
+    hits = _search(spark, d, "facts", edges, F.col("fact"))
     fields = ["name", "fact", "source_name", "target_name", "valid_at", "invalid_at", "expired_at", F.array_join("episodes", ",").alias("episodes")]
     return _dated(hits.join(edges.select(F.col("uuid").alias("id"), *fields, F.col("valid_at").alias("created_at")), "id"), "created_at", "valid_at", "invalid_at", "expired_at")
 
 
+def _node_texts(spark, d) -> DataFrame:
+    return views.entities(spark, d).select(F.col("uuid").alias("id"), F.concat_ws(" ", "name", "summary").alias("text"))
+
+
 @query
 def search_nodes(spark, d):
     nodes = views.entities(spark, d)
-    texts = nodes.select(F.col("uuid").alias("id"), F.concat_ws(" ", "name", "summary").alias("text"))
-    return retrieval.hybrid(texts, FACT_WORDS, K).join(nodes.select(F.col("uuid").alias("id"), "name"), "id")
+    return _search(spark, d, "nodes", nodes, F.concat_ws(" ", "name", "summary")).join(nodes.select(F.col("uuid").alias("id"), "name"), "id")
 
 
 @query
 def passthrough_rank(spark, d):
-    return retrieval.passthrough(views.recent(views.edges(spark, d).select("uuid", "valid_at"), 120, F.desc("valid_at"), F.col("uuid"))).select("uuid", "rank", "score")  # a search's hits
+    """The 120 best facts of a search by words, as a reranker would get them."""
+    hits = retrieval.ranked(_index(spark, d, "facts")[0].scores(FACT_QUERY.split()), 120)
+    return retrieval.passthrough(hits).select(F.col("id").alias("uuid"), "rank", "score")
 
 
 @query
 def source_fulltext(spark, d):
-    return retrieval.full_text(_texts(spark, d), "stupid trash", 5).select("id", "form", "score", "rank")
+    query = "stupid trash"
+    return retrieval.full_text(_texts(spark, d), query, 5, _index(spark, d, "documents")[0].scores(query.split())).select("id", "form", "score", "rank")
+
+
+@query
+def text_vectors(spark, d):
+    """Nodes whose vectors are among the 40 nearest to a query's, or as near as the 40th."""
+    index = _index(spark, d, "nodes")[1]
+    return index.scores("blue gear standard", 40)
 
 
 @query
@@ -345,7 +423,8 @@ def token_counts(spark, d):
 
 
 def _labels(spark, d) -> DataFrame:
-    return community.label_propagation(views.entities(spark, d), views.edges(spark, d), LPA_ROUNDS)
+    """Labels of the community job: propagated once in an application, then read."""
+    return once(spark, d, "labels", lambda: community.label_propagation(views.entities(spark, d), views.edges(spark, d), LPA_ROUNDS))
 
 
 @query
@@ -380,8 +459,7 @@ def orphans_in_communities(spark, d):
 
 @query
 def community_build(spark, d):
-    edges = community.cut(views.edges(spark, d))
-    return community.build(views.entities(spark, d), edges, community.label_propagation(views.entities(spark, d), edges, LPA_ROUNDS))
+    return community.build(views.entities(spark, d), views.edges(spark, d), _labels(spark, d))
 
 
 @query

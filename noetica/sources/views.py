@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noetica.functions.text import strip
 from noetica.operators.episodes import DEFAULT_TIME  # noqa: F401
+from noetica.storage import once
 
 GROUP = "default"
 # Labels of the source table that name no thread.
@@ -49,7 +50,7 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def whole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges; a newer supplier of a part supersedes the one before it, and returned ones are expired too."""
     from noetica.operators.temporal import superseded
 
@@ -57,6 +58,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("expired_at", F.when(F.col("name") == "R", F.col("invalid_at")))
 
 
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """whole_edges() as the stored table that an engine has: written once in an application, then read."""
+    return once(spark, sf_dir, "edges", lambda: whole_edges(spark, sf_dir))
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as notes: (doc_id, name, body)."""
     docs = read(spark, sf_dir, "documents")
