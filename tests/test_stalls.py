@@ -1,0 +1,77 @@
+"""Stall timers of the stream against a plain loop, with late rows, several runs of one checkpoint, and the batch rule."""
+
+import json
+import random
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from noetica.operators import tasks
+from noetica.streaming import streams
+
+ROWS = T.StructType([T.StructField("thread_id", T.StringType()), T.StructField("at", T.TimestampType()), T.StructField("kind", T.StringType())])
+START = datetime(2024, 1, 1)
+
+
+def plain(rows, upto):
+    """(thread, last, due) of all stalls up to a time."""
+    out = []
+    for thread in {r[0] for r in rows}:
+        last = surfaced = None
+        told = False
+        for at, kind in [*sorted((r[1], r[2] == "surfaced") for r in rows if r[0] == thread and r[1] <= upto), (upto + timedelta(milliseconds=1), None)]:
+            if last is not None and not told:
+                due = max(last + timedelta(days=7), surfaced + timedelta(hours=48) if surfaced else last)
+                if due < at and due <= last + timedelta(days=30):
+                    out.append((thread, last, due))
+                    surfaced, told = due, True
+            if kind:
+                surfaced = max(surfaced or at, at)
+            elif kind is not None and (last is None or at > last):
+                last, told = at, False
+    return sorted(out)
+
+
+def run(spark, folder, tmp_path):
+    stream = streams.stalls(streams.watch(spark, str(folder), ROWS, files_per_trigger=1))
+    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    assert q.exception() is None
+
+
+def test_stalls_against_a_plain_loop(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    rng, rows = random.Random(3), []
+    for thread in "abcdef":
+        at = START + timedelta(hours=rng.randint(0, 100))
+        for _ in range(9):
+            rows.append((thread, at, rng.choice(["note", "note", "mail", "surfaced"])))
+            at += timedelta(hours=rng.choice([1, 20, 100, 167, 168, 169, 200, 215, 216, 300, 800]))
+    rows += [("late", START, "note"), ("late", START + timedelta(days=6), "surfaced"), ("gone", START + timedelta(days=1), "note")]
+    end = max(r[1] for r in rows) + timedelta(days=40)
+    rows.append(("clock", end, "note"))
+    rows.sort(key=lambda r: r[1])
+    shuffled = [r for i in range(0, len(rows), 3) for r in rng.sample(rows[i : i + 3], len(rows[i : i + 3]))]  # out of order, some by less than two hours
+    kept, mark, dropped = [], datetime.min, 0
+    for turn, part in enumerate([shuffled[:20], shuffled[20:40], shuffled[40:]]):
+        for name, some in ((f"{turn}a", part[: len(part) // 2]), (f"{turn}b", part[len(part) // 2 :])):
+            (folder / f"{name}.json").write_text("\n".join(json.dumps({"thread_id": t, "at": a.isoformat(), "kind": k}) for t, a, k in some))
+            now = [r for r in some if r[1] > mark]  # what is behind the watermark of the file before is late
+            dropped += len(some) - len(now)
+            kept += now
+            mark = max(mark, *(r[1] - timedelta(hours=2) for r in some))
+            run(spark, folder, tmp_path)  # resumes from its checkpoint
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    got = sorted((r.thread_id, r.last_at, r.due_at) for r in out)
+    assert got == plain(kept, end - timedelta(hours=2)) and len(got) > 12 and dropped < 8
+    assert all(7 <= r.idle_days <= 30 for r in out)
+    surfaced = {}
+    for thread, last, due in got:  # the batch rule opens at each of these moments, and not a second before
+        told = [r[1] for r in kept if r[0] == thread and r[2] == "surfaced" and r[1] < due] + surfaced.get(thread, [])
+        row = spark.createDataFrame([(thread, 1.0, 1, last, max(told) if told else None)], "thread_id string, score double, n_sources int, last_at timestamp, last_surfaced_at timestamp")
+        for moment, n in ((due, 1), (due - timedelta(seconds=1), 0)):
+            days = F.floor((F.unix_timestamp(F.lit(moment)) - F.unix_timestamp("last_at")) / 86400).cast("int")
+            assert tasks.gated(row.withColumn("idle_days", days), F.lit(moment)).count() == n
+        surfaced.setdefault(thread, []).append(due)
