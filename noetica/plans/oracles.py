@@ -123,7 +123,7 @@ STATS = f"""{BUILT}, {EPISODES}, stats AS (SELECT (SELECT count(*) FROM ents) AS
   (SELECT count(*) FROM built) AS community_count, (SELECT count(*) FROM ents WHERE uuid NOT IN (SELECT node FROM ways)) AS orphan_count)"""
 _NORMAL = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 RESOLVED = rf"""told AS (SELECT unnest(regexp_extract_all(body, '(?:^|[^\p{{L}}\p{{N}}_])(\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)*)', 1)) AS mention FROM notes
-  UNION SELECT regexp_replace(upper(name), '0#|#0', '##', 'g') FROM ents),
+  UNION SELECT regexp_replace(upper(name), '0#|#0', '##', 'g') FROM ents UNION SELECT 'Quoted: ' || name || ' (item)' FROM ents WHERE uuid LIKE 'P:%' UNION SELECT regexp_replace(name, '^\S+ ', '') FROM ents WHERE uuid LIKE 'P:%'),
 mentions AS (SELECT mention, {_NORMAL.format('mention')} AS key FROM told), wanted AS (SELECT DISTINCT key FROM mentions),
 known AS (SELECT {_NORMAL.format('name')} AS name, min(uuid) AS uuid FROM ents GROUP BY 1),
 exact AS (SELECT key, uuid FROM wanted JOIN known ON key = name),

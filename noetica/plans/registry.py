@@ -513,9 +513,13 @@ def near_dup_nodes(spark, d):
 
 @query
 def entity_resolution(spark, d):
+    """Mentions of notes, all names with characters lost, and those of parts with words added and with one left out."""
     told = resolve.extracted(views.notes(spark, d).select(F.col("doc_id").alias("uuid"), F.col("body").alias("content"))).select("mention")
-    names = views.entities(spark, d).select(F.regexp_replace(F.upper("name"), "0#|#0", "##").alias("mention"))
-    return resolve.resolve(told.unionByName(names), views.entities(spark, d))
+    entities = views.entities(spark, d)
+    parts = entities.where("uuid like 'P:%'")
+    names = entities.select(F.regexp_replace(F.upper("name"), "0#|#0", "##").alias("mention"))
+    longer, shorter = parts.select(F.concat(F.lit("Quoted: "), "name", F.lit(" (item)")).alias("mention")), parts.select(F.regexp_replace("name", r"^\S+ ", "").alias("mention"))
+    return resolve.resolve(told.unionByName(names).unionByName(longer).unionByName(shorter), entities)
 
 
 # threads of activity
