@@ -54,17 +54,19 @@ class GraphEngine:
             self._indexes[kind] = by_words, by_vectors
         return self._indexes[kind]
 
-    def _search(self, kind: str, rows: DataFrame, text: Column, query: str, k: int, deep: int | None = None) -> DataFrame:
-        """(rank, score, columns of rows) of the k best of rows."""
-        by_words, by_vectors = self._index(kind)
-        hits = retrieval.hybrid(*retrieval.both_scores(by_words, by_vectors, rows, text, query, deep or max(50, k)), k, deep or max(50, k))
+    def _search(self, kind: str, rows: DataFrame, query: str, k: int, part: bool) -> DataFrame:
+        """(rank, score, columns of rows) of the k best of rows, which are all that is indexed or a part of it."""
+        deep = max(50, k)
+        hits = retrieval.hybrid(*retrieval.both_scores(*self._index(kind), query, deep, rows.select(F.col("uuid").alias("id")) if part else None), k, deep)
         return hits.join(rows.withColumnRenamed("uuid", "id"), "id").withColumnRenamed("id", "uuid")
 
     def search(self, query: str, k: int = 10, groups: list[str] | None = None) -> DataFrame:
-        return self._search("facts", self._of_groups(self.edges, groups), F.col("fact"), query, k).orderBy("rank")
+        rows = self._of_groups(self.edges, groups)
+        return self._search("facts", rows, query, k, rows is not self.edges).orderBy("rank")
 
     def search_nodes(self, query: str, k: int = 10, groups: list[str] | None = None) -> DataFrame:
-        return self._search("nodes", self._of_groups(self.entities, groups), F.concat_ws(" ", "name", "summary"), query, k).orderBy("rank")
+        rows = self._of_groups(self.entities, groups)
+        return self._search("nodes", rows, query, k, rows is not self.entities).orderBy("rank")
 
     def get_node(self, uuid: str) -> DataFrame:
         return graph.lookup(self.entities, uuid)
@@ -83,7 +85,7 @@ class GraphEngine:
     def history(self, query: str, as_of: Column | None = None, k: int = 10, null_open: bool = False) -> DataFrame:
         """Current and superseded edges for a query, k of each at most: split by the date first, then each side is searched."""
         split = self._of_groups(self.edges, None).withColumn("bucket", temporal.bucket(as_of, null_open)).where("bucket is not null")
-        sides = [self._search("facts", split.where(F.col("bucket") == side), F.col("fact"), query, k) for side in ("current", "superseded")]
+        sides = [self._search("facts", split.where(F.col("bucket") == side), query, k, True) for side in ("current", "superseded")]
         return sides[0].unionByName(sides[1])
 
     def get_source(self, query: str, k: int = 5) -> DataFrame:

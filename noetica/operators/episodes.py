@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from noetica.functions.text import is_sensitive, strip
 
@@ -105,3 +109,39 @@ def roll_up(good: DataFrame, bad: DataFrame) -> DataFrame:
     reason = F.when(F.trim(F.coalesce("content", F.lit(""))) == "", "content").otherwise("time")
     rows = good.select(F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason")).unionByName(bad.select(F.lit("failed").alias("status"), reason.alias("reason")))
     return rows.groupBy("status", "reason").agg(F.count("*").alias("n"))
+
+
+def in_saga_order(rows: DataFrame, start: Callable[[], object], step: Callable[[object, dict], object], made: str) -> DataFrame:
+    """rows (saga, turn_index, ...) with (status, reason, made), each imported after those of its saga that come before it.
+
+    step(state, row) gets what start() gave to the saga and what earlier steps have made of it, and gives the row's result, of the SQL type
+    `made`. A step that raises fails its row only: status 'failed', with the error's text as the reason. roll_up_import() counts these.
+
+    A saga's rows stream through one task in order; only the state is held, so a long saga costs time and not memory.
+    """
+    ordered = rows.repartition("saga").sortWithinPartitions("saga", "turn_index")
+    names = rows.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        saga = state = None
+        fresh = True
+        for batch in batches:
+            out = []
+            for values in batch.itertuples(index=False):
+                row = dict(zip(names, values, strict=True))
+                if fresh or row["saga"] != saga:
+                    saga, state, fresh = row["saga"], start(), False
+                try:
+                    out.append(("ok", None, step(state, row)))
+                except Exception as error:  # noqa: BLE001
+                    out.append(("failed", str(error), None))
+            told = pd.DataFrame(out, columns=["status", "reason", "made"], index=batch.index)
+            yield pd.concat([batch, told.astype({"made": object})], axis=1)
+
+    schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string(f"status string, reason string, made {made}").fields])
+    return ordered.mapInPandas(run, schema)
+
+
+def roll_up_import(imported: DataFrame) -> DataFrame:
+    """(status, reason, n) of in_saga_order()."""
+    return imported.groupBy("status", "reason").agg(F.count("*").alias("n"))

@@ -84,6 +84,18 @@ l{i + 1} AS (SELECT uuid, label FROM v{i} QUALIFY row_number() OVER (PARTITION B
     return ", ".join([*out, f"labels AS (SELECT * FROM l{rounds}), sizes AS (SELECT label, count(*) AS n FROM labels GROUP BY label)"])
 
 
+PLANTED = """copies AS (SELECT e.*, j FROM embeddings e CROSS JOIN range(1, 4) r(j) WHERE vec_id % 4 = 0),
+planted AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS embedding, label FROM embeddings UNION ALL
+  SELECT vec_id + j * 1000000000, list_transform(range(64), lambda k: embedding[k + 1]::DOUBLE + 0.004::DOUBLE * (1 + (vec_id + 3 * j) % 8) * ((vec_id * 7 + k * 13 + j * 5) % 11 - 5)), (CASE WHEN j < 3 THEN (label + j) % 5 ELSE label END)::INT FROM copies)"""
+PLANTED_TEXTS = """told AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Not so: ' ELSE '' END || text AS text FROM documents UNION ALL
+  SELECT doc_id + j * 1000000000, CASE WHEN j % 2 = 1 THEN 'Actually, ' ELSE '' END || text FROM documents CROSS JOIN range(1, 4) r(j) WHERE doc_id % 4 = 0)"""
+PLANTED_TIMES = """made AS (SELECT event_id, ts FROM events UNION ALL SELECT event_id + j * 1000000000, ts + to_days((10 * j)::INT) FROM events CROSS JOIN range(1, 4) r(j) WHERE event_id % 4 = 0)"""
+
+
+def planted_pairs(threshold: float) -> str:
+    return f"{PLANTED}, {pairs(threshold).replace('embeddings', 'planted')}"
+
+
 def pairs(threshold: float) -> str:
     score = COSINE.format(a="x.embedding", b="y.embedding")
     return f"pairs AS (SELECT * FROM (SELECT x.vec_id AS a, y.vec_id AS b, x.label AS a_kind, y.label AS b_kind, {score} AS raw FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id) WHERE raw > {threshold})"
@@ -219,7 +231,7 @@ SELECT max(total) AS n_communities, max(n) AS greatest, min(n) AS least, max(n)
     "list_communities": f"WITH {BUILT} SELECT 'C:' || label AS uuid, name, summary FROM built",
     "entity_resolution": f"WITH {ENTITIES}, {NOTES}, {RESOLVED} SELECT * FROM resolved",
     "orphans_in_communities": f"WITH {labels()} SELECT count(DISTINCT uuid) AS n_orphans FROM labels WHERE uuid NOT IN (SELECT node FROM ways)",
-    "similar_pairs": f"WITH {pairs(0.3)} SELECT a, b, round(raw, 6) AS score FROM pairs",
+    "similar_pairs": f"WITH {planted_pairs(0.75)} SELECT a, b, round(raw, 6) AS score FROM pairs",
     "knn_topk": f"SELECT q AS query, id, score, rank::INT AS rank FROM (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS q, e.vec_id AS id, round({COSINE.format(a='e.embedding', b='q.embedding')}, 6) AS score FROM embeddings e JOIN embeddings q ON e.vec_id <> q.vec_id AND q.vec_id % 100 = 0)) WHERE rank <= 3",
     "normalize_vectors": """WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-10))[1:32] AS e FROM embeddings)
 SELECT id, len(e)::INT AS n, round(sqrt(list_dot_product(e, e)), 6) AS length, round(e[1], 6) AS first FROM v""",
@@ -229,16 +241,19 @@ SELECT 'both' AS side, id FROM f WHERE id IN (SELECT id FROM s) UNION ALL SELECT
 r AS (SELECT q.side, q.id AS query, e.id, round({COSINE.format(a='e.embedding', b='q.embedding')}, 6) AS score FROM s q JOIN s e ON e.side = q.side AND e.id <> q.id WHERE q.id % 100 = 0),
 p AS (SELECT *, row_number() OVER (PARTITION BY side, query ORDER BY score DESC, id) AS rank FROM r)
 SELECT side, query, id, score, rank::INT AS rank, substring(text, 1, 40) AS fact FROM p LEFT JOIN documents ON doc_id = id WHERE rank <= 3""",
-    "near_dup_nodes": f"WITH {pairs(0.3)} SELECT b AS id, min(a) AS keeper FROM pairs WHERE a_kind = b_kind GROUP BY b",
+    "near_dup_nodes": f"WITH {planted_pairs(0.92)} SELECT b AS id, min(a) AS keeper FROM pairs WHERE a_kind = b_kind GROUP BY b",
     "segment_windows": f"""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 2 HOURS OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 n AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS window_no FROM g)
 SELECT user_id, window_no::INT AS window_no, count(*) AS n, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS started, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS ended FROM n GROUP BY 1, 2 HAVING count(*) >= 2""",
     "segment_enrich": r"""SELECT doc_id AS id, lang AS source, md5(CASE lang WHEN 'en' THEN '[english note] ' WHEN 'de' THEN '[german note] ' ELSE '' END || text) AS enriched_md5 FROM documents
 WHERE len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) >= CASE lang WHEN 'en' THEN 30 WHEN 'de' THEN 15 WHEN 'fr' THEN 20 ELSE 10 END""",
-    "recurrence_flags": f"""WITH {pairs(0.3)}, b AS (SELECT a AS id, b AS other, b_kind AS kind FROM pairs WHERE a_kind <> b_kind UNION ALL SELECT b, a, a_kind FROM pairs WHERE a_kind <> b_kind),
+    "recurrence_flags": f"""WITH {planted_pairs(0.85)}, {PLANTED_TIMES}, b AS (SELECT a AS id, b AS other, b_kind AS kind FROM pairs WHERE a_kind <> b_kind UNION ALL SELECT b, a, a_kind FROM pairs WHERE a_kind <> b_kind),
 own AS (SELECT * FROM b UNION ALL SELECT DISTINCT id, id, NULL FROM b),
-t AS (SELECT own.id, count(DISTINCT kind) + 1 AS n_sources, date_diff('day', min(ts)::DATE, max(ts)::DATE)::INT AS days FROM own JOIN events ON event_id = other GROUP BY own.id) SELECT *, n_sources >= 3 AND days >= 14 AS promoted FROM t""",
-    "contradiction_flags": rf"WITH {pairs(0.3)} SELECT b AS id, a AS other, round(raw, 6) AS score FROM pairs JOIN documents ON doc_id = b WHERE regexp_matches(lower(CASE WHEN doc_id % 3 = 0 THEN 'Not so: ' ELSE '' END || text), '\b(not|wrong|actually|changed my mind|i used to think)\b')",
+t AS (SELECT own.id, count(DISTINCT kind) + 1 AS n_sources, date_diff('day', min(ts)::DATE, max(ts)::DATE)::INT AS days FROM own JOIN made ON event_id = other GROUP BY own.id) SELECT *, n_sources >= 3 AND days >= 14 AS promoted FROM t""",
+    "contradiction_flags": rf"WITH {planted_pairs(0.75)}, {PLANTED_TEXTS} SELECT b AS id, a AS other, round(raw, 6) AS score FROM pairs JOIN told ON doc_id = b WHERE regexp_matches(lower(text), '\b(not|wrong|actually|changed my mind|i used to think)\b')",
+    "saga_import": """WITH t AS (SELECT 'conv ' || conv_id AS saga, turn, text, len(text) >= 20 AS good FROM conversations),
+w AS (SELECT DISTINCT saga, turn, unnest(string_split(text, ' ')) AS word FROM t WHERE good), f AS (SELECT saga, min(turn) AS turn, word FROM w GROUP BY saga, word), n AS (SELECT saga, turn, count(*) AS n FROM f GROUP BY ALL)
+SELECT saga, turn::INT AS turn_index, CASE WHEN good THEN 'ok' ELSE 'failed' END AS status, CASE WHEN NOT good THEN 'short' END AS reason, CASE WHEN good THEN coalesce(n, 0) END AS n_new FROM t LEFT JOIN n USING (saga, turn)""",
     "thread_components": f"""WITH RECURSIVE {pairs(0.32)}, near AS (SELECT a, b FROM pairs WHERE round(raw, 6) + CASE WHEN a_kind <> b_kind THEN 0.08::DOUBLE ELSE 0 END > 0.4::DOUBLE), e AS (SELECT a, b FROM near UNION SELECT b, a FROM near), r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen)
 SELECT node, min(seen) AS component FROM r GROUP BY node""",
     "thread_states": f"WITH {THREADS} SELECT thread_id, n_done, n_acted, n_decided, n_compared, idle_days, state, CASE state WHEN 'exploring' THEN 'gather' WHEN 'evaluating' THEN 'compare' WHEN 'decided' THEN 'plan' WHEN 'acting' THEN 'continue' WHEN 'stalled' THEN 'unblock' ELSE 'none' END AS action FROM states",

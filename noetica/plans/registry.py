@@ -17,7 +17,9 @@ from noetica.storage import new_path, once, there
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-K, LPA_ROUNDS, SIMILAR, LINKED, CROSS_BONUS = 10, 3, 0.3, 0.4, 0.08
+K, LPA_ROUNDS, LINKED, CROSS_BONUS = 10, 3, 0.4, 0.08
+# Fixed values of the design: cosines of a contradiction, a recurrence and a duplicate.
+CONTRADICTS, RECURS, DUPLICATE = 0.75, 0.85, 0.92
 WORDS = ["the", "thing", "trash"]
 FACT_QUERY = "red widget"
 HISTORY_WORD = "red widget"
@@ -151,7 +153,7 @@ def thread_edge_types(spark, d):
 def history_search(spark, d):
     """Both sides of a date, each searched by words and vectors."""
     split = views.edges(spark, d).withColumn("bucket", temporal.bucket(F.lit("2001-06-01 00:00:00").cast("timestamp"), False)).where("bucket is not null")
-    sides = [_search(spark, d, "facts", split.where(F.col("bucket") == side), F.col("fact")).withColumn("bucket", F.lit(side)) for side in ("current", "superseded")]
+    sides = [_search(spark, d, "facts", split.where(F.col("bucket") == side).select(F.col("uuid").alias("id"))).withColumn("bucket", F.lit(side)) for side in ("current", "superseded")]
     return sides[0].unionByName(sides[1]).withColumnRenamed("id", "uuid")
 
 
@@ -309,6 +311,21 @@ def _checked(spark, d):
     return episodes.checked(notes)
 
 
+@query
+def saga_import(spark, d):
+    """Turns of conversations imported in order: a turn adds the words that no turn before it in its conversation has brought; short ones fail."""
+    turns = views.turns(spark, d).select("saga", F.col("turn").alias("turn_index"), "content")
+
+    def step(known: set, row: dict) -> int:
+        if len(row["content"]) < episodes.LEAST_TURN:
+            raise ValueError("short")
+        new = set(row["content"].split(" ")) - known
+        known |= new
+        return len(new)
+
+    return episodes.in_saga_order(turns, set, step, "long").select("saga", "turn_index", "status", "reason", F.col("made").alias("n_new"))
+
+
 @query
 def search_sources_limit(spark, d):
     out = episodes.thread_sources(views.sources(spark, d), "search-thread", 200)
@@ -359,9 +376,9 @@ def _index(spark, d, kind: str) -> tuple[TextIndex, VectorIndex | None]:
     return _INDEXES[key]
 
 
-def _search(spark, d, kind: str, rows: DataFrame, text) -> DataFrame:
-    """(id, score, rank) of the K best of rows (uuid, ...), which are what is indexed or a part of it."""
-    return retrieval.hybrid(*retrieval.both_scores(*_index(spark, d, kind), rows, text, FACT_QUERY, 50), K)
+def _search(spark, d, kind: str, within: DataFrame | None = None) -> DataFrame:
+    """(id, score, rank) of the K best."""
+    return retrieval.hybrid(*retrieval.both_scores(*_index(spark, d, kind), FACT_QUERY, 50, within), K)
 
 
 @query
@@ -378,7 +395,7 @@ def hybrid_rrf(spark, d):
 @query
 def search_edges(spark, d):
     edges = views.edges(spark, d)
-    hits = _search(spark, d, "facts", edges, F.col("fact"))
+    hits = _search(spark, d, "facts")
     fields = ["name", "fact", "source_name", "target_name", "valid_at", "invalid_at", "expired_at", F.array_join("episodes", ",").alias("episodes")]
     return _dated(hits.join(edges.select(F.col("uuid").alias("id"), *fields, F.col("valid_at").alias("created_at")), "id"), "created_at", "valid_at", "invalid_at", "expired_at")
 
@@ -390,7 +407,7 @@ def _node_texts(spark, d) -> DataFrame:
 @query
 def search_nodes(spark, d):
     nodes = views.entities(spark, d)
-    return _search(spark, d, "nodes", nodes, F.concat_ws(" ", "name", "summary")).join(nodes.select(F.col("uuid").alias("id"), "name"), "id")
+    return _search(spark, d, "nodes").join(nodes.select(F.col("uuid").alias("id"), "name"), "id")
 
 
 @query
@@ -473,7 +490,7 @@ def list_communities(spark, d):
 
 @query
 def similar_pairs(spark, d):
-    return embedding.similar(views.vectors(spark, d), SIMILAR).select("a", "b", "score")
+    return embedding.similar(views.planted_vectors(spark, d), CONTRADICTS).select("a", "b", "score")
 
 
 @query
@@ -508,7 +525,7 @@ def embedder_facts(spark, d):
 
 @query
 def near_dup_nodes(spark, d):
-    return embedding.duplicates(views.vectors(spark, d), SIMILAR)
+    return embedding.duplicates(views.planted_vectors(spark, d), DUPLICATE)
 
 
 @query
@@ -538,18 +555,14 @@ def segment_enrich(spark, d):
     return out.select("id", "source", F.md5("enriched").alias("enriched_md5"))
 
 
-def _pairs(spark, d) -> DataFrame:
-    return embedding.similar(views.vectors(spark, d), SIMILAR)
-
-
 @query
 def recurrence_flags(spark, d):
-    return tasks.recurring(_pairs(spark, d), views.embedded_times(spark, d))
+    return tasks.recurring(embedding.similar(views.planted_vectors(spark, d), RECURS), views.embedded_times(spark, d))
 
 
 @query
 def contradiction_flags(spark, d):
-    return tasks.contradicting(_pairs(spark, d), views.embedded_texts(spark, d))
+    return tasks.contradicting(embedding.similar(views.planted_vectors(spark, d), CONTRADICTS), views.embedded_texts(spark, d))
 
 
 @query

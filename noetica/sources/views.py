@@ -99,18 +99,45 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("kind"))
 
 
+#: Where ids of near copies begin, and how far apart a vector's copies are.
+COPIES = 1_000_000_000
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """rows (id, ...) three times, for every fourth id, with the number of the copy."""
+    return rows.where("id % 4 = 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(3))))
+
+
+def _copy_id() -> Column:
+    return (F.col("id") + F.col("copy").cast("long") * COPIES).alias("id")
+
+
+def planted_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vectors() with near copies of every fourth one: the test tables have no close pairs. Two copies are of other kinds.
+
+    A copy differs in each component by a multiple of 0.004 that id, component and copy give; cosines go from 0.75 to 0.999.
+    """
+    rows = vectors(spark, sf_dir).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    noise = lambda k: F.lit(0.004) * (1 + (F.col("id") + 3 * F.col("copy")) % 8) * ((F.col("id") * 7 + k * 13 + F.col("copy") * 5) % 11 - 5)
+    kind = F.when(F.col("copy") < 3, (F.col("kind") + F.col("copy")) % 5).otherwise(F.col("kind")).cast("int").alias("kind")
+    moved = _copies(rows).withColumn("embedding", F.transform("embedding", lambda x, k: x + noise(k)))  # before the id changes: in a lambda its alias would be taken
+    return rows.unionByName(moved.select(_copy_id(), "embedding", kind))
+
+
 def embedded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, text) of what the vectors stand for: vector i embeds document i.
+    """(id, text) of what planted_vectors() stand for: vector i embeds document i, and its copies what takes that back or not.
 
-    The invented prose has no cue of negation; every third text gets one in front.
+    The invented prose has no cue of negation; every third text and every second copy gets one in front.
     """
-    docs = read(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("id"), F.concat(F.when(F.col("doc_id") % 3 == 0, "Not so: ").otherwise(""), "text").alias("text"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    told = docs.select("id", F.concat(F.when(F.col("id") % 3 == 0, "Not so: ").otherwise(""), "text").alias("text"))
+    return told.unionByName(_copies(docs).select(_copy_id(), F.concat(F.when(F.col("copy") % 2 == 1, "Actually, ").otherwise(""), "text").alias("text")))
 
 
 def embedded_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, ts): vector i was made at the time of event i."""
-    return events(spark, sf_dir).select(F.col("event_id").alias("id"), "ts")
+    """(id, ts): vector i was made at the time of event i, its copies ten days after one another."""
+    rows = events(spark, sf_dir).select(F.col("event_id").alias("id"), "ts")
+    return rows.unionByName(_copies(rows).select(_copy_id(), (F.col("ts") + F.make_dt_interval(F.col("copy") * 10)).alias("ts")))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
