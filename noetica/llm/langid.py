@@ -2,9 +2,10 @@
 
 A known word scores by its log frequency in each language; an unseen word by the n-grams of the greatest length at which
 any of its n-grams is known. The model is fitted on a sample of the labelled documents: DOCS_PER_LANGUAGE of each language
-are expected, drawn by a hash of id and text (all of a language that has fewer). Every language gets an equal share of WORDS
-words, its most frequent ones, from which the n-grams come too; words over LONGEST letters are left to their n-grams.
-These bounds are parameters. Word counts come from Spark; only the bounded vocabulary reaches the driver. All values of lang
+are expected, drawn by a hash of id and text (all of a language that has fewer); that bound is a parameter and the only one. All
+words of the sample are known, whatever their number, and all n-grams of these; a word over LONGEST letters, of which there may be
+one of any length, is known by its n-grams only where other words have them. A caller can ask for the most frequent n_words in equal
+shares of the languages. Word counts come from Spark; only the sample's vocabulary reaches the driver. All values of lang
 are learned; more than MOST_LANGUAGES of them are taken for an error in the column and raise ValueError. Prediction is a map
 over the scan.
 
@@ -27,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from noetica.llm.bpe import ragged
 from noetica.llm.common import held_out, released, texts_of
 
 #: Bounds of the model.
-DOCS_PER_LANGUAGE, WORDS, LONGEST, MOST_LANGUAGES = 2_000, 40_000, 64, 1_000
+DOCS_PER_LANGUAGE, LONGEST, MOST_LANGUAGES = 500, 64, 1_000
 #: Lengths of n-grams, longest first.
 GRAMS = (5, 4, 3, 2, 1)
 #: Words whose scores a worker keeps, in bytes of scores, and words that it scores together.
@@ -52,6 +54,28 @@ def _marked(word: str, size: int) -> str:
     return f"^{word}$" if size > 1 else word
 
 
+def _grams(words: list[str], size: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(different n-grams, of each n-gram in the words which one it is, and of which word)."""
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    n = np.maximum(lengths - size + 1, 0)
+    starts = ragged(np.cumsum(lengths) - lengths, n)
+    if not len(starts):
+        return [], np.empty(0, np.int64), np.empty(0, np.int64)
+    windows = points[starts[:, None] + np.arange(size)]
+    letters, number = np.unique(points, return_inverse=True)
+    bits = max(1, int(len(letters) - 1).bit_length())
+    if bits * size <= 64:  # exact keys of one word
+        keys = np.zeros(len(starts), np.uint64)
+        for k in range(size):
+            keys = (keys << np.uint64(bits)) | number[starts + k].astype(np.uint64)
+        _, first, of = np.unique(keys, return_index=True, return_inverse=True)
+    else:
+        _, first, of = np.unique(windows, axis=0, return_index=True, return_inverse=True)
+    raw = windows[first].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return [raw[i : i + size] for i in range(0, len(raw), size)], of.ravel(), np.repeat(np.arange(len(words)), n)
+
+
 class Model:
     """Log frequencies by language of words and of n-grams: a row number for each, and one array of rows."""
 
@@ -61,16 +85,9 @@ class Model:
         self.word_logs = self._logs(counts)
         self.grams: list[tuple[dict[str, int], np.ndarray]] = []
         for size in GRAMS:
-            row: dict[str, int] = {}
-            of, source = [], []
-            for k, word in enumerate(words):
-                marked = _marked(word, size)
-                for i in range(len(marked) - size + 1):
-                    of.append(row.setdefault(marked[i : i + size], len(row)))
-                    source.append(k)
-            sums = np.zeros((len(row), len(languages)))
-            np.add.at(sums, of, counts[source])
-            self.grams.append((row, self._logs(sums)))
+            grams, of, source = _grams([_marked(w, size) for w in words], size)
+            sums = np.stack([np.bincount(of, counts[source, k], len(grams)) for k in range(len(languages))], 1) if languages else np.zeros((0, 0))
+            self.grams.append(({g: i for i, g in enumerate(grams)}, self._logs(sums)))
 
     @staticmethod
     def _logs(counts: np.ndarray) -> np.ndarray:
@@ -161,7 +178,7 @@ class Scorer:
         return [self.model.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)], score
 
 
-def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, n_words: int = WORDS) -> Model:
+def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, n_words: int | None = None) -> Model:
     """Learns from the text and lang of documents that are not held out."""
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     by_language = train.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
@@ -187,7 +204,9 @@ def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, n_words: int = W
     # a language's most frequent words, with their counts in all languages beside them
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
     by_word = ranked.groupBy("word").agg(F.min("rank").alias("best"), F.collect_list(F.struct("lang", "n")).alias("found"))
-    top = by_word.where(F.col("best") <= max(1, n_words // len(languages))).orderBy("word").select("word", "found").toArrow()
+    if n_words is not None:
+        by_word = by_word.where(F.col("best") <= max(1, n_words // len(languages)))
+    top = by_word.orderBy("word").select("word", "found").toArrow()  # the sample's words
     place = {lang: k for k, lang in enumerate(languages)}
     counts = np.zeros((top.num_rows, len(languages)))
     for i, found in enumerate(top.column("found").to_pylist()):
@@ -199,7 +218,7 @@ def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, n_words: int = W
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score beside doc_id and held_out."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and MOST_LANGUAGES
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(arrived):
         scorer = Scorer(sent.value)
