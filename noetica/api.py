@@ -145,7 +145,7 @@ class GraphEngine:
         A new fact supersedes the one before it with the same values in the columns `supersede`, in the order of their times: an older
         edge ends when the new one starts, and a late one ends when the next one that is there starts; what ends is
         expired at `at`, the time of this call (by default that of the latest episode). supersede=None, for bulk loads, ends nothing.
-        The row has the numbers of new episodes, nodes, edges and communities, and the id of the episode if there is only one.
+        The row has the numbers of new episodes, nodes, edges and communities.
         """
         group = F.lit((self.groups or ["default"])[0])
         given = rows.where(F.trim(F.coalesce("content", F.lit(""))) != "").withColumn("uuid", episodes.episode_id("source_description", "content"))
@@ -172,8 +172,16 @@ class GraphEngine:
         counts = [df.agg(F.count("*").alias(f"{name}_created")) for name, df in (("episodes", new), ("nodes", nodes), ("edges", edges))]
         one = F.lit(True)
         summary = counts[0].join(counts[1], one).join(counts[2], one).withColumn("communities_created", F.lit(0).cast("long"))
-        only = new.agg(F.when(F.count("*") == 1, F.min("uuid")).alias("episode_uuid"))
-        return GraphEngine(self.entities.unionByName(nodes), known, self.episodes.unionByName(new), self.communities, self.groups), summary.join(only, one)
+        return GraphEngine(self.entities.unionByName(nodes), known, self.episodes.unionByName(new), self.communities, self.groups), summary
+
+    def add_episode(self, name: str, content: str, source_description: str, at: Column, **how) -> tuple[GraphEngine, DataFrame]:
+        """add_episodes() for one episode of a time; the row has its id too, which is that of the old one if it was there. Blank content is an error."""
+        if not content.strip():
+            raise ValueError("blank episode")
+        values = {"name": F.lit(name), "content": F.lit(content), "source": F.lit("text"), "source_description": F.lit(source_description), "reference_time": at}
+        row = self.episodes.sparkSession.range(1).select(*[v.alias(k) for k, v in values.items()])
+        more, counts = self.add_episodes(row, **how)
+        return more, counts.join(row.select(episodes.episode_id("source_description", "content").alias("episode_uuid")), F.lit(True))
 
     def add_note(self, content: str, source_description: str, at: Column) -> GraphEngine:
         """An engine with one episode more; blank content is an error, and the same note twice is one."""

@@ -37,8 +37,3 @@ def is_sensitive(name: Column) -> Column:
 
 def is_negating(text: Column, cues: tuple[str, ...] = NEGATIONS) -> Column:
     return F.lower(text).rlike(rf"\b({'|'.join(cues)})\b")
-
-
-def parsed_time(text: Column, default: Column) -> Column:
-    """An ISO timestamp, Z included; the default where it does not parse."""
-    return F.coalesce(F.try_to_timestamp(text), default)
