@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noetica.llm.common import written
+from noetica.llm.common import emptied, written
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b): root is the least node of its component.
 
-    Every round only groups and joins by node, and ends as a table in the shared folder; links never reach the driver.
+    Every round only groups and joins by node, and ends as a table in the shared folder, where it takes the place of the one before; links
+    never reach the driver.
     """
     edges = written(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
@@ -23,5 +24,6 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = written(small.where("a != b").distinct(), "links")
+        before, edges = edges, written(small.where("a != b").distinct(), "links")
+        emptied(before)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
