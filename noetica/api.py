@@ -26,7 +26,7 @@ class GraphEngine:
     """entities, edges, episodes and communities, and what is derived from them once it is asked for.
 
     Verbs return DataFrames. Those that search build indexes of facts, names and episodes at the first question, in the
-    shared folder; those that add, expand by hops or build communities cut their lineage there and so run jobs too.
+    shared folder, and what is added is appended to them; those that add, expand by hops or build communities cut their lineage there and so run jobs too.
     """
 
     entities: DataFrame
@@ -40,20 +40,32 @@ class GraphEngine:
         wanted = groups if groups is not None else self.groups
         return df if wanted is None else df.where(F.col("group_id").isin(wanted))
 
+    @staticmethod
+    def _texts(kind: str, rows: DataFrame) -> DataFrame:
+        text = {"facts": F.col("fact"), "nodes": F.concat_ws(" ", "name", "summary"), "episodes": F.col("content")}[kind]
+        return rows.select(F.col("uuid").alias("id"), text.alias("text"))
+
     def _index(self, kind: str) -> tuple[TextIndex, VectorIndex | None]:
         """The stored indexes of facts, nodes or episodes (these by words only), over all groups."""
         if kind not in self._indexes:
-            texts = {
-                "facts": lambda: self.edges.select(F.col("uuid").alias("id"), F.col("fact").alias("text")),
-                "nodes": lambda: self.entities.select(F.col("uuid").alias("id"), F.concat_ws(" ", "name", "summary").alias("text")),
-                "episodes": lambda: self.episodes.select(F.col("uuid").alias("id"), F.col("content").alias("text")),
-            }[kind]()
+            texts = self._texts(kind, {"facts": self.edges, "nodes": self.entities, "episodes": self.episodes}[kind])
             by_words = TextIndex(texts.sparkSession, new_path(texts.sparkSession, f"{kind}-words"))
             by_words.append(texts)
             by_vectors = None if kind == "episodes" else VectorIndex.build(texts, new_path(texts.sparkSession, f"{kind}-vectors"))
             self._indexes[kind] = by_words, by_vectors
         return self._indexes[kind]
 
+    def _moved(self, **new: DataFrame) -> dict:
+        """The indexes there are, with new rows of each kind, for the engine that has these rows; this one would build its own again."""
+        for kind, (by_words, by_vectors) in self._indexes.items():
+            if kind in new:
+                by_words.append(self._texts(kind, new[kind]))
+                if by_vectors is not None:
+                    by_vectors.append(self._texts(kind, new[kind]))
+        moved = dict(self._indexes)
+        self._indexes.clear()
+        return moved
+
     def _search(self, kind: str, rows: DataFrame, query: str, k: int, part: bool) -> DataFrame:
         """(rank, score, columns of rows) of the k best of rows, which are all that is indexed or a part of it."""
         deep = max(50, k)
@@ -172,7 +184,9 @@ class GraphEngine:
         counts = [df.agg(F.count("*").alias(f"{name}_created")) for name, df in (("episodes", new), ("nodes", nodes), ("edges", edges))]
         one = F.lit(True)
         summary = counts[0].join(counts[1], one).join(counts[2], one).withColumn("communities_created", F.lit(0).cast("long"))
-        return GraphEngine(self.entities.unionByName(nodes), known, self.episodes.unionByName(new), self.communities, self.groups), summary
+        nodes = cut(nodes)
+        moved = self._moved(facts=edges, nodes=nodes, episodes=new)
+        return GraphEngine(self.entities.unionByName(nodes), known, self.episodes.unionByName(new), self.communities, self.groups, moved), summary
 
     def add_episode(self, name: str, content: str, source_description: str, at: Column, **how) -> tuple[GraphEngine, DataFrame]:
         """add_episodes() for one episode of a time; the row has its id too, which is that of the old one if it was there. Blank content is an error."""
@@ -191,4 +205,4 @@ class GraphEngine:
         values = {"name": F.lit(source_description), "content": F.lit(content), "source": F.lit("text"), "source_description": F.lit(source_description), "reference_time": at, "group_id": F.lit((self.groups or ["default"])[0])}
         row = spark.range(1).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in self.episodes.schema])
         row = row.withColumn("uuid", episodes.episode_id("source_description", "content"))
-        return GraphEngine(self.entities, self.edges, episodes.upsert(self.episodes, row), self.communities, self.groups)
+        return GraphEngine(self.entities, self.edges, episodes.upsert(self.episodes, row), self.communities, self.groups, self._moved(episodes=row))

@@ -127,3 +127,26 @@ def test_raw_queries(engine):  # noqa: F811
         with pytest.raises(Exception):  # noqa: B017
             engine.query(bad).collect()
     assert engine.edges.count() == 7
+
+
+def test_indexes_follow_what_is_added(spark, engine):  # noqa: F811
+    """An engine hands its indexes on with what is new; both engines find what they have, as engines that build their own do."""
+    from noetica.api import GraphEngine
+
+    told = spark.createDataFrame([("fresh zebra", "node a", "Zed", "met", "node a met striped zebra")], "content string, source string, target string, name string, fact string")
+    find = lambda e: e.drop("name", "source").join(told, "content").select("uuid", "source", "target", "name", "fact")
+    mentions = lambda e: e.drop("name", "source").join(told, "content").select("uuid", F.explode(F.array("source", "target")).alias("mention"))
+    one = GraphEngine(engine.entities, engine.edges, engine.episodes)
+    before = {q: [tuple(r) for r in one.search(q, 3).select("rank", "uuid", "score").collect()] for q in ("beta gamma", "striped zebra")}
+    one.search_nodes("node b"), one.get_source("pears").count()
+    path = one._indexes["facts"][0].path
+    more, _ = one.add_episode("n", "fresh zebra", "d", F.lit(T[2]), extract=mentions, facts=find)
+    assert more._indexes["facts"][0].path == path and not one._indexes
+    own = GraphEngine(more.entities, more.edges, more.episodes)
+    found = more.search("striped zebra", 1).first()
+    assert found.fact == "node a met striped zebra" and own.search("striped zebra", 1).first().uuid == found.uuid
+    assert {r.id for r in more.get_source("zebra").collect()} == {r.id for r in own.get_source("zebra").collect()} != set()
+    assert more.search_nodes("zed", 1).first().name == "Zed"
+    again = more.add_note("a zebra again", "me", F.lit(T[3]))
+    assert len(again.get_source("zebra").collect()) == 2
+    assert {q: [tuple(r) for r in one.search(q, 3).select("rank", "uuid", "score").collect()] for q in before} == before
