@@ -23,11 +23,25 @@ BOILERPLATE = r"unsubscribe|click here|rates? (?:may|are subject)|https?://\S+(?
 
 
 def windows(rows: DataFrame, key: str, at: str) -> DataFrame:
-    """(key, window_no, n, started, ended) of windows with two messages or more; only a gap over two hours opens a new one."""
-    order = Window.partitionBy(key).orderBy(at, "event_id")
-    gap = F.unix_micros(at) - F.lag(F.unix_micros(at)).over(order)
-    opened = F.when(gap.isNull() | (gap > GAP_HOURS * 3600 * 1_000_000), 1).otherwise(0)
-    numbered = rows.withColumn("opened", opened).withColumn("window_no", F.sum("opened").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    """(key, window_no, n, started, ended) of windows with two messages or more; only a gap over two hours opens a new one.
+
+    A key's rows are split by days, so that a busy key is not one task; a row for each key and day carries over the last time and
+    the number of windows before.
+    """
+    dated = rows.withColumn("day_", F.date_trunc("day", at))
+    within, days = Window.partitionBy(key, "day_").orderBy(at, "event_id"), Window.partitionBy(key).orderBy("day_")
+
+    def beside(df: DataFrame, per_day: DataFrame) -> DataFrame:
+        """df with its day's row; nulls are keys and days too."""
+        other = per_day.select(F.col(key).alias("key_of"), F.col("day_").alias("day_of"), *[c for c in per_day.columns if c not in (key, "day_")])
+        return df.join(other, F.col(key).eqNullSafe(F.col("key_of")) & F.col("day_").eqNullSafe(F.col("day_of"))).drop("key_of", "day_of")
+
+    lasts = dated.groupBy(key, "day_").agg(F.max(at).alias("last_")).withColumn("before_", F.lag("last_").over(days)).drop("last_")
+    gap = F.unix_micros(at) - F.unix_micros(F.coalesce(F.lag(at).over(within), "before_"))
+    opened = beside(dated, lasts).withColumn("opened", F.when(gap.isNull() | (gap > GAP_HOURS * 3600 * 1_000_000), 1).otherwise(0))
+    counts = opened.groupBy(key, "day_").agg(F.sum("opened").alias("n_")).withColumn("past_", F.sum("n_").over(days.rowsBetween(Window.unboundedPreceding, -1))).drop("n_")
+    number = F.coalesce("past_", F.lit(0)) + F.sum("opened").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = beside(opened, counts).withColumn("window_no", number)
     out = numbered.groupBy(key, "window_no").agg(F.count("*").alias("n"), F.min(at).alias("started"), F.max(at).alias("ended"))
     return out.where(F.col("n") >= LEAST_MESSAGES)
 

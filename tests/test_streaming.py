@@ -98,3 +98,27 @@ def test_states_by_language_and_edges(spark):
     edges = spark.createDataFrame([("a", "WEIGHS", START), ("a", "DID", START), ("b", "OTHER", START)], "thread_id string, name string, valid_at timestamp")
     rows = tasks.states(tasks.linked(edges, {"WEIGHS": "n_compared", "DID": "n_acted"}), F.lit(START + timedelta(days=1)))
     assert {r.thread_id: r.state for r in rows.collect()} == {"a": "acting", "b": "exploring"}
+
+
+def test_windows_over_days_against_a_plain_loop(spark):
+    """Windows that cross midnights, days without rows, equal times, null keys and times."""
+    import random
+
+    rng, rows = random.Random(4), []
+    for user in (1, 2, None):
+        at = START
+        for i in range(120):
+            at += timedelta(minutes=rng.choice([0, 1, 30, 119, 120, 121, 600, 3000]))
+            rows.append((user, 1000 * (user or 9) + i, at, "x"))
+    rows += [(1, 1, None, "x"), (1, 2, None, "x"), (3, 3, None, "x")]
+    want = []
+    for user in (1, 2, None, 3):
+        own = sorted(((r[2], r[1]) for r in rows if r[0] == user), key=lambda r: (r[0] is not None, r[0] or START, r[1]))
+        groups = []
+        for at, _ in own:
+            if not groups or at is None or groups[-1][-1] is None or at - groups[-1][-1] > timedelta(hours=2):
+                groups.append([])
+            groups[-1].append(at)
+        want += [(user, k, len(g), min(g), max(g)) for k, g in enumerate(groups, 1) if len(g) > 1]
+    got = tasks.windows(spark.createDataFrame(rows, ROWS).repartition(5), "user_id", "ts")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and len(want) > 30
