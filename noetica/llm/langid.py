@@ -32,11 +32,11 @@ from noetica.llm.bpe import ragged
 from noetica.llm.common import held_out, released, texts_of
 
 #: Bounds of the model.
-DOCS_PER_LANGUAGE, LONGEST, MOST_LANGUAGES = 500, 64, 1_000
+DOCS_PER_LANGUAGE, LONGEST, MOST_LANGUAGES = 250, 64, 1_000
 #: Lengths of n-grams, longest first.
 GRAMS = (5, 4, 3, 2, 1)
 #: Words whose scores a worker keeps, in bytes of scores, and words that it scores together.
-CACHED_BYTES, TOGETHER = 8 << 20, 200_000
+CACHED_BYTES, TOGETHER = 2 << 20, 100_000
 
 
 def _letters() -> re.Pattern:
