@@ -46,23 +46,30 @@ class GraphEngine:
         return rows.select(F.col("uuid").alias("id"), text.alias("text"))
 
     def _index(self, kind: str) -> tuple[TextIndex, VectorIndex | None]:
-        """The stored indexes of facts, nodes or episodes (these by words only), over all groups."""
-        if kind not in self._indexes:
-            texts = self._texts(kind, {"facts": self.edges, "nodes": self.entities, "episodes": self.episodes}[kind])
+        """The stored indexes of facts, nodes or episodes (these by words only), over all groups; what is missing is built."""
+        by_words, by_vectors = self._indexes.get(kind, (None, None))
+        texts = self._texts(kind, {"facts": self.edges, "nodes": self.entities, "episodes": self.episodes}[kind])
+        if by_words is None:
             by_words = TextIndex(texts.sparkSession, new_path(texts.sparkSession, f"{kind}-words"))
             by_words.append(texts)
-            by_vectors = None if kind == "episodes" else VectorIndex.build(texts, new_path(texts.sparkSession, f"{kind}-vectors"))
-            self._indexes[kind] = by_words, by_vectors
-        return self._indexes[kind]
+        if by_vectors is None and kind != "episodes":
+            by_vectors = VectorIndex.build(texts, new_path(texts.sparkSession, f"{kind}-vectors"))
+        self._indexes[kind] = by_words, by_vectors
+        return by_words, by_vectors
 
     def _moved(self, **new: DataFrame) -> dict:
-        """The indexes there are, with new rows of each kind, for the engine that has these rows; this one would build its own again."""
+        """The indexes there are, with new rows of each kind, for the engine that has these rows; this one would build its own again.
+
+        An index of vectors that has outgrown what it was fitted to is left behind, and the next question builds it anew.
+        """
+        moved = {}
         for kind, (by_words, by_vectors) in self._indexes.items():
             if kind in new:
                 by_words.append(self._texts(kind, new[kind]))
                 if by_vectors is not None:
                     by_vectors.append(self._texts(kind, new[kind]))
-        moved = dict(self._indexes)
+                    by_vectors = None if by_vectors.outgrown() else by_vectors
+            moved[kind] = by_words, by_vectors
         self._indexes.clear()
         return moved
 

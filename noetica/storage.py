@@ -34,7 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def there(spark: SparkSession, path: str) -> DataFrame | None:
-    """The Parquet table at a path, or None."""
+    """The Parquet table at a path, or None: a table to which no row was ever written has no files."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
@@ -43,6 +43,12 @@ def there(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table at a path; one without rows of a schema if there is none yet."""
+    have = there(spark, path)
+    return spark.createDataFrame([], schema) if have is None else have
+
+
 _MADE: dict[tuple[str, str, str], str] = {}
 
 

@@ -78,7 +78,33 @@ def test_other_embedders_and_none(spark, tmp_path):
     index = VectorIndex.build(rows, str(tmp_path / "letters"), letters)
     assert [(r.words, r.score) for r in index.scores("c", 1).collect()] == [("c", 1.0)]
     empty = VectorIndex.build(rows.limit(0), str(tmp_path / "empty"))
-    assert empty.scores("c", 3).count() == 0 and empty.size() == 0
+    assert empty.scores("c", 3).count() == 0 and empty.size() == 0 and not empty.outgrown()
+    repeated = spark.createDataFrame([("a", "ab b"), ("a", "ab b"), (None, "c")], "id string, text string")
+    for _ in range(2):
+        empty.append(repeated)  # one text, once
+    assert [tuple(r) for r in empty.members().collect()] == [("a", "ab b")] and empty.size() == empty.read().count() == 1 and empty.outgrown()
+    assert [tuple(r) for r in empty.scores("ab", 3).collect()][0][0] == "ab b"
+    own = VectorIndex.build(repeated, str(tmp_path / "repeated"), letters)
+    assert [tuple(r) for r in own.members().collect()] == [("a", "ab b")]
+    none = VectorIndex.build(repeated.limit(0), str(tmp_path / "none"), letters)
+    none.append(repeated)
+    assert [r.words for r in none.scores("b", 1).collect()] == ["ab b"]
+
+
+def test_from_nothing(spark):
+    """An engine without rows answers every question; what is added then is found, by an index that is fitted to it."""
+    from noetica import schema
+    from noetica.api import GraphEngine
+
+    one = GraphEngine(*[spark.createDataFrame([], s) for s in (schema.ENTITY, schema.EDGE, schema.EPISODE)])
+    asked = (one.search("red"), one.search_nodes("red"), one.get_source("red"), one.history("red", F.lit(T[2])), one.expand(["x", "y"], 2), one.list_communities(), one.community_job()[0])
+    assert all(df.isEmpty() for df in asked) and sum(one.stats().first()) == 0
+    facts = lambda e: e.select("uuid", F.lit("Ann").alias("source"), F.lit("Rome").alias("target"), F.lit("lives in").alias("name"), F.col("content").alias("fact"))
+    more, _ = one.add_episode("n", "Ann lives in Rome now", "note", F.lit(T[2]), facts=facts)
+    assert more._indexes["facts"][1] is None and more._indexes["facts"][0] is not None
+    assert [r.fact for r in more.search("Rome").collect()] == ["Ann lives in Rome now"] and more.search_nodes("rome", 1).first().name == "Rome"
+    assert more._indexes["facts"][1].fitted == 1 and more.get_source("Rome").count() == 1
+    assert [r.bucket for r in more.history("Rome", F.lit(T[3])).collect()] == ["current"]
 
 
 def test_fitted_weights(spark):
