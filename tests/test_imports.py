@@ -107,3 +107,13 @@ def test_recurrence_covers_the_given_vectors(spark):
     assert len(alone) > 50 and alone <= found.keys()
     assert any(x % 4 for x in alone) and all(r.near_sources <= r.n_sources and (not r.near_promoted or r.promoted) for r in found.values())
     assert 0 < sum(r.near_promoted for r in found.values()) < sum(r.promoted for r in found.values())
+
+
+def test_contradictions_cover_the_given_vectors(spark):
+    """Every pair of given vectors over 0.3 whose later text has a cue is found; pairs over the design's threshold are marked."""
+    found = {(r.other, r.id): r for r in registry.contradiction_flags(spark, DATA).collect()}
+    cued = {r.id for r in views.embedded_texts(spark, DATA).collect() if r.id % 3 == 0 and r.id < views.COPIES}
+    want = {(a, b): round(score, 6) for a, b, score, _ in _given_pairs(spark) if b in cued}
+    assert len(want) > 30 and all(abs(found[k].score - v) < 2e-6 for k, v in want.items())
+    assert {k for k in found if k[1] < views.COPIES} == want.keys()
+    assert all(r.near == (r.score > registry.CONTRADICTS) for r in found.values()) and 0 < sum(r.near for r in found.values()) < len(found)
