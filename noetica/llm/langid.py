@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noetica.llm.bpe import ragged
-from noetica.llm.common import held_out, released, texts_of
+from noetica.llm.common import held_out, released, sliced, texts_of
 
 #: Bounds of the model.
 DOCS_PER_LANGUAGE, LONGEST, MOST_LANGUAGES = 250, 64, 1_000
@@ -222,9 +222,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(arrived):
         scorer = Scorer(sent.value)
-        for batch in arrived:
+        for batch in sliced(arrived):
             languages, scores = scorer.predict(texts_of(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        del scorer
+        released()
 
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
@@ -236,7 +238,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(arrived):
         scorer = Scorer(sent.value)
-        for batch in arrived:
+        for batch in sliced(arrived, place):
             languages, _ = scorer.predict(texts_of(batch.column(place)))
             yield batch.filter(pa.array([x != "und" for x in languages], pa.bool_()))
         del scorer

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from noetica.llm.bpe import encoder
-from noetica.llm.common import grouped_documents, text_bytes, texts_of
+from noetica.llm.common import grouped_documents, released, text_bytes, texts_of
 
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -109,6 +109,8 @@ def packed(docs: DataFrame, path: str, capacity: int = 1024, closing_id: int = 0
         found = np.array(pack(totals, capacity), np.int64).reshape(-1, 5)
         crc = np.array([zlib.crc32(ids[d][s : s + n].tobytes()) for d, s, n in found[:, :3].tolist()], np.int64)
         doc_id = group.column("doc_id").combine_chunks().take(pa.array(found[:, 0]))
+        del ids
+        released()
         columns = [doc_id, found[:, 1], found[:, 2], crc, totals[found[:, 0]], (np.int64(gid) << 32) + found[:, 3], found[:, 4]]
         return pa.table([pa.array(c, pa.int64()) for c in columns], [c.split()[0] for c in COLUMNS.split(", ")])
 

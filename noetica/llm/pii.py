@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noetica.llm.common import texts_of, uncarried, written
+from noetica.llm.common import released, sliced, texts_of, uncarried, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring, least confidence and different instances of a pattern.
@@ -169,7 +169,7 @@ def instances(docs: DataFrame) -> DataFrame:
     """(pattern, instance, kind): kind is null for what no base form knows. A map over the scan."""
 
     def run(arrived):
-        for batch in arrived:
+        for batch in sliced(arrived):
             rows = []
             for text in texts_of(batch.column("text")):
                 if not _may_hold(text):
@@ -182,6 +182,7 @@ def instances(docs: DataFrame) -> DataFrame:
             rows = [r for r in rows if r[0]]
             columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], ["pattern", "instance", "kind"])
+        released()
 
     return docs.select("text").mapInArrow(run, "pattern string, instance string, kind string").groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
 
@@ -226,7 +227,7 @@ def added_spans(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """For each different text with any, by the hash of the text: the identifier-like strings after a pattern of their kind."""
 
     def run(arrived):
-        for batch in arrived:
+        for batch in sliced(arrived):
             rows = []
             for key, text in zip(batch.column("key").to_pylist(), texts_of(batch.column("text")), strict=True):
                 if _may_hold(text):
@@ -236,6 +237,7 @@ def added_spans(docs: DataFrame, patterns: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["key", "pattern", "start", "end", "spelt"])
+        released()
 
     places = docs.select(_key(), "text").mapInArrow(run, "key string, pattern string, start long, end long, spelt boolean").distinct()
     hits = places.join(patterns, "pattern").where(F.col("spelt") == (F.col("kind") == "email"))
@@ -272,7 +274,7 @@ def found(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     none = hashlib.sha256(b"").hexdigest()
 
     def run(arrived):
-        for batch in arrived:
+        for batch in sliced(arrived):
             counts, shas, spans = np.zeros((4, batch.num_rows), np.int64), [], []
             for i, (text, added) in enumerate(zip(texts_of(batch.column("text")), _added_of(batch), strict=True)):
                 base = base_spans(text) if _may_hold(text) else []
@@ -281,6 +283,7 @@ def found(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
                 shas.append(hashlib.sha256(_digest(base).encode()).hexdigest() if base else none)
                 spans.append(_digest(base + added) if _may_hold(text) else "")
             yield pa.RecordBatch.from_arrays([batch.column("rest").field("doc_id").cast(pa.int64()), *map(pa.array, counts), pa.array(shas, pa.string()), pa.array(spans, pa.string())], [c.split()[0] for c in COLUMNS.split(", ")])
+        released()
 
     return _with_added(docs.select("doc_id", "text"), patterns).mapInArrow(run, COLUMNS)
 
@@ -300,9 +303,10 @@ def redacted(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
         return "".join([*out, text[at:]])
 
     def run(arrived):
-        for batch in arrived:
+        for batch in sliced(arrived):
             texts = [clean(t, a) for t, a in zip(batch.column("text").to_pylist(), _added_of(batch), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column("rest")], ["text", "rest"])
+        released()
 
     rows = _with_added(docs, patterns)
     return uncarried(rows.mapInArrow(run, rows.select("text", "rest").schema), docs)

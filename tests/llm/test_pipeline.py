@@ -1,9 +1,16 @@
+import re
+import tracemalloc
+from types import SimpleNamespace
+
 import corpus_pipeline
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from brute import components, personal, removed_bytes, simhash, suffix_text
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
+from noetica.llm import langid, pii
 
 
 def test_queries_are_registered():
@@ -38,3 +45,25 @@ def test_stages_against_brute_force(spark, messy, messy_rows, empty, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_batches_are_taken_in_slices(monkeypatch):
+    """A batch of long texts is not held as Python's texts all at once: workers share an executor's memory."""
+    rows = [f"{i} the cat sat, mail a{i}@b.example.com " + "word " * 600 for i in range(5000)] + [None, ""]
+    batch = pa.record_batch([pa.array(range(len(rows))), pa.array(rows, pa.string()), pa.array([None] * len(rows), pa.list_(pa.int64()))], ["doc_id", "text", "added"])
+    batch = batch.append_column("rest", pa.StructArray.from_arrays([batch.column(0)], ["doc_id"]))
+    ours = SimpleNamespace(columns=batch.schema.names, schema=None, select=lambda *_: ours, mapInArrow=lambda run, _: run)
+    ours.sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+    monkeypatch.setattr(pii, "_with_added", lambda docs, patterns: docs)
+    monkeypatch.setattr(pii, "uncarried", lambda run, docs: run)
+    model = langid.Model(["en"], np.ones(1), ["cat", "word"], np.ones((2, 1)))
+    for run, n in ((langid.identified(ours, model), 5000), (pii.redacted(ours), 5002)):
+        found = 0
+        tracemalloc.start()
+        for out in run(iter([batch])):
+            found += out.num_rows
+            last = out.column("text").to_pylist()[:1]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found == n and last and peak < batch.nbytes, (found, peak, batch.nbytes)
+    assert [t for out in pii.redacted(ours)(iter([batch])) for t in out.column("text").to_pylist()] == [t and re.sub(r"a\d+@b\.example\.com", "[EMAIL]", t) for t in rows]
